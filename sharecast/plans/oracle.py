@@ -196,7 +196,7 @@ counts AS (
   FROM replies
 ),
 totals AS (
-  SELECT article_id, source, network, sum(share_count) AS shares, count(*) AS n_replies
+  SELECT article_id, source, network, CAST(sum(share_count) AS BIGINT) AS shares, count(*) AS n_replies
   FROM counts GROUP BY article_id, source, network
 )"""
 
@@ -326,7 +326,7 @@ JOIN loss_t l ON l.model = s.model AND l.split = 'test'"""
 WHERE l_quantity BETWEEN {sx[0]} AND {sx[1]} AND l_extendedprice BETWEEN {sy[0]} AND {sy[1]}"""
     sql["ols_slope_intercept"] = """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
   round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
-  regr_count(l_extendedprice, l_quantity) AS n_points FROM lineitem"""
+  CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n_points FROM lineitem"""
     sql["json_share_counts"] = _with(REPLIES) + \
         "SELECT event_id, article_id, source, network, share_count FROM counts"
     sql["share_counts_paired"] = _with(REPLIES) + """SELECT a.article_id, a.source, a.shares AS click_shares, b.shares AS view_shares
@@ -335,10 +335,10 @@ WHERE a.network = 'click' AND b.network = 'view'"""
     sql["share_counts_union"] = _with(REPLIES) + """SELECT article_id, network, shares FROM totals WHERE network = 'click'
 UNION ALL SELECT article_id, network, shares FROM totals WHERE network = 'view'"""
     sql["shares_by_article_network"] = _with(REPLIES) + """SELECT article_id, source,
-  sum(share_count) FILTER (WHERE network = 'click') AS click,
-  sum(share_count) FILTER (WHERE network = 'view') AS "view"
+  CAST(sum(share_count) FILTER (WHERE network = 'click') AS BIGINT) AS click,
+  CAST(sum(share_count) FILTER (WHERE network = 'view') AS BIGINT) AS "view"
 FROM counts GROUP BY article_id, source"""
-    sql["network_by_source"] = _with(REPLIES) + """SELECT source, network, sum(shares) AS total_shares,
+    sql["network_by_source"] = _with(REPLIES) + """SELECT source, network, CAST(sum(shares) AS BIGINT) AS total_shares,
   round(avg(shares), 6) AS mean_shares, count(*) AS n_articles,
   arg_max(article_id, (shares, -article_id)) AS top_article
 FROM totals GROUP BY source, network"""
