@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import sigmoid, signed_label
-from .joins import lookup_join
+from .joins import DEFAULT_BROADCAST_ROWS, lookup_join
 
 BIAS_ID = -1
 
@@ -57,11 +57,18 @@ class LinearModel:
                 .select(F.col("weight").alias("intercept")))
 
 
-def design_table(encoded: DataFrame, labeled: DataFrame, keep: list[str]) -> DataFrame:
-    """Active features plus one intercept row per article, partitioned by article."""
+def design_rows(encoded: DataFrame, labeled: DataFrame, keep: list[str]) -> DataFrame:
+    """Active features plus one intercept row per article."""
     bias = labeled.select(*keep, F.lit(BIAS_ID).cast("bigint").alias("feature_id"))
-    rows = encoded.select(*keep, F.col("feature_id").cast("bigint")).unionByName(bias)
-    return rows.repartition("article_id").checkpoint(eager=True)
+    return encoded.select(*keep, F.col("feature_id").cast("bigint")).unionByName(bias)
+
+
+def design_table(encoded: DataFrame, labeled: DataFrame, keep: list[str]) -> DataFrame:
+    """:func:`design_rows` pinned as a table bucketed by article, so the
+    per-article window of every iteration runs without a shuffle."""
+    from ..sources.files import write_bucketed
+
+    return write_bucketed(design_rows(encoded, labeled, keep), "design", "article_id")
 
 
 def initial_weights(dictionary: DataFrame, n_articles: int,
@@ -105,10 +112,17 @@ def step_constants(cfg: GDConfig, t: int) -> tuple[float, float]:
 
 
 def gradient_step(design: DataFrame, weights: DataFrame, n: int, t: int,
-                  cfg: GDConfig) -> DataFrame:
-    """Weights after iteration t; keeps the previous weight as ``prev_weight``."""
+                  cfg: GDConfig, broadcast_gradient: bool = False) -> DataFrame:
+    """Weights after iteration t; keeps the previous weight as ``prev_weight``.
+
+    ``broadcast_gradient``: the gradient has at most one row per weight, so
+    when the weight table is known to be bounded it is broadcast into the
+    update instead of shuffling both sides.
+    """
     s, shrink = step_constants(cfg, t)
     g = gradient_sums(design, weights, cfg.loss)
+    if broadcast_gradient:
+        g = F.broadcast(g)
     mean_g = F.coalesce(F.col("grad_sum"), F.lit(0.0)) / F.lit(float(n))
     return (weights.join(g, "feature_id", "left")
             .select("feature_id", "n_rows", F.col("weight").alias("prev_weight"),
@@ -119,9 +133,10 @@ def fit(design: DataFrame, dictionary: DataFrame, n: int, cfg: GDConfig,
         name: str) -> LinearModel:
     """Run up to ``cfg.iterations`` steps with the convergence rule above."""
     w = initial_weights(dictionary, n, cfg.initial_intercept).checkpoint(eager=True)
+    small = w.limit(DEFAULT_BROADCAST_ROWS + 1).count() <= DEFAULT_BROADCAST_ROWS
     done = 0
     for t in range(1, cfg.iterations + 1):
-        new = gradient_step(design, w, n, t, cfg).checkpoint(eager=True)
+        new = gradient_step(design, w, n, t, cfg, small).checkpoint(eager=True)
         done = t
         w = new.select("feature_id", "n_rows", "weight")
         if t > 1:
@@ -133,13 +148,21 @@ def fit(design: DataFrame, dictionary: DataFrame, n: int, cfg: GDConfig,
     return LinearModel(name, w, done)
 
 
-def score(design_all: DataFrame, model: LinearModel, keep: list[str]) -> DataFrame:
-    """model, keep..., margin, score = sigmoid(intercept + sum of active weights).
+def score(labeled: DataFrame, encoded: DataFrame, model: LinearModel,
+          keep: list[str]) -> DataFrame:
+    """model, keep..., margin, score = sigmoid(active weights summed + intercept).
 
-    The sigmoid is applied to both models (also to SVM margins), as the
-    analysed workload does.
+    ``encoded`` (article_id, feature_id) and ``labeled`` are both read from the
+    article-bucketed table, so the per-article sum and the join back to every
+    article (articles without active features get the intercept alone) need
+    no shuffle. The sigmoid is applied to both models (also to SVM margins),
+    as the analysed workload does.
     """
-    rows = with_weights(design_all, model.weights)
-    out = rows.groupBy(*keep).agg(F.sum("weight").alias("margin"))
-    return out.select(F.lit(model.name).alias("model"), *keep, "margin",
-                      sigmoid("margin").alias("score"))
+    icpt = model.intercept().first()[0]
+    rows = with_weights(encoded.select("article_id", "feature_id"),
+                        model.coefficients())
+    sums = rows.groupBy("article_id").agg(F.sum("weight").alias("_dot"))
+    out = labeled.select(*keep).join(sums, "article_id", "left")
+    margin = F.coalesce(F.col("_dot"), F.lit(0.0)) + F.lit(float(icpt))
+    return out.select(F.lit(model.name).alias("model"), *keep, margin.alias("margin"),
+                      sigmoid(margin).alias("score"))

@@ -4,8 +4,9 @@ articles → hash split → label → long features → dictionary (train only)
 encoded design table → gradient-descent fits (logistic, hinge) → scores →
 log loss, ROC, AUC, selection.
 
-Pinned (checkpointed) tables: the labeled articles (partitioned by article),
-the dictionary, the training design table, each weight table.
+Pinned tables in the shared folder: the labeled articles and the training
+design table (bucketed by article), the dictionary and each weight table
+(checkpoints).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from ..operators import evaluate, features, models
 from ..operators.labels import with_label
 from ..operators.split import hash_split
 from ..session import ensure_checkpoint_dir
+from ..sources.files import write_bucketed
 from ..sources import articles as article_source
 
 KEEP = ["article_id", "split", "label"]
@@ -40,8 +42,7 @@ class Prepared:
         return features.encode_long(self.long, self.dictionary, how=how)
 
     def design_all(self) -> DataFrame:
-        bias = self.labeled.select(*KEEP, F.lit(models.BIAS_ID).cast("bigint").alias("feature_id"))
-        return self.encoded().select(*KEEP, F.col("feature_id").cast("bigint")).unionByName(bias)
+        return models.design_rows(self.encoded(), self.labeled, KEEP)
 
     def design_train(self) -> DataFrame:
         if self._design_train is None:
@@ -59,8 +60,7 @@ def labeled_articles(spark: SparkSession, sf_dir: str, with_date: bool = False)
 def prepare(spark: SparkSession, sf_dir: str, with_date: bool = False) -> Prepared:
     ensure_checkpoint_dir(spark)
     preds = article_source.predictors(with_date)
-    labeled = (labeled_articles(spark, sf_dir, with_date)
-               .repartition("article_id").checkpoint(eager=True))
+    labeled = write_bucketed(labeled_articles(spark, sf_dir, with_date), "labeled", "article_id")
     long = features.feature_long(labeled, preds, KEEP)
     dictionary = features.fit_dictionary(long.filter(F.col("split") == F.lit("train")))
     n_train = labeled.filter(F.col("split") == F.lit("train")).count()
@@ -79,10 +79,10 @@ def fit_both(prep: Prepared, iterations: int) -> list[models.LinearModel]:
 
 
 def scores(prep: Prepared, fitted: list[models.LinearModel]) -> DataFrame:
-    design = prep.design_all()
+    enc = prep.encoded()
     out = None
     for m in fitted:
-        s = models.score(design, m, KEEP)
+        s = models.score(prep.labeled, enc, m, KEEP)
         out = s if out is None else out.unionByName(s)
     return out
 

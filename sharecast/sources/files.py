@@ -61,3 +61,23 @@ def parquet_roundtrip(df: DataFrame, name: str, partition_by: list[str] | None =
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of pinned tables: the cluster's shuffle partition count."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """Pin ``df`` as a parquet table in the shared folder, bucketed and sorted by
+    ``key``; later joins, windows and aggregates on ``key`` read it without a
+    shuffle. One file per bucket (rows are hash-partitioned before the write)."""
+    import uuid
+
+    spark = df.sparkSession
+    buckets = buckets or bucket_count(spark)
+    path = staging_path(spark, name)
+    table_name = f"sharecast_{name}_{uuid.uuid4().hex[:12]}"
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(table_name))
+    return spark.table(table_name)
