@@ -65,12 +65,14 @@ def fit_dictionary(long_train: DataFrame) -> DataFrame:
     """idx, value, n_rows, feature_id — ids 0..n-1 in (idx, value) order.
 
     Ids come from :func:`ranks.global_rank`, so no task ever holds the whole
-    dictionary; the result is pinned in the checkpoint folder.
+    dictionary; the result is written as a table in the shared folder.
     """
+    from ..sources.files import pin_table
+
     distinct = distinct_features(long_train)
     ranked = global_rank(distinct, [F.col("idx").asc(), F.col("value").asc()],
                          rank_col="feature_id", start=0)
-    return ranked.select("idx", "value", "n_rows", "feature_id").checkpoint(eager=True)
+    return pin_table(ranked.select("idx", "value", "n_rows", "feature_id"), "dictionary")
 
 
 def encode_long(long: DataFrame, dictionary: DataFrame, how: str = "inner") -> DataFrame:

@@ -28,7 +28,8 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys: list[str], *,
                 key_weight: str | None = None, how: str = "inner",
                 broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
                 max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
-                salts: int | None = None, salt_source: str | None = None) -> DataFrame:
+                salts: int | None = None, salt_source: str | None = None,
+                dim_rows: int | None = None) -> DataFrame:
     """Join ``fact`` to ``dim`` (unique on ``keys``), adding dim's other columns.
 
     ``key_weight`` names a dim column holding the expected number of fact rows

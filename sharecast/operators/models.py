@@ -16,7 +16,8 @@ article and pinned in the checkpoint folder. One iteration is
   the article partitioning, no shuffle) → residual per row → gradient =
   sum(residual) per feature (partial aggregation, one shuffle) → new weights.
 
-Each weight table is checkpointed, so lineage stays one iteration deep.
+Each weight table is written to the shared folder, so lineage stays one
+iteration deep.
 """
 
 from __future__ import annotations
@@ -92,14 +93,17 @@ def residual(margin, label, loss: str):
     raise ValueError(f"unknown loss {loss!r}")
 
 
-def with_weights(design: DataFrame, weights: DataFrame) -> DataFrame:
+def with_weights(design: DataFrame, weights: DataFrame,
+                 weight_rows: int | None = None) -> DataFrame:
     return lookup_join(design, weights.select("feature_id", "n_rows", "weight"),
-                       ["feature_id"], key_weight="n_rows", salt_source="article_id")
+                       ["feature_id"], key_weight="n_rows", salt_source="article_id",
+                       dim_rows=weight_rows)
 
 
-def gradient_sums(design: DataFrame, weights: DataFrame, loss: str) -> DataFrame:
+def gradient_sums(design: DataFrame, weights: DataFrame, loss: str,
+                  weight_rows: int | None = None) -> DataFrame:
     """feature_id, grad_sum — summed over all training rows (not yet averaged)."""
-    rows = with_weights(design, weights)
+    rows = with_weights(design, weights, weight_rows)
     margin = F.sum("weight").over(Window.partitionBy("article_id"))
     rows = rows.withColumn("residual", residual(margin, F.col("label"), loss))
     return rows.groupBy("feature_id").agg(F.sum("residual").alias("grad_sum"))
@@ -112,16 +116,16 @@ def step_constants(cfg: GDConfig, t: int) -> tuple[float, float]:
 
 
 def gradient_step(design: DataFrame, weights: DataFrame, n: int, t: int,
-                  cfg: GDConfig, broadcast_gradient: bool = False) -> DataFrame:
+                  cfg: GDConfig, weight_rows: int | None = None) -> DataFrame:
     """Weights after iteration t; keeps the previous weight as ``prev_weight``.
 
-    ``broadcast_gradient``: the gradient has at most one row per weight, so
-    when the weight table is known to be bounded it is broadcast into the
-    update instead of shuffling both sides.
+    ``weight_rows``: size of the weight table when known. The gradient has at
+    most one row per weight, so when that size is within the broadcast bound
+    the gradient is broadcast into the update instead of shuffling both sides.
     """
     s, shrink = step_constants(cfg, t)
-    g = gradient_sums(design, weights, cfg.loss)
-    if broadcast_gradient:
+    g = gradient_sums(design, weights, cfg.loss, weight_rows)
+    if weight_rows is not None and weight_rows <= DEFAULT_BROADCAST_ROWS:
         g = F.broadcast(g)
     mean_g = F.coalesce(F.col("grad_sum"), F.lit(0.0)) / F.lit(float(n))
     return (weights.join(g, "feature_id", "left")
@@ -132,11 +136,13 @@ def gradient_step(design: DataFrame, weights: DataFrame, n: int, t: int,
 def fit(design: DataFrame, dictionary: DataFrame, n: int, cfg: GDConfig,
         name: str) -> LinearModel:
     """Run up to ``cfg.iterations`` steps with the convergence rule above."""
-    w = initial_weights(dictionary, n, cfg.initial_intercept).checkpoint(eager=True)
-    small = w.limit(DEFAULT_BROADCAST_ROWS + 1).count() <= DEFAULT_BROADCAST_ROWS
+    from ..sources.files import pin_table
+
+    w = pin_table(initial_weights(dictionary, n, cfg.initial_intercept), f"{name}-w0")
+    rows = w.count()
     done = 0
     for t in range(1, cfg.iterations + 1):
-        new = gradient_step(design, w, n, t, cfg, small).checkpoint(eager=True)
+        new = pin_table(gradient_step(design, w, n, t, cfg, rows), f"{name}-w{t}")
         done = t
         w = new.select("feature_id", "n_rows", "weight")
         if t > 1:

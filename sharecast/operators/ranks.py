@@ -2,9 +2,11 @@
 
 A window with no ``partitionBy`` (or with a partition key that holds a whole
 split) moves every row into one task. Here the rows are range-partitioned on
-the full sort key (ties are split across partitions because the key is total),
-sorted inside each partition and written to the shared checkpoint folder, so
-partition ids and in-partition positions are fixed. Each (partition, group)
+the full sort key (ties are split across partitions because the key is total)
+and sorted inside each partition; in that same pass every row records its
+partition id and its position inside the partition as columns, and the result
+is written once to the shared folder. The order is thus data: any later read
+split, retry or lost executor sees the same ids. Each (partition, group)
 chunk is then summarised into a table with one row per chunk — at most
 ``#partitions + #groups`` rows — whose exclusive prefix sums give every row its
 global offset. That small table is the only thing broadcast.
@@ -25,10 +27,12 @@ def freeze_order(df: DataFrame, group_cols: list[str], order: list[Column]) -> D
     Returns the rows with ``_pid`` (partition) and ``_pos`` (an id increasing
     along the sort order inside each partition).
     """
+    from ..sources.files import pin_table
+
     keys = [F.col(c).asc() for c in group_cols] + list(order)
-    frozen = df.orderBy(*keys).checkpoint(eager=True)
-    return (frozen.withColumn(PID, F.spark_partition_id())
-            .withColumn(POS, F.monotonically_increasing_id()))
+    tagged = (df.orderBy(*keys).withColumn(PID, F.spark_partition_id())
+              .withColumn(POS, F.monotonically_increasing_id()))
+    return pin_table(tagged, "ordered")
 
 
 def _chunks(frozen: DataFrame, group_cols: list[str], sums: list[str]) -> DataFrame:

@@ -5,8 +5,8 @@ encoded design table → gradient-descent fits (logistic, hinge) → scores →
 log loss, ROC, AUC, selection.
 
 Pinned tables in the shared folder: the labeled articles and the training
-design table (bucketed by article), the dictionary and each weight table
-(checkpoints).
+design table (bucketed by article), the dictionary, each weight table and
+the scores (parquet tables).
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from ..operators import evaluate, features, models
 from ..operators.labels import with_label
 from ..operators.split import hash_split
 from ..session import ensure_checkpoint_dir
-from ..sources.files import write_bucketed
+from ..sources.files import pin_table, write_bucketed
 from ..sources import articles as article_source
 
 KEEP = ["article_id", "split", "label"]
@@ -104,6 +104,6 @@ class Evaluation:
 
 
 def evaluate_models(prep: Prepared, fitted: list[models.LinearModel]) -> Evaluation:
-    sc = scores(prep, fitted).checkpoint(eager=True)
+    sc = pin_table(scores(prep, fitted), "scores")
     return Evaluation(sc, evaluate.log_loss_table(sc), evaluate.auc(sc),
                       evaluate.baseline_log_loss(prep.labeled))

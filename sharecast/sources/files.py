@@ -63,6 +63,15 @@ def parquet_roundtrip(df: DataFrame, name: str, partition_by: list[str] | None =
     return df.sparkSession.read.parquet(path)
 
 
+def pin_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as parquet in the shared folder and scan it back: cuts
+    the lineage (an executor loss re-reads files instead of recomputing) and
+    computes ``df`` exactly once."""
+    path = staging_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def bucket_count(spark: SparkSession) -> int:
     """Buckets of pinned tables: the cluster's shuffle partition count."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
