@@ -104,6 +104,10 @@ def gradient_sums(design: DataFrame, weights: DataFrame, loss: str,
                   weight_rows: int | None = None) -> DataFrame:
     """feature_id, grad_sum — summed over all training rows (not yet averaged)."""
     rows = with_weights(design, weights, weight_rows)
+    return _sum_residuals(rows, loss)
+
+
+def _sum_residuals(rows: DataFrame, loss: str) -> DataFrame:
     margin = F.sum("weight").over(Window.partitionBy("article_id"))
     rows = rows.withColumn("residual", residual(margin, F.col("label"), loss))
     return rows.groupBy("feature_id").agg(F.sum("residual").alias("grad_sum"))
@@ -119,37 +123,52 @@ def gradient_step(design: DataFrame, weights: DataFrame, n: int, t: int,
                   cfg: GDConfig, weight_rows: int | None = None) -> DataFrame:
     """Weights after iteration t; keeps the previous weight as ``prev_weight``.
 
-    ``weight_rows``: size of the weight table when known. The gradient has at
-    most one row per weight, so when that size is within the broadcast bound
-    the gradient is broadcast into the update instead of shuffling both sides.
+    ``weight_rows``: size of the weight table when known. Within the broadcast
+    bound one broadcast of the weights serves both the margins and the update:
+    the aggregated gradient (partitioned by feature) looks its weight up in
+    the same stage. That needs every weight to have a gradient row, which
+    holds when the weights come from a dictionary fitted on the design's own
+    rows (each feature has n_rows >= 1, the intercept is on every row), as in
+    :func:`fit`. The general path (salted lookup, left-join update) also keeps
+    weights that no row activates.
     """
     s, shrink = step_constants(cfg, t)
-    g = gradient_sums(design, weights, cfg.loss, weight_rows)
-    if weight_rows is not None and weight_rows <= DEFAULT_BROADCAST_ROWS:
-        g = F.broadcast(g)
     mean_g = F.coalesce(F.col("grad_sum"), F.lit(0.0)) / F.lit(float(n))
-    return (weights.join(g, "feature_id", "left")
-            .select("feature_id", "n_rows", F.col("weight").alias("prev_weight"),
-                    (F.col("weight") * F.lit(shrink) - F.lit(s) * mean_g).alias("weight")))
+    cols = ["feature_id", "n_rows", F.col("weight").alias("prev_weight"),
+            (F.col("weight") * F.lit(shrink) - F.lit(s) * mean_g).alias("weight")]
+    if weight_rows is not None and weight_rows <= DEFAULT_BROADCAST_ROWS:
+        bw = F.broadcast(weights.select("feature_id", "n_rows", "weight"))
+        g = _sum_residuals(design.join(bw, "feature_id"), cfg.loss)
+        return g.join(bw, "feature_id").select(*cols)
+    g = gradient_sums(design, weights, cfg.loss, weight_rows)
+    return weights.join(g, "feature_id", "left").select(*cols)
 
 
 def fit(design: DataFrame, dictionary: DataFrame, n: int, cfg: GDConfig,
         name: str) -> LinearModel:
-    """Run up to ``cfg.iterations`` steps with the convergence rule above."""
+    """Run up to ``cfg.iterations`` steps with the convergence rule above.
+
+    Each iteration is one write of the new weight table; the two norms of the
+    stopping rule are observed during that write (no extra job).
+    """
+    from pyspark.sql import Observation
+
     from ..sources.files import pin_table
 
     w = pin_table(initial_weights(dictionary, n, cfg.initial_intercept), f"{name}-w0")
     rows = w.count()
     done = 0
     for t in range(1, cfg.iterations + 1):
-        new = pin_table(gradient_step(design, w, n, t, cfg, rows), f"{name}-w{t}")
+        obs = Observation(f"{name}-{t}")
+        step = gradient_step(design, w, n, t, cfg, rows).observe(
+            obs, F.sum((F.col("weight") - F.col("prev_weight")) ** 2).alias("diff2"),
+            F.sum(F.col("weight") ** 2).alias("norm2"))
+        new = pin_table(step, f"{name}-w{t}")
         done = t
         w = new.select("feature_id", "n_rows", "weight")
         if t > 1:
-            diff2, norm2 = new.agg(
-                F.sum((F.col("weight") - F.col("prev_weight")) ** 2),
-                F.sum(F.col("weight") ** 2)).first()
-            if math.sqrt(diff2) < cfg.tol * max(math.sqrt(norm2), 1.0):
+            m = obs.get
+            if math.sqrt(m["diff2"]) < cfg.tol * max(math.sqrt(m["norm2"]), 1.0):
                 break
     return LinearModel(name, w, done)
 
