@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The analysed workload is batch only — it has no stream source, watermark,
+event-time window, state or late-data handling — so no streaming operator is
+built. Every operator in this package is a DataFrame transformation; the
+stateless ones (labels, feature parsing, dictionary lookup, scoring with a
+fitted weight table) also accept a streaming DataFrame as input, but no
+streaming query is registered.
+"""
