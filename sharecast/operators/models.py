@@ -42,6 +42,7 @@ class GDConfig:
     reg: float = 1e-6
     tol: float = 1e-3
     initial_intercept: float = 1.0
+    pin_every: int = 5              # write the weight table every k iterations (and the last)
 
 
 @dataclass
@@ -148,27 +149,45 @@ def fit(design: DataFrame, dictionary: DataFrame, n: int, cfg: GDConfig,
         name: str) -> LinearModel:
     """Run up to ``cfg.iterations`` steps with the convergence rule above.
 
-    Each iteration is one write of the new weight table; the two norms of the
-    stopping rule are observed during that write (no extra job).
+    The weight table is written to the shared folder every ``cfg.pin_every``
+    iterations and after the last one; in between it is cached, so a lost
+    executor recomputes at most ``pin_every`` iterations from the last written
+    table. The two norms of the stopping rule are observed during each
+    iteration's job (no extra job).
     """
+    from pyspark import StorageLevel
     from pyspark.sql import Observation
 
     from ..sources.files import pin_table
 
     w = pin_table(initial_weights(dictionary, n, cfg.initial_intercept), f"{name}-w0")
     rows = w.count()
+    cached: list[DataFrame] = []
     done = 0
     for t in range(1, cfg.iterations + 1):
         obs = Observation(f"{name}-{t}")
         step = gradient_step(design, w, n, t, cfg, rows).observe(
             obs, F.sum((F.col("weight") - F.col("prev_weight")) ** 2).alias("diff2"),
             F.sum(F.col("weight") ** 2).alias("norm2"))
-        new = pin_table(step, f"{name}-w{t}")
+        last = t == cfg.iterations
+        if last or t % max(cfg.pin_every, 1) == 0:
+            new = pin_table(step, f"{name}-w{t}")
+            for c in cached:
+                c.unpersist()
+            cached = []
+        else:
+            new = step.persist(StorageLevel.MEMORY_AND_DISK)
+            new.count()
+            cached.append(new)
         done = t
         w = new.select("feature_id", "n_rows", "weight")
         if t > 1:
             m = obs.get
             if math.sqrt(m["diff2"]) < cfg.tol * max(math.sqrt(m["norm2"]), 1.0):
+                if cached:
+                    w = pin_table(w, f"{name}-w{t}")
+                    for c in cached:
+                        c.unpersist()
                 break
     return LinearModel(name, w, done)
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,9 @@ class Prepared:
         if self._design_train is None:
             train = self.labeled.filter(F.col("split") == F.lit("train"))
             enc = features.encode_long(self.long_train(), self.dictionary)
-            self._design_train = models.design_table(enc, train, KEEP)
+            # cached for the iterations (spills to disk); keeps the bucketing
+            self._design_train = models.design_table(enc, train, KEEP).persist(
+                StorageLevel.MEMORY_AND_DISK)
         return self._design_train
 
 
