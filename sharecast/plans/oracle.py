@@ -236,12 +236,12 @@ FROM (SELECT string_split(value, ', ') AS parts FROM lines) t,
     sql["drop_header"] = _with(_articles(False), _lines_cte()) + \
         f"SELECT value FROM (SELECT '{header}' AS value UNION ALL SELECT value FROM lines) WHERE value <> '{header}'"
     sql["schema_columns"] = _with(*_feat()) + f"""SELECT h.position, h.raw_name, h.name, h.role,
-  h.feature_index, c.n_values
+  h.feature_index, COALESCE(c.n_values, 0) AS n_values
 FROM (
   SELECT position, raw_name, regexp_replace(raw_name, ',$', '') AS name,
          CASE WHEN position = 0 THEN 'identifier' WHEN position = 1 THEN 'age'
               WHEN position = {n_cols - 1} THEN 'shares' ELSE 'predictor' END AS role,
-         CASE WHEN position BETWEEN 2 AND {n_cols - 2} THEN CAST(position - 2 AS INTEGER) END AS feature_index
+         CASE WHEN position BETWEEN 2 AND {n_cols - 2} THEN CAST(position - 2 AS INTEGER) ELSE -1 END AS feature_index
   FROM (SELECT CAST(generate_subscripts(p, 1) - 1 AS BIGINT) AS position, unnest(p) AS raw_name
         FROM (SELECT string_split_regex('{header}', '\\s+') AS p))
 ) h LEFT JOIN (SELECT idx, count(*) AS n_values FROM dict GROUP BY idx) c ON h.feature_index = c.idx"""
@@ -252,7 +252,7 @@ FROM (
     sql["distinct_features"] = _with(*_feat()) + \
         "SELECT idx, value, count(*) AS n_rows FROM long WHERE split = 'train' GROUP BY idx, value"
     sql["dictionary_size"] = _with(*_feat()) + \
-        "SELECT idx, count(*) AS n_values FROM dict GROUP BY ROLLUP (idx)"
+        "SELECT COALESCE(idx, -1) AS idx, count(*) AS n_values FROM dict GROUP BY ROLLUP (idx)"
     sql["feature_dictionary"] = _with(*_feat()) + "SELECT idx, value, feature_id FROM dict"
     sql["dictionary_lookup"] = _with(*_feat()) + \
         f"SELECT idx, value, feature_id FROM dict WHERE idx = {lk_idx} AND value = '{lk_val}'"

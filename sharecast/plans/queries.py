@@ -146,12 +146,15 @@ def q_schema_columns(spark, sf):
             .otherwise(F.lit("predictor")))
     cols = raw.select(F.col("pos").cast("bigint").alias("position"), "raw_name",
                       F.regexp_replace("raw_name", ",$", "").alias("name"), role.alias("role"))
+    # feature_index -1 and n_values 0 for the columns that are not predictors
     cols = cols.withColumn("feature_index",
                            F.when(F.col("role") == F.lit("predictor"),
-                                  (F.col("position") - F.lit(2)).cast("int")))
+                                  (F.col("position") - F.lit(2)).cast("int"))
+                           .otherwise(F.lit(-1)))
     prep = _prep(spark, sf)
     per_idx = prep.dictionary.groupBy("idx").agg(F.count(F.lit(1)).alias("n_values"))
-    return cols.join(per_idx, cols.feature_index == per_idx.idx, "left").drop("idx")
+    out = cols.join(F.broadcast(per_idx), cols.feature_index == per_idx.idx, "left").drop("idx")
+    return out.withColumn("n_values", F.coalesce("n_values", F.lit(0)).cast("bigint"))
 
 
 def q_scan_text_lines(spark, sf):
@@ -187,8 +190,10 @@ def q_distinct_features(spark, sf):
 
 
 def q_dictionary_size(spark, sf):
+    """Values per predictor index plus the total (idx -1)."""
     d = _prep(spark, sf).dictionary
-    return d.rollup("idx").agg(F.count(F.lit(1)).alias("n_values"))
+    out = d.rollup("idx").agg(F.count(F.lit(1)).alias("n_values"))
+    return out.select(F.coalesce("idx", F.lit(-1)).alias("idx"), "n_values")
 
 
 def q_feature_dictionary(spark, sf):

@@ -98,3 +98,16 @@ def test_bounded_broadcast_checks_size(spark):
     assert "broadcast" in str(J.bounded_broadcast(small, 50)._jdf.queryExecution().analyzed()).lower() \
         or J.bounded_broadcast(small, 50) is not small
     assert J.bounded_broadcast(big, 50) is big
+
+
+def test_random_split_disjoint_complete_and_weighted(spark):
+    from sharecast.operators.split import random_split
+    df = spark.range(0, 20000, 1, 6).withColumnRenamed("id", "article_id")
+    out = random_split(df)
+    assert out.count() == 20000
+    assert out.select("article_id").distinct().count() == 20000
+    counts = {r.split: r["count"] for r in out.groupBy("split").count().collect()}
+    assert abs(counts["train"] / 20000 - 0.8) < 0.02
+    assert abs(counts["val"] / 20000 - 0.1) < 0.02
+    again = {r.article_id: r.split for r in random_split(df).collect()}
+    assert again == {r.article_id: r.split for r in out.collect()}
