@@ -43,6 +43,7 @@ class GDConfig:
     tol: float = 1e-3
     initial_intercept: float = 1.0
     pin_every: int = 5              # write the weight table every k iterations (and the last)
+    broadcast_rows: int = DEFAULT_BROADCAST_ROWS   # largest weight table broadcast
 
 
 @dataclass
@@ -94,17 +95,18 @@ def residual(margin, label, loss: str):
     raise ValueError(f"unknown loss {loss!r}")
 
 
-def with_weights(design: DataFrame, weights: DataFrame,
-                 weight_rows: int | None = None) -> DataFrame:
+def with_weights(design: DataFrame, weights: DataFrame, weight_rows: int | None = None,
+                 broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     return lookup_join(design, weights.select("feature_id", "n_rows", "weight"),
                        ["feature_id"], key_weight="n_rows", salt_source="article_id",
-                       dim_rows=weight_rows)
+                       dim_rows=weight_rows, broadcast_rows=broadcast_rows)
 
 
 def gradient_sums(design: DataFrame, weights: DataFrame, loss: str,
-                  weight_rows: int | None = None) -> DataFrame:
+                  weight_rows: int | None = None,
+                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """feature_id, grad_sum — summed over all training rows (not yet averaged)."""
-    rows = with_weights(design, weights, weight_rows)
+    rows = with_weights(design, weights, weight_rows, broadcast_rows)
     return _sum_residuals(rows, loss)
 
 
@@ -137,11 +139,11 @@ def gradient_step(design: DataFrame, weights: DataFrame, n: int, t: int,
     mean_g = F.coalesce(F.col("grad_sum"), F.lit(0.0)) / F.lit(float(n))
     cols = ["feature_id", "n_rows", F.col("weight").alias("prev_weight"),
             (F.col("weight") * F.lit(shrink) - F.lit(s) * mean_g).alias("weight")]
-    if weight_rows is not None and weight_rows <= DEFAULT_BROADCAST_ROWS:
+    if weight_rows is not None and weight_rows <= cfg.broadcast_rows:
         bw = F.broadcast(weights.select("feature_id", "n_rows", "weight"))
         g = _sum_residuals(design.join(bw, "feature_id"), cfg.loss)
         return g.join(bw, "feature_id").select(*cols)
-    g = gradient_sums(design, weights, cfg.loss, weight_rows)
+    g = gradient_sums(design, weights, cfg.loss, weight_rows, cfg.broadcast_rows)
     return weights.join(g, "feature_id", "left").select(*cols)
 
 
@@ -152,8 +154,10 @@ def fit(design: DataFrame, dictionary: DataFrame, n: int, cfg: GDConfig,
     The weight table is written to the shared folder every ``cfg.pin_every``
     iterations and after the last one; in between it is cached, so a lost
     executor recomputes at most ``pin_every`` iterations from the last written
-    table. The two norms of the stopping rule are observed during each
-    iteration's job (no extra job).
+    table. A weight table above the broadcast bound is referenced several
+    times per iteration (salted lookup), so it is written every iteration to
+    keep the logical plan one iteration deep. The two norms of the stopping
+    rule are observed during each iteration's job (no extra job).
     """
     from pyspark import StorageLevel
     from pyspark.sql import Observation
@@ -162,6 +166,7 @@ def fit(design: DataFrame, dictionary: DataFrame, n: int, cfg: GDConfig,
 
     w = pin_table(initial_weights(dictionary, n, cfg.initial_intercept), f"{name}-w0")
     rows = w.count()
+    pin_every = max(cfg.pin_every, 1) if rows <= cfg.broadcast_rows else 1
     cached: list[DataFrame] = []
     done = 0
     for t in range(1, cfg.iterations + 1):
@@ -170,7 +175,7 @@ def fit(design: DataFrame, dictionary: DataFrame, n: int, cfg: GDConfig,
             obs, F.sum((F.col("weight") - F.col("prev_weight")) ** 2).alias("diff2"),
             F.sum(F.col("weight") ** 2).alias("norm2"))
         last = t == cfg.iterations
-        if last or t % max(cfg.pin_every, 1) == 0:
+        if last or t % pin_every == 0:
             new = pin_table(step, f"{name}-w{t}")
             for c in cached:
                 c.unpersist()
@@ -193,7 +198,7 @@ def fit(design: DataFrame, dictionary: DataFrame, n: int, cfg: GDConfig,
 
 
 def score(labeled: DataFrame, encoded: DataFrame, model: LinearModel,
-          keep: list[str]) -> DataFrame:
+          keep: list[str], broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """model, keep..., margin, score = sigmoid(active weights summed + intercept).
 
     ``encoded`` (article_id, feature_id) and ``labeled`` are both read from the
@@ -204,7 +209,7 @@ def score(labeled: DataFrame, encoded: DataFrame, model: LinearModel,
     """
     icpt = model.intercept().first()[0]
     rows = with_weights(encoded.select("article_id", "feature_id"),
-                        model.coefficients())
+                        model.coefficients(), broadcast_rows=broadcast_rows)
     sums = rows.groupBy("article_id").agg(F.sum("weight").alias("_dot"))
     out = labeled.select(*keep).join(sums, "article_id", "left")
     margin = F.coalesce(F.col("_dot"), F.lit(0.0)) + F.lit(float(icpt))
