@@ -60,14 +60,29 @@ def labeled_articles(spark: SparkSession, sf_dir: str, with_date: bool = False)
     return with_label(hash_split(arts))
 
 
-def prepare(spark: SparkSession, sf_dir: str, with_date: bool = False) -> Prepared:
-    ensure_checkpoint_dir(spark)
-    preds = article_source.predictors(with_date)
-    labeled = write_bucketed(labeled_articles(spark, sf_dir, with_date), "labeled", "article_id")
-    long = features.feature_long(labeled, preds, KEEP)
+def prepare_table(labeled: DataFrame, predictors: list[str]) -> Prepared:
+    """Pin a labeled, split table (article_id, split, label, predictors...) as
+    an article-bucketed table, build the long form and fit the dictionary."""
+    ensure_checkpoint_dir(labeled.sparkSession)
+    pinned = write_bucketed(labeled, "labeled", "article_id")
+    long = features.feature_long(pinned, predictors, KEEP)
     dictionary = features.fit_dictionary(long.filter(F.col("split") == F.lit("train")))
-    n_train = labeled.filter(F.col("split") == F.lit("train")).count()
-    return Prepared(labeled, preds, long, dictionary, n_train)
+    n_train = pinned.filter(F.col("split") == F.lit("train")).count()
+    return Prepared(pinned, predictors, long, dictionary, n_train)
+
+
+def prepare(spark: SparkSession, sf_dir: str, with_date: bool = False) -> Prepared:
+    """The article binding of the test tables, split by md5 of the order key."""
+    return prepare_table(labeled_articles(spark, sf_dir, with_date),
+                         article_source.predictors(with_date))
+
+
+def prepare_file(spark: SparkSession, path: str) -> Prepared:
+    """The 61-column article file: 58 string predictors, split by md5 of the url."""
+    from ..schema import predictor_names
+
+    arts = article_source.articles_from_file(spark, path)
+    return prepare_table(with_label(hash_split(arts, key="url")), predictor_names())
 
 
 def fit_model(prep: Prepared, loss: str, iterations: int, name: str | None = None,

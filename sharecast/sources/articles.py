@@ -71,3 +71,33 @@ def articles(spark: SparkSession, sf_dir: str, with_date: bool = False) -> DataF
 def article_columns(with_date: bool = False) -> list[str]:
     """Column order of the article file: url, timedelta, predictors, shares."""
     return ["url", "timedelta"] + predictors(with_date) + ["shares"]
+
+
+def articles_from_file(spark: SparkSession, path: str) -> DataFrame:
+    """The 61-column article file (comma + space separated, header line on top).
+
+    Read as the study reads it: text lines, every line equal to the header
+    dropped, fields split on ', ' and taken by position; the names come from
+    the header. Predictors stay strings; age and shares become doubles (an
+    unparsable number raises under ANSI, like ``float()``).
+
+    ``article_id`` is a row id assigned in this scan; pin the result (the
+    popularity plan writes it as a table) before relying on it across jobs.
+    Split on ``url`` (:func:`hash_split` with ``key='url'``) for a split that
+    repeats across runs.
+    """
+    from ..operators.features import drop_header, split_line
+    from ..schema import LINE_SEPARATOR
+    from .files import first_line, scan_text_lines
+
+    header = first_line(spark, path)
+    names = [n.strip() for n in header.split(LINE_SEPARATOR)]
+    lines = drop_header(scan_text_lines(spark, path), header)
+    parts = split_line("value")
+    cols = []
+    for i, name in enumerate(names):
+        c = F.get(parts, i)
+        if i in (1, len(names) - 1):
+            c = c.cast("double")
+        cols.append(c.alias(name))
+    return lines.select(*cols).withColumn("article_id", F.monotonically_increasing_id())

@@ -31,10 +31,14 @@ def write_article_files(df: DataFrame, columns: list[str], name: str = "articles
     return path
 
 
-def scan_text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Raw lines (``value``), header lines included; split count follows
-    ``spark.sql.files.maxPartitionBytes``."""
-    return spark.read.text(path)
+def scan_text_lines(spark: SparkSession, path: str, min_partitions: int = 2) -> DataFrame:
+    """Raw lines (``value``), header lines included. Splits follow
+    ``spark.sql.files.maxPartitionBytes``; a file smaller than that is still
+    spread over at least ``min_partitions`` tasks."""
+    df = spark.read.text(path)
+    if df.rdd.getNumPartitions() < min_partitions:
+        df = df.repartition(min_partitions)
+    return df
 
 
 def first_line(spark: SparkSession, path: str) -> str:
