@@ -211,22 +211,22 @@ def oracle_sql() -> dict[str, str]:
 
     sql["hash_split"] = _with(*_base()) + "SELECT article_id, bucket, split FROM labeled"
     sql["popularity_label"] = _with(*_base()) + \
-        "SELECT article_id, split, round(rate, 6) AS rate, label FROM labeled"
+        "SELECT article_id, split, rate, label FROM labeled"
     sql["split_counts"] = _with(*_base()) + \
         "SELECT COALESCE(split, 'all') AS split, count(*) AS n_rows FROM labeled GROUP BY ROLLUP (split)"
     sql["split_positive_counts"] = _with(*_base()) + \
         "SELECT split, count(*) AS n_rows, count(*) FILTER (WHERE label = 1.0) AS n_positive FROM labeled GROUP BY split"
     sql["positive_fraction"] = _with(*_base()) + \
-        "SELECT count(*) AS n_rows, count(*) FILTER (WHERE label = 1.0) AS n_positive, round(avg(label), 6) AS positive_fraction FROM labeled"
+        "SELECT count(*) AS n_rows, count(*) FILTER (WHERE label = 1.0) AS n_positive, avg(label) AS positive_fraction FROM labeled"
     sql["label_mean"] = _with(*_base()) + \
-        "SELECT round(avg(label), 6) AS label_mean FROM labeled WHERE split = 'train'"
+        "SELECT avg(label) AS label_mean FROM labeled WHERE split = 'train'"
     sql["shares_per_day_profile"] = _with(*_base()) + """SELECT count(*) AS n_rows,
-  round(min(rate), 6) AS min_rate, round(max(rate), 6) AS max_rate,
+  min(rate) AS min_rate, max(rate) AS max_rate,
   round(avg(rate), 6) AS mean_rate, round(stddev_pop(rate), 6) AS stddev_rate,
   round(avg(power(rate - m, 3)) / power(avg(power(rate - m, 2)), 1.5), 6) AS skewness_rate,
   count(*) FILTER (WHERE rate > 50) AS n_above,
   round(avg(CASE WHEN rate > 50 THEN 1.0 ELSE 0.0 END), 6) AS fraction_above,
-  round(max(timedelta), 6) AS max_timedelta
+  max(timedelta) AS max_timedelta
 FROM labeled, (SELECT avg(rate) AS m FROM labeled)"""
 
     sql["parse_line_features"] = _with(_articles(False), _lines_cte()) + """SELECT parts[1] AS url,
@@ -246,7 +246,7 @@ FROM (
         FROM (SELECT string_split_regex('{header}', '\\s+') AS p))
 ) h LEFT JOIN (SELECT idx, count(*) AS n_values FROM dict GROUP BY idx) c ON h.feature_index = c.idx"""
     sql["sink_parquet_roundtrip"] = _with(*_base()) + \
-        "SELECT article_id, split, label, round(rate, 6) AS rate FROM labeled"
+        "SELECT article_id, split, label, rate FROM labeled"
 
     sql["feature_long"] = _with(*_feat()) + "SELECT article_id, split, idx, value FROM long"
     sql["distinct_features"] = _with(*_feat()) + \
@@ -303,7 +303,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY model, split ORDER BY round(scor
     sql["log_loss_eval"] = _with(*_eval()) + \
         "SELECT model, split, n_rows, round(log_loss, 6) AS log_loss FROM loss_t"
     sql["roc_points"] = _with(*_eval()) + \
-        "SELECT model, split, rn, article_id, label, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr FROM curve WHERE split IN ('val', 'test')"
+        "SELECT model, split, rn, article_id, label, tpr, fpr FROM curve WHERE split IN ('val', 'test')"
     sql["auc"] = _with(*_eval()) + "SELECT model, split, round(auc, 6) AS auc FROM auc_t"
     sql["model_split_metrics"] = _with(*_eval()) + """SELECT l.model, l.split, l.n_rows, round(l.log_loss, 6) AS log_loss,
   round(b.baseline_log_loss, 6) AS baseline_log_loss, round(a.auc, 6) AS auc
