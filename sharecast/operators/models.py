@@ -215,3 +215,37 @@ def score(labeled: DataFrame, encoded: DataFrame, model: LinearModel,
     margin = F.coalesce(F.col("_dot"), F.lit(0.0)) + F.lit(float(icpt))
     return out.select(F.lit(model.name).alias("model"), *keep, margin.alias("margin"),
                       sigmoid(margin).alias("score"))
+
+
+def score_many(labeled: DataFrame, encoded: DataFrame, fitted: list[LinearModel],
+               keep: list[str], broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """:func:`score` for several models in one pass over the encoded rows.
+
+    The models' coefficients are put side by side (one column per model, a
+    full outer join on feature_id over weight tables only), every article sums
+    each column in the same aggregate, and the result is stacked back to one
+    row per (model, article).
+    """
+    wide = None
+    for i, m in enumerate(fitted):
+        c = m.coefficients().select("feature_id", F.col("n_rows").alias(f"_n{i}"),
+                                    F.col("weight").alias(f"_w{i}"))
+        wide = c if wide is None else wide.join(c, "feature_id", "full_outer")
+    wide = wide.select("feature_id",
+                       F.greatest(*[F.coalesce(F.col(f"_n{i}"), F.lit(0)) for i in range(len(fitted))])
+                       .alias("n_rows"),
+                       *[F.coalesce(F.col(f"_w{i}"), F.lit(0.0)).alias(f"_w{i}")
+                         for i in range(len(fitted))])
+    rows = lookup_join(encoded.select("article_id", "feature_id"), wide, ["feature_id"],
+                       key_weight="n_rows", salt_source="article_id",
+                       broadcast_rows=broadcast_rows)
+    sums = rows.groupBy("article_id").agg(*[F.sum(f"_w{i}").alias(f"_d{i}")
+                                            for i in range(len(fitted))])
+    out = labeled.select(*keep).join(sums, "article_id", "left")
+    icpts = [m.intercept().first()[0] for m in fitted]
+    per_model = F.array(*[
+        F.struct(F.lit(m.name).alias("model"),
+                 (F.coalesce(F.col(f"_d{i}"), F.lit(0.0)) + F.lit(float(b))).alias("margin"))
+        for i, (m, b) in enumerate(zip(fitted, icpts))])
+    stacked = out.select(*keep, F.inline(per_model))
+    return stacked.select("model", *keep, "margin", sigmoid("margin").alias("score"))

@@ -97,12 +97,8 @@ def fit_both(prep: Prepared, iterations: int) -> list[models.LinearModel]:
 
 
 def scores(prep: Prepared, fitted: list[models.LinearModel]) -> DataFrame:
-    enc = prep.encoded()
-    out = None
-    for m in fitted:
-        s = models.score(prep.labeled, enc, m, KEEP)
-        out = s if out is None else out.unionByName(s)
-    return out
+    """All models scored in one pass over the encoded rows."""
+    return models.score_many(prep.labeled, prep.encoded(), fitted, KEEP)
 
 
 def model_weights(fitted: list[models.LinearModel]) -> DataFrame:

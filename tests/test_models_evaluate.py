@@ -180,3 +180,19 @@ def test_large_model_path_equals_broadcast_path(spark, loss):
     s2 = {r.article_id: r.score for r in M.score(df, enc, large, keep, broadcast_rows=0).collect()}
     assert s1.keys() == s2.keys()
     assert all(s1[k] == pytest.approx(s2[k], abs=1e-12) for k in s1)
+
+
+def test_score_many_equals_single_scores(spark):
+    df, long, d, design = _fixture(spark, n=200, seed=3)
+    n = df.count()
+    lr = M.fit(design, d, n, M.GDConfig(loss="logistic", iterations=3), "lr")
+    svm = M.fit(design, d, n, M.GDConfig(loss="hinge", iterations=3), "svm")
+    keep = ["article_id", "split", "label"]
+    enc = FT.encode_long(long, d)
+    many = {(r.model, r.article_id): r.score for r in M.score_many(df, enc, [lr, svm], keep).collect()}
+    one = {(r.model, r.article_id): r.score for m in (lr, svm) for r in M.score(df, enc, m, keep).collect()}
+    assert many.keys() == one.keys()
+    assert all(many[k] == pytest.approx(one[k], abs=1e-12) for k in many)
+    large = {(r.model, r.article_id): r.score
+             for r in M.score_many(df, enc, [lr, svm], keep, broadcast_rows=0).collect()}
+    assert all(large[k] == pytest.approx(one[k], abs=1e-12) for k in one)
