@@ -127,13 +127,13 @@ def gradient_step(design: DataFrame, weights: DataFrame, n: int, t: int,
     """Weights after iteration t; keeps the previous weight as ``prev_weight``.
 
     ``weight_rows``: size of the weight table when known. Within the broadcast
-    bound one broadcast of the weights serves both the margins and the update:
-    the aggregated gradient (partitioned by feature) looks its weight up in
-    the same stage. That needs every weight to have a gradient row, which
-    holds when the weights come from a dictionary fitted on the design's own
-    rows (each feature has n_rows >= 1, the intercept is on every row), as in
-    :func:`fit`. The general path (salted lookup, left-join update) also keeps
-    weights that no row activates.
+    bound the weights are broadcast once; every design row then carries its
+    feature's weight and n_rows, so the per-feature aggregate returns them next
+    to the gradient sum and the update needs no second join. That needs every
+    weight to have a design row, which holds when the weights come from a
+    dictionary fitted on the design's own rows (each feature has n_rows >= 1,
+    the intercept is on every row), as in :func:`fit`. The general path
+    (salted lookup, left-join update) also keeps weights no row activates.
     """
     s, shrink = step_constants(cfg, t)
     mean_g = F.coalesce(F.col("grad_sum"), F.lit(0.0)) / F.lit(float(n))
@@ -141,8 +141,13 @@ def gradient_step(design: DataFrame, weights: DataFrame, n: int, t: int,
             (F.col("weight") * F.lit(shrink) - F.lit(s) * mean_g).alias("weight")]
     if weight_rows is not None and weight_rows <= cfg.broadcast_rows:
         bw = F.broadcast(weights.select("feature_id", "n_rows", "weight"))
-        g = _sum_residuals(design.join(bw, "feature_id"), cfg.loss)
-        return g.join(bw, "feature_id").select(*cols)
+        rows = design.join(bw, "feature_id")
+        margin = F.sum("weight").over(Window.partitionBy("article_id"))
+        rows = rows.withColumn("residual", residual(margin, F.col("label"), cfg.loss))
+        g = rows.groupBy("feature_id").agg(F.sum("residual").alias("grad_sum"),
+                                           F.max("n_rows").alias("n_rows"),
+                                           F.max("weight").alias("weight"))
+        return g.select(*cols)
     g = gradient_sums(design, weights, cfg.loss, weight_rows, cfg.broadcast_rows)
     return weights.join(g, "feature_id", "left").select(*cols)
 
