@@ -8,16 +8,18 @@ for every weight including the intercept; from the second iteration on the
 loop stops when ``||w_t - w_{t-1}|| < tol * max(||w_t||, 1)``.
 
 Data layout: the *design* table has one row per (article, active feature) plus
-one intercept row (``feature_id = -1``) per article, hash-partitioned by
-article and pinned in the checkpoint folder. One iteration is
-
-  design ⋈ weights (lookup_join: broadcast when the weight table is bounded,
-  salted shuffle otherwise) → margin = sum(weight) per article (a window over
-  the article partitioning, no shuffle) → residual per row → gradient =
-  sum(residual) per feature (partial aggregation, one shuffle) → new weights.
-
-Each weight table is written to the shared folder, so lineage stays one
-iteration deep.
+one intercept row (``feature_id = -1``) per article, written as a parquet table
+bucketed by article in the shared folder (and cached for the iterations). One
+iteration is
+
+  design ⋈ weights (broadcast when the weight table is within the bound,
+  salted shuffle join otherwise) → margin = sum(weight) per article (a window
+  over the bucketing, no shuffle) → residual per row → gradient = sum(residual)
+  per feature (partial aggregation, one shuffle) → new weights.
+
+Weight tables are written to the shared folder every few iterations (every
+iteration for tables above the broadcast bound) and cached in between, so a
+lost executor recomputes at most a few iterations.
 """
 
 from __future__ import annotations
