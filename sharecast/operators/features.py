@@ -61,6 +61,13 @@ def distinct_features(long_train: DataFrame) -> DataFrame:
     return long_train.groupBy("idx", "value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def dictionary_size_estimate(long_train: DataFrame, rsd: float = 0.02) -> DataFrame:
+    """Approximate distinct values per predictor (HyperLogLog++, one pass,
+    fixed-size state per task) — sizes the dictionary before fitting it."""
+    return long_train.groupBy("idx").agg(
+        F.approx_count_distinct("value", rsd).alias("approx_values"))
+
+
 def fit_dictionary(long_train: DataFrame) -> DataFrame:
     """idx, value, n_rows, feature_id — ids 0..n-1 in (idx, value) order.
 

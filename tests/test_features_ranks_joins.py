@@ -111,3 +111,12 @@ def test_random_split_disjoint_complete_and_weighted(spark):
     assert abs(counts["val"] / 20000 - 0.1) < 0.02
     again = {r.article_id: r.split for r in random_split(df).collect()}
     assert again == {r.article_id: r.split for r in out.collect()}
+
+
+def test_dictionary_size_estimate_close_to_exact(spark):
+    df = spark.range(0, 30000, 1, 4).select(
+        F.col("id").alias("article_id"), F.lit("train").alias("split"), F.lit(0.0).alias("label"),
+        (F.col("id") % 5000).cast("string").alias("p0"), (F.col("id") % 7).cast("string").alias("p1"))
+    long = FT.feature_long(df, ["p0", "p1"], ["article_id", "split", "label"])
+    est = {r.idx: r.approx_values for r in FT.dictionary_size_estimate(long).collect()}
+    assert abs(est[0] - 5000) / 5000 < 0.05 and est[1] == 7
