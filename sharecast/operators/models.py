@@ -204,6 +204,93 @@ def fit(design: DataFrame, dictionary: DataFrame, n: int, cfg: GDConfig,
     return LinearModel(name, w, done)
 
 
+def fit_many(design: DataFrame, dictionary: DataFrame, n: int,
+             configs: list[tuple[str, GDConfig]]) -> list[LinearModel]:
+    """Fit several models on the same design table with one scan per iteration.
+
+    The weight table holds one column per model; every iteration joins the
+    design to it once, computes each model's per-article margin and residual
+    (one window operator), and sums all residual columns in one aggregate.
+    Each model follows its own configuration and stopping rule; a model that
+    has stopped keeps its weights while the others continue. Falls back to
+    :func:`fit` per model when the weight table is above the broadcast bound.
+    """
+    from pyspark import StorageLevel
+    from pyspark.sql import Observation
+
+    from ..sources.files import pin_table
+
+    k = len(configs)
+    base = initial_weights(dictionary, n, 0.0)
+    rows = base.count()
+    bound = min(c.broadcast_rows for _, c in configs)
+    if rows > bound or k == 1:
+        return [fit(design, dictionary, n, c, name) for name, c in configs]
+    bias = F.col("feature_id") == F.lit(BIAS_ID)
+    wide = pin_table(base.select(
+        "feature_id", "n_rows",
+        *[F.when(bias, F.lit(float(c.initial_intercept))).otherwise(F.lit(0.0)).alias(f"w{i}")
+          for i, (_, c) in enumerate(configs)]), "weights-w0")
+    active = [True] * k
+    done = [0] * k
+    cached: list[DataFrame] = []
+    pin_every = max(min(c.pin_every for _, c in configs), 1)
+    iterations = max(c.iterations for _, c in configs)
+    win = Window.partitionBy("article_id")
+    for t in range(1, iterations + 1):
+        live = [active[i] and t <= configs[i][1].iterations for i in range(k)]
+        joined = design.join(F.broadcast(wide), "feature_id")
+        aggs = [F.max("n_rows").alias("n_rows")]
+        for i, (_, c) in enumerate(configs):
+            aggs.append(F.max(f"w{i}").alias(f"p{i}"))
+            if live[i]:
+                joined = joined.withColumn(
+                    f"r{i}", residual(F.sum(f"w{i}").over(win), F.col("label"), c.loss))
+                aggs.append(F.sum(f"r{i}").alias(f"g{i}"))
+        g = joined.groupBy("feature_id").agg(*aggs)
+        cols, metrics = ["feature_id", "n_rows"], []
+        for i, (_, c) in enumerate(configs):
+            if live[i]:
+                s, shrink = step_constants(c, t)
+                new = F.col(f"p{i}") * F.lit(shrink) - F.lit(s) * (F.col(f"g{i}") / F.lit(float(n)))
+            else:
+                new = F.col(f"p{i}")
+            cols.append(new.alias(f"w{i}"))
+        step = g.select(*cols, *[F.col(f"p{i}") for i in range(k)])
+        obs = Observation(f"fit-many-{t}")
+        for i in range(k):
+            metrics += [F.sum((F.col(f"w{i}") - F.col(f"p{i}")) ** 2).alias(f"d{i}"),
+                        F.sum(F.col(f"w{i}") ** 2).alias(f"n{i}")]
+        step = step.observe(obs, *metrics)
+        last = t == iterations
+        if last or t % pin_every == 0:
+            new_wide = pin_table(step, f"weights-w{t}")
+            for c_ in cached:
+                c_.unpersist()
+            cached = []
+        else:
+            new_wide = step.persist(StorageLevel.MEMORY_AND_DISK)
+            new_wide.count()
+            cached.append(new_wide)
+        wide = new_wide.select("feature_id", "n_rows", *[f"w{i}" for i in range(k)])
+        m = obs.get
+        for i, (_, c) in enumerate(configs):
+            if not live[i]:
+                active[i] = False
+                continue
+            done[i] = t
+            if t > 1 and math.sqrt(m[f"d{i}"]) < c.tol * max(math.sqrt(m[f"n{i}"]), 1.0):
+                active[i] = False
+        if not any(active[i] and t < configs[i][1].iterations for i in range(k)):
+            break
+    if cached:
+        wide = pin_table(wide, "weights-final")
+        for c_ in cached:
+            c_.unpersist()
+    return [LinearModel(name, wide.select("feature_id", "n_rows", F.col(f"w{i}").alias("weight")),
+                        done[i]) for i, (name, _) in enumerate(configs)]
+
+
 def score(labeled: DataFrame, encoded: DataFrame, model: LinearModel,
           keep: list[str], broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """model, keep..., margin, score = sigmoid(active weights summed + intercept).

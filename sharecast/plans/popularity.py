@@ -93,7 +93,11 @@ def fit_model(prep: Prepared, loss: str, iterations: int, name: str | None = Non
 
 
 def fit_both(prep: Prepared, iterations: int) -> list[models.LinearModel]:
-    return [fit_model(prep, "logistic", iterations), fit_model(prep, "hinge", iterations)]
+    """Logistic regression and linear SVM, trained together (one scan of the
+    design table per iteration for both)."""
+    cfgs = [("lr", models.GDConfig(loss="logistic", iterations=iterations)),
+            ("svm", models.GDConfig(loss="hinge", iterations=iterations))]
+    return models.fit_many(prep.design_train(), prep.dictionary, prep.n_train, cfgs)
 
 
 def scores(prep: Prepared, fitted: list[models.LinearModel]) -> DataFrame:

@@ -25,6 +25,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.ui.retainedJobs", os.environ.get("SHARECAST_RETAINED", "200"))
+        .config("spark.ui.retainedStages", os.environ.get("SHARECAST_RETAINED", "200"))
+        .config("spark.sql.ui.retainedExecutions", os.environ.get("SHARECAST_RETAINED", "200"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -196,3 +196,19 @@ def test_score_many_equals_single_scores(spark):
     large = {(r.model, r.article_id): r.score
              for r in M.score_many(df, enc, [lr, svm], keep, broadcast_rows=0).collect()}
     assert all(large[k] == pytest.approx(one[k], abs=1e-12) for k in one)
+
+
+def test_fit_many_equals_separate_fits(spark):
+    df, long, d, design = _fixture(spark, n=300, seed=21)
+    n = df.count()
+    cfgs = [("lr", M.GDConfig(loss="logistic", iterations=7)),
+            ("svm", M.GDConfig(loss="hinge", iterations=7, tol=0.2)),
+            ("lr2", M.GDConfig(loss="logistic", iterations=4, step=0.5, reg=1e-3))]
+    many = M.fit_many(design, d, n, cfgs)
+    for (name, cfg), m in zip(cfgs, many):
+        one = M.fit(design, d, n, cfg, name)
+        assert m.iterations_run == one.iterations_run, name
+        a = {r.feature_id: r.weight for r in m.weights.collect()}
+        b = {r.feature_id: r.weight for r in one.weights.collect()}
+        assert a.keys() == b.keys()
+        assert all(a[f] == pytest.approx(b[f], abs=1e-12) for f in a), name
