@@ -169,9 +169,11 @@ def fit(design: DataFrame, dictionary: DataFrame, n: int, cfg: GDConfig,
     from pyspark import StorageLevel
     from pyspark.sql import Observation
 
-    from ..sources.files import pin_table
+    from ..sources.files import drop_files, pin_table
 
-    w = pin_table(initial_weights(dictionary, n, cfg.initial_intercept), f"{name}-w0")
+    spark = design.sparkSession
+    w, path = pin_table(initial_weights(dictionary, n, cfg.initial_intercept), f"{name}-w0",
+                        with_path=True)
     rows = w.count()
     pin_every = max(cfg.pin_every, 1) if rows <= cfg.broadcast_rows else 1
     cached: list[DataFrame] = []
@@ -183,10 +185,12 @@ def fit(design: DataFrame, dictionary: DataFrame, n: int, cfg: GDConfig,
             F.sum(F.col("weight") ** 2).alias("norm2"))
         last = t == cfg.iterations
         if last or t % pin_every == 0:
-            new = pin_table(step, f"{name}-w{t}")
+            new, new_path = pin_table(step, f"{name}-w{t}", with_path=True)
             for c in cached:
                 c.unpersist()
             cached = []
+            drop_files(spark, path)        # superseded: nothing reads it any more
+            path = new_path
         else:
             new = step.persist(StorageLevel.MEMORY_AND_DISK)
             new.count()
@@ -197,9 +201,10 @@ def fit(design: DataFrame, dictionary: DataFrame, n: int, cfg: GDConfig,
             m = obs.get
             if math.sqrt(m["diff2"]) < cfg.tol * max(math.sqrt(m["norm2"]), 1.0):
                 if cached:
-                    w = pin_table(w, f"{name}-w{t}")
+                    w, new_path = pin_table(w, f"{name}-w{t}", with_path=True)
                     for c in cached:
                         c.unpersist()
+                    drop_files(spark, path)
                 break
     return LinearModel(name, w, done)
 
@@ -218,8 +223,9 @@ def fit_many(design: DataFrame, dictionary: DataFrame, n: int,
     from pyspark import StorageLevel
     from pyspark.sql import Observation
 
-    from ..sources.files import pin_table
+    from ..sources.files import drop_files, pin_table
 
+    spark = design.sparkSession
     k = len(configs)
     base = initial_weights(dictionary, n, 0.0)
     rows = base.count()
@@ -227,10 +233,10 @@ def fit_many(design: DataFrame, dictionary: DataFrame, n: int,
     if rows > bound or k == 1:
         return [fit(design, dictionary, n, c, name) for name, c in configs]
     bias = F.col("feature_id") == F.lit(BIAS_ID)
-    wide = pin_table(base.select(
+    wide, path = pin_table(base.select(
         "feature_id", "n_rows",
         *[F.when(bias, F.lit(float(c.initial_intercept))).otherwise(F.lit(0.0)).alias(f"w{i}")
-          for i, (_, c) in enumerate(configs)]), "weights-w0")
+          for i, (_, c) in enumerate(configs)]), "weights-w0", with_path=True)
     active = [True] * k
     done = [0] * k
     cached: list[DataFrame] = []
@@ -264,10 +270,12 @@ def fit_many(design: DataFrame, dictionary: DataFrame, n: int,
         step = step.observe(obs, *metrics)
         last = t == iterations
         if last or t % pin_every == 0:
-            new_wide = pin_table(step, f"weights-w{t}")
+            new_wide, new_path = pin_table(step, f"weights-w{t}", with_path=True)
             for c_ in cached:
                 c_.unpersist()
             cached = []
+            drop_files(spark, path)
+            path = new_path
         else:
             new_wide = step.persist(StorageLevel.MEMORY_AND_DISK)
             new_wide.count()
@@ -287,6 +295,7 @@ def fit_many(design: DataFrame, dictionary: DataFrame, n: int,
         wide = pin_table(wide, "weights-final")
         for c_ in cached:
             c_.unpersist()
+        drop_files(spark, path)
     return [LinearModel(name, wide.select("feature_id", "n_rows", F.col(f"w{i}").alias("weight")),
                         done[i]) for i, (name, _) in enumerate(configs)]
 

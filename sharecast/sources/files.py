@@ -67,13 +67,21 @@ def parquet_roundtrip(df: DataFrame, name: str, partition_by: list[str] | None =
     return df.sparkSession.read.parquet(path)
 
 
-def pin_table(df: DataFrame, name: str) -> DataFrame:
+def pin_table(df: DataFrame, name: str, with_path: bool = False):
     """Write ``df`` once as parquet in the shared folder and scan it back: cuts
     the lineage (an executor loss re-reads files instead of recomputing) and
-    computes ``df`` exactly once."""
+    computes ``df`` exactly once. ``with_path=True`` also returns the folder."""
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    return (out, path) if with_path else out
+
+
+def drop_files(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more (Hadoop FileSystem,
+    so it works on any cluster file system)."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def bucket_count(spark: SparkSession) -> int:
