@@ -42,9 +42,6 @@ class Prepared:
     def encoded(self, how: str = "inner") -> DataFrame:
         return features.encode_long(self.long, self.dictionary, how=how)
 
-    def design_all(self) -> DataFrame:
-        return models.design_rows(self.encoded(), self.labeled, KEEP)
-
     def design_train(self) -> DataFrame:
         if self._design_train is None:
             train = self.labeled.filter(F.col("split") == F.lit("train"))

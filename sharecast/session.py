@@ -20,8 +20,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     cpus = os.environ.get("BENCH_CPUS", "8")
     master = master or f"local[{cpus}]"
     shuffle_partitions = shuffle_partitions or int(cpus)
+    builder = SparkSession.builder
+    event_dir = os.environ.get("SHARECAST_EVENT_LOG_DIR")
+    if event_dir:   # stage/task timings for offline reading (no UI server)
+        builder = (builder.config("spark.eventLog.enabled", "true")
+                   .config("spark.eventLog.dir", event_dir))
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
