@@ -17,9 +17,9 @@ iteration is
   over the bucketing, no shuffle) → residual per row → gradient = sum(residual)
   per feature (partial aggregation, one shuffle) → new weights.
 
-Weight tables are written to the shared folder every few iterations (every
-iteration for tables above the broadcast bound) and cached in between, so a
-lost executor recomputes at most a few iterations.
+Weight tables are written to the shared folder every iteration (optionally
+every k iterations, cached in between), so a lost executor re-reads files
+and lineage stays one iteration deep; superseded tables are deleted.
 """
 
 from __future__ import annotations
@@ -44,7 +44,8 @@ class GDConfig:
     reg: float = 1e-6
     tol: float = 1e-3
     initial_intercept: float = 1.0
-    pin_every: int = 5              # write the weight table every k iterations (and the last)
+    pin_every: int = 1              # write the weight table every k iterations (and the last);
+                                    # k > 1 caches the iterations in between
     broadcast_rows: int = DEFAULT_BROADCAST_ROWS   # largest weight table broadcast
 
 

@@ -212,3 +212,17 @@ def test_fit_many_equals_separate_fits(spark):
         b = {r.feature_id: r.weight for r in one.weights.collect()}
         assert a.keys() == b.keys()
         assert all(a[f] == pytest.approx(b[f], abs=1e-12) for f in a), name
+
+
+def test_cached_iterations_equal_written_iterations(spark):
+    df, long, d, design = _fixture(spark, n=200, seed=13)
+    n = df.count()
+    a = M.fit(design, d, n, M.GDConfig(iterations=7, pin_every=1), "lr")
+    b = M.fit(design, d, n, M.GDConfig(iterations=7, pin_every=3), "lr")
+    wa = {r.feature_id: r.weight for r in a.weights.collect()}
+    wb = {r.feature_id: r.weight for r in b.weights.collect()}
+    assert wa.keys() == wb.keys() and all(wa[k] == pytest.approx(wb[k], abs=1e-12) for k in wa)
+    many = M.fit_many(design, d, n, [("lr", M.GDConfig(iterations=7, pin_every=3)),
+                                      ("svm", M.GDConfig(loss="hinge", iterations=7, pin_every=3))])
+    wm = {r.feature_id: r.weight for r in many[0].weights.collect()}
+    assert all(wm[k] == pytest.approx(wa[k], abs=1e-12) for k in wa)
