@@ -35,9 +35,17 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys: list[str], *,
     ``key_weight`` names a dim column holding the expected number of fact rows
     per key; it drives the hot-key split when the dimension is too large to
     broadcast. ``salt_source`` is a fact column used to spread hot rows.
+    ``dim_rows`` is the dimension's row count when the caller already knows it
+    (skips the counting job).
+
+    Hot keys are those carrying at least ``total / max_hot_keys`` fact rows, so
+    there are at most ``max_hot_keys`` of them (a bounded broadcast). A hot key
+    with weight ``w`` gets ``min(salts, ceil(w / threshold))`` salts: its fact
+    rows spread over that many reducers and its dimension row is replicated
+    that many times — at most ``2 * max_hot_keys`` extra dimension rows.
     """
     payload = [c for c in dim.columns if c not in keys and c != key_weight]
-    n_dim = dim.limit(broadcast_rows + 1).count()
+    n_dim = dim_rows if dim_rows is not None else dim.limit(broadcast_rows + 1).count()
     if n_dim <= broadcast_rows:
         return fact.join(F.broadcast(dim.select(*keys, *payload)), keys, how)
 
@@ -48,16 +56,20 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys: list[str], *,
 
     total = dim.agg(F.sum(key_weight)).first()[0] or 0
     threshold = max(1, total // max_hot_keys)
-    # At most max_hot_keys keys can reach the threshold: a bounded broadcast.
-    hot = dim.filter(F.col(key_weight) >= threshold).select(*keys)
-    tagged = fact.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    hot = dim.filter(F.col(key_weight) >= F.lit(threshold)).select(
+        *keys, F.least(F.lit(salts), F.ceil(F.col(key_weight) / F.lit(threshold)))
+        .cast("int").alias("_n_salts"))
     spread = F.col(salt_source) if salt_source else F.xxhash64(*fact.columns)
-    tagged = tagged.withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)))
-        .otherwise(F.lit(0))).drop("_hot")
-    hot_dim = (dim.join(F.broadcast(hot), keys, "left_semi")
-               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    tagged = (fact.join(F.broadcast(hot), keys, "left")
+              .withColumn("_salt", F.when(F.col("_n_salts").isNotNull(),
+                                          F.pmod(F.xxhash64(spread), F.col("_n_salts")))
+                          .otherwise(F.lit(0)).cast("int"))
+              .drop("_n_salts"))
+    hot_dim = (dim.join(F.broadcast(hot), keys)
+               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_n_salts") - F.lit(1))))
+               .drop("_n_salts"))
     cold_dim = (dim.join(F.broadcast(hot), keys, "left_anti")
                 .withColumn("_salt", F.lit(0)))
-    salted_dim = hot_dim.unionByName(cold_dim).select(*keys, "_salt", *payload)
+    salted_dim = hot_dim.unionByName(cold_dim, allowMissingColumns=True).select(
+        *keys, "_salt", *payload)
     return tagged.join(salted_dim, keys + ["_salt"], how).drop("_salt")
