@@ -51,6 +51,12 @@ class Prepared:
                 StorageLevel.MEMORY_AND_DISK)
         return self._design_train
 
+    def release(self) -> None:
+        """Drop the cached training design (its table stays on storage)."""
+        if self._design_train is not None:
+            self._design_train.unpersist()
+            self._design_train = None
+
 
 def labeled_articles(spark: SparkSession, sf_dir: str, with_date: bool = False) -> DataFrame:
     arts = article_source.articles(spark, sf_dir, with_date)

@@ -40,6 +40,10 @@ _memo: dict = {}
 
 
 def clear_cache() -> None:
+    """Forget memoised preparations and release their cached design tables."""
+    for v in _memo.values():
+        if isinstance(v, P.Prepared):
+            v.release()
     _memo.clear()
 
 
