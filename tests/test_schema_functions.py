@@ -93,3 +93,14 @@ def test_md5_bucket_matches_python(spark):
     for k in keys:
         want = int(hashlib.md5(str(k).encode()).hexdigest()[:8], 16) % 10
         assert got[k] == want
+
+
+def test_rate_quantiles_close_to_exact(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    rates = rng.lognormal(2.0, 1.0, 20000)
+    df = spark.createDataFrame([(float(r),) for r in rates], "rate double")
+    got = L.rate_quantiles(df).first()
+    for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")):
+        exact = float(np.quantile(rates, p))
+        assert abs(got[name] - exact) / exact < 0.01
