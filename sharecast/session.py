@@ -56,11 +56,19 @@ def _configured_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make sure ``checkpoint()`` has a reliable target; return the base folder."""
+    """Make sure ``checkpoint()`` and written tables have a shared target;
+    return the base folder.
+
+    The folder named by ``spark.checkpoint.dir`` is used as is. Without that
+    setting a private temporary folder is created — but only in local mode:
+    on a cluster a machine-local folder would not be shared, so it is an error.
+    """
     sc = spark.sparkContext
     base = _configured_dir(spark)
     if sc.getCheckpointDir() is None:
         if base is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
             base = tempfile.mkdtemp(prefix="sharecast-ckpt-")
         sc.setCheckpointDir(base)
     if base is None:
