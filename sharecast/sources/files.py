@@ -73,7 +73,8 @@ def pin_table(df: DataFrame, name: str, with_path: bool = False):
     computes ``df`` exactly once. ``with_path=True`` also returns the folder."""
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
-    out = df.sparkSession.read.parquet(path)
+    # the schema is known: reading it back needs no footer-inference job
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     return (out, path) if with_path else out
 
 
