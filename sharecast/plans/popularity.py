@@ -116,15 +116,33 @@ def model_weights(fitted: list[models.LinearModel]) -> DataFrame:
     return out
 
 
-@dataclass
 class Evaluation:
-    scores: DataFrame
-    log_loss: DataFrame
-    auc: DataFrame
-    baseline: DataFrame
+    """Scores of the fitted models (written once) and metrics derived from them
+    on first use: a caller that needs only the scores or the ROC curve does not
+    pay for the AUC's distributed sort."""
+
+    def __init__(self, scores: DataFrame, labeled: DataFrame):
+        self.scores = scores
+        self._labeled = labeled
+        self._cache: dict[str, DataFrame] = {}
+
+    def _get(self, key: str, build) -> DataFrame:
+        if key not in self._cache:
+            self._cache[key] = build()
+        return self._cache[key]
+
+    @property
+    def log_loss(self) -> DataFrame:
+        return self._get("log_loss", lambda: evaluate.log_loss_table(self.scores))
+
+    @property
+    def auc(self) -> DataFrame:
+        return self._get("auc", lambda: evaluate.auc(self.scores))
+
+    @property
+    def baseline(self) -> DataFrame:
+        return self._get("baseline", lambda: evaluate.baseline_log_loss(self._labeled))
 
 
 def evaluate_models(prep: Prepared, fitted: list[models.LinearModel]) -> Evaluation:
-    sc = pin_table(scores(prep, fitted), "scores")
-    return Evaluation(sc, evaluate.log_loss_table(sc), evaluate.auc(sc),
-                      evaluate.baseline_log_loss(prep.labeled))
+    return Evaluation(pin_table(scores(prep, fitted), "scores"), prep.labeled)
