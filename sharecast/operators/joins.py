@@ -5,8 +5,9 @@
   (a dictionary, a weight table). A bounded dimension is broadcast. A larger
   one is shuffle-joined; keys that carry a large share of the fact rows (a
   binary predictor's ``'0.0'``, the intercept term) are salted: their fact rows
-  spread over ``salts`` reducers and the few hot dimension rows are replicated
-  to each salt, so no reducer receives a whole hot key.
+  spread over up to ``salts`` reducers, in proportion to their share, and the
+  few hot dimension rows are replicated to each of their salts, so no reducer
+  receives a whole hot key.
 """
 
 from __future__ import annotations
