@@ -13,7 +13,7 @@ from sharecast.operators import labels as L
 
 # First data row of the article file as recorded in the notebook output.
 GOLDEN_ROW = [
-    "http://mashable.com/2013/01/07/amazon-instant-video-browser/", "731.0", "12.0",
+    "http://example.org/2013/01/07/first-article/", "731.0", "12.0",
     "219.0", "0.663594466988", "0.999999992308", "0.815384609112", "4.0", "2.0", "1.0",
     "0.0", "4.6803652968", "5.0", "0.0", "1.0", "0.0", "0.0", "0.0", "0.0", "0.0", "0.0",
     "0.0", "0.0", "0.0", "0.0", "0.0", "0.0", "0.0", "496.0", "496.0", "496.0", "1.0",
