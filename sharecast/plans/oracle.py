@@ -235,6 +235,11 @@ FROM (SELECT string_split(value, ', ') AS parts FROM lines) t,
      range(3, len(parts)) r(i)"""
     sql["drop_header"] = _with(_articles(False), _lines_cte()) + \
         f"SELECT value FROM (SELECT '{header}' AS value UNION ALL SELECT value FROM lines) WHERE value <> '{header}'"
+    # files written by Spark and read back: the data lines, and the inferred types
+    sql["scan_text_lines"] = _with(_articles(False), _lines_cte()) + "SELECT value FROM lines"
+    sql["scan_csv"] = _with(_articles(False)) + """SELECT url, timedelta, f0, f1, f2, f3,
+  CAST(f4 AS INTEGER) AS f4, CAST(f5 AS INTEGER) AS f5, CAST(f6 AS INTEGER) AS f6, shares
+FROM articles"""
     sql["schema_columns"] = _with(*_feat()) + f"""SELECT h.position, h.raw_name, h.name, h.role,
   h.feature_index, COALESCE(c.n_values, 0) AS n_values
 FROM (
