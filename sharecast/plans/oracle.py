@@ -332,6 +332,8 @@ WHERE l_quantity BETWEEN {sx[0]} AND {sx[1]} AND l_extendedprice BETWEEN {sy[0]}
     sql["ols_slope_intercept"] = """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
   round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
   CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n_points FROM lineitem"""
+    sql["ols_ml_fit"] = """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
+  round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem"""
     sql["json_share_counts"] = _with(REPLIES) + \
         "SELECT event_id, article_id, source, network, share_count FROM counts"
     sql["share_counts_paired"] = _with(REPLIES) + """SELECT a.article_id, a.source, a.shares AS click_shares, b.shares AS view_shares
