@@ -8,11 +8,12 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
+from sharecast.plans.queries import QUERIES  # noqa: E402
 from check_oracle import compare, duck  # noqa: E402
 
 from .conftest import SF_SMALL  # noqa: E402
 
-KEYS = sorted(entry.queries())
+KEYS = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
