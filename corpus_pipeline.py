@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sharecast.llm import line_dedup, quality_rules, source_mix
+from sharecast.llm import bpe, jaccard_join, line_dedup, quality_rules, registry, source_mix
+from sharecast.llm.common import broadcast_if_small, pick
 from sharecast.sources.files import pin_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,19 +31,37 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(line_dedup.dedup_lines(docs, keep=KEEP))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of documents linked by similarity the one with the least id.
+    Rows that repeat an id count once; rows without an id are in no group and stay."""
+    docs = pick(docs, COLUMNS)
+    groups = jaccard_join.similar_groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    first = (docs.join(broadcast_if_small(pin_table(groups, "pipeline-first")), "doc_id", "left_semi")
+             .dropDuplicates(["doc_id"]))
+    return first.select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (none, once or twice)."""
     mixed = source_mix.mix_sources(docs, keep=("text", "lang", "n_chars")).filter("copies > 0")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines), ("source_mix", mixture)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of the decoded text, per copy."""
+    vocabulary = registry.default_vocabulary()
+    return bpe.token_digests(bpe.decode_ids(bpe.encode_texts(docs, vocabulary), vocabulary))
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_copies", near_copies),
+          ("source_mix", mixture), ("bpe", tokens)]
 
 #: Not expressible in SQL (similarity components, token ids).
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; each one's rows are written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = pin_table(stage(spark, docs, sf_dir), f"pipeline-{name}")

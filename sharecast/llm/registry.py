@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, line_dedup, quality_rules, source_mix, url_filter
+from . import bpe, chat_format, jaccard_join, license_scan, line_dedup, quality_rules, source_mix, url_filter
 from .common import pick
 from .oracle import ORACLE_SQL
 
@@ -20,6 +20,13 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return pick(spark.read.parquet(f"{sf_dir}/{table}.parquet"), columns)
 
 
+def default_vocabulary() -> str:
+    """Path of the installed byte-level vocabulary the contract names."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one whose texts hold control strings, as prefix-target
     examples; digests are read back from the formatted texts."""
@@ -58,12 +65,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_digests(license_scan.scan_licenses(docs))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Encode every whole text, decode the ids again, and digest both."""
+    path = vocabulary or default_vocabulary()
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return bpe.token_digests(bpe.decode_ids(bpe.encode_texts(docs, path), path))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_source_mix": op4_source_mix,
     "op6_quality_rules": op6_quality_rules,
+    "op8_bpe": op8_bpe,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_license_scan": op10_license_scan,
 }
 
