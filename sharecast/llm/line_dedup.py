@@ -36,8 +36,7 @@ def dedup_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS, id_col: str = "doc
 
     Returns ``id_col``, the columns of ``keep``, ``text_col`` (the lines left, joined
     by line feeds), ``n_lines`` (before) and ``n_dropped``."""
-    d = pick(docs, [id_col, text_col, *keep])
-    d = d.withColumnsRenamed({id_col: "_id", text_col: "_text"})
+    d = pick(docs, [id_col, text_col, *keep]).toDF("_id", "_text", *keep)
     d = d.withColumn("_text", F.coalesce("_text", F.lit("")))
     row_key = F.xxhash64("_text")
     lines = d.select("_id", row_key.alias("_row"),

@@ -93,7 +93,7 @@ def apply_quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     Returns ``id_col``, the columns of ``keep``, ``text_col`` (cleaned: lines that
     failed are gone), ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words``, ``lost_chars``, ``base_failed`` and ``kept``."""
-    d = pick(docs, [id_col, text_col, *keep]).withColumnsRenamed({id_col: "_id", text_col: "_text"})
+    d = pick(docs, [id_col, text_col, *keep]).toDF("_id", "_text", *keep)
     d = d.withColumn("_text", F.coalesce("_text", F.lit("")))
     d = d.select("*", words(F.col("_text")).alias("_w"), F.split("_text", "\n", -1).alias("_lines"))
     real = F.filter("_lines", lambda x: F.rlike(x, F.lit(f"[^{WS_CLASS}]")))

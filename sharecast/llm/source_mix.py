@@ -99,8 +99,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Returns ``id_col``, ``source_col``, the columns of ``keep``, ``size``,
     ``source_size``, ``target`` (of the source), ``copies`` and ``taken`` (words)."""
-    d = pick(docs, [id_col, text_col, source_col, *keep]).withColumnsRenamed(
-        {id_col: "_id", text_col: "_text", source_col: "source"})
+    d = pick(docs, [id_col, text_col, source_col, *keep]).toDF("_id", "_text", "source", *keep)
     d = d.select("*", text_words(F.col("_text")).alias("_size"),
                  uniform(seed, F.col("_id"), F.col("_text")).alias("_u"))
     rows = pin_table(d.select("_id", "source", "_size", "_u"), "mix-sizes")
