@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, jaccard_join, license_scan, line_dedup, quality_rules, source_mix, url_filter
+from . import bpe, chat_format, jaccard_join, license_scan, line_dedup, quality_rules, source_mix, suffix_dedup, url_filter
 from .common import pick
 from .oracle import ORACLE_SQL
 
@@ -65,6 +65,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_digests(license_scan.scan_licenses(docs))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(suffix_dedup.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """Encode every whole text, decode the ids again, and digest both."""
     path = vocabulary or default_vocabulary()
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_source_mix": op4_source_mix,
     "op6_quality_rules": op6_quality_rules,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_bpe": op8_bpe,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_license_scan": op10_license_scan,
