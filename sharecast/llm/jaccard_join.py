@@ -41,76 +41,17 @@ from pyspark.sql import functions as F
 from ..sources.files import pin_table
 from .common import broadcast_if_small, pick, ship_package
 from .components import connected_components
+from .text_hash import BLANKS, CHUNK_BYTES, C1, C2, GOLD, mix, word_hashes
 
 NGRAM = 3
 NUM, DEN = 90, 100          # the threshold as a fraction
 SUBSET_COST = 2
 SPARE = 2                   # groups beyond those that may differ; see group_keys
 BLOCK_ITEMS = 1_000_000
-CHUNK_BYTES = 1 << 20       # texts hashed at once
-_C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer: spreads every bit of the argument over the result."""
-    x = x + _GOLD
-    x = (x ^ (x >> np.uint64(30))) * _C1
-    x = (x ^ (x >> np.uint64(27))) * _C2
-    return x ^ (x >> np.uint64(31))
-
-
-def _pieces(texts: list[bytes]):
-    """The texts in lists of about CHUNK_BYTES as (number, bytes); longer texts are cut
-    at blanks, so that what is hashed at once stays small."""
-    out, held = [], 0
-    for d, t in enumerate(texts):
-        at = 0
-        while at < len(t):
-            end = at + CHUNK_BYTES
-            while end < len(t) and t[end] not in b" \t\n\x0b\x0c\r":
-                end += 1
-            out.append((d, t[at:end]))
-            held, at = held + end - at, end
-            if held >= CHUNK_BYTES:
-                yield out
-                out, held = [], 0
-    if out:
-        yield out
-
-
-def _piece_words(pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(b" ".join(t for _, t in pieces) + b" ", np.uint8)
-    upper = (data >= 65) & (data <= 90)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank)).view(np.int8)))
-    starts, ends = edge[0::2], edge[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    size = ends - starts
-    inside = np.flatnonzero(~blank)
-    first = np.concatenate(([0], np.cumsum(size)[:-1]))
-    place = np.arange(len(inside)) - np.repeat(first, size)
-    letters = (data[inside] + upper[inside] * np.uint8(32)).astype(np.uint64) + np.uint64(1)
-    odd = mix(np.arange(int(size.max()), dtype=np.uint64)) | np.uint64(1)
-    sums = np.add.reduceat(letters * odd[place], first)
-    piece_starts = np.concatenate(([0], np.cumsum([len(t) + 1 for _, t in pieces])[:-1]))
-    docs = np.array([d for d, _ in pieces])[np.searchsorted(piece_starts, starts, "right") - 1]
-    return mix(sums + size.astype(np.uint64)), docs
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of every word (A-Z lower-cased) of the texts."""
-    parts = [_piece_words(p) for p in _pieces(texts)]
-    if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate([h for h, _ in parts]), np.concatenate([d for _, d in parts])
-
-
 def ngram_sets(texts: list[bytes], n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
     """All documents' distinct n-gram hashes, ascending inside each document, and the
     offsets of the documents in them."""
-    h, doc = word_hashes(texts)
+    h, doc = word_hashes(texts, BLANKS)
     count = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
     weights = mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
     m = max(len(h) - n + 1, 0)
@@ -173,7 +114,7 @@ def boundary(num: int, den: int) -> int:
 
 def subset_keys(grams: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of a small set: its subsets of each overlap a partner may ask for."""
-    m = mix(grams ^ _C1)
+    m = mix(grams ^ C1)
     total, out = m.sum(dtype=np.uint64, keepdims=True), []
     for k in overlaps(len(grams), num, den):
         left_out = np.array(list(combinations(range(len(m)), len(m) - k)), np.int64).reshape(
@@ -197,7 +138,7 @@ def group_keys(grams: np.ndarray, offsets: np.ndarray, docs: np.ndarray, tags: n
     size = offsets[docs + 1] - offsets[docs]
     at = np.arange(size.sum()) - np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.repeat(
         offsets[docs], size)
-    g = mix(grams[at] ^ np.repeat(tags, size).astype(np.uint64) * _GOLD)
+    g = mix(grams[at] ^ np.repeat(tags, size).astype(np.uint64) * GOLD)
     slot = np.repeat(base[:-1], size) + (g % np.repeat(groups, size).astype(np.uint64)).astype(np.int64)
     acc = np.zeros(base[-1], np.uint64)
     np.add.at(acc, slot, mix(g))
@@ -205,7 +146,7 @@ def group_keys(grams: np.ndarray, offsets: np.ndarray, docs: np.ndarray, tags: n
     filled[slot] = True
     owner, tag = np.repeat(np.arange(len(docs)), groups), np.repeat(tags, groups)
     number = np.arange(base[-1]) - np.repeat(base[:-1], groups)
-    salt = mix(tag.astype(np.uint64) * _C1 + number.astype(np.uint64))
+    salt = mix(tag.astype(np.uint64) * C1 + number.astype(np.uint64))
     keys, of = mix(acc ^ salt)[filled], docs[owner[filled]]
     empties = groups - np.bincount(owner[filled], minlength=len(docs))
     more = []
@@ -337,7 +278,7 @@ def _measure(n: int):
                     s = grams[off[d]:off[d + 1]] if member[lo + d] else None
                     sets.append(None if s is None else s.tobytes())
                     digests.append(None if s is None else b"".join(
-                        mix(s ^ c).sum(dtype=np.uint64).tobytes() for c in (_C1, _C2)))
+                        mix(s ^ c).sum(dtype=np.uint64).tobytes() for c in (C1, C2)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()),
                  pa.array(digests, pa.binary()), pa.array(sets, pa.binary())],

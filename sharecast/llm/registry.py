@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, jaccard_join, license_scan, line_dedup, quality_rules, source_mix, suffix_dedup, url_filter
+from . import bm25_search, bpe, chat_format, jaccard_join, license_scan, line_dedup, quality_rules, source_mix, suffix_dedup, url_filter
 from .common import pick
 from .oracle import ORACLE_SQL
 
@@ -53,6 +53,12 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 100, as a query against all documents."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return bm25_search.search(bm25_search.build_index(docs), docs.filter(F.col("doc_id") % 100 == 0))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return quality_rules.apply_quality_rules(docs).select(
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_source_mix": op4_source_mix,
+    "op5_bm25_search": op5_bm25_search,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_bpe": op8_bpe,
