@@ -7,7 +7,6 @@ Layout:
               gradient-descent trainers, scoring, evaluation, exploration
   plans/      end-to-end plans built from the operators, the query registry
               and the DuckDB oracle SQL
-  streaming/  (the analysed workload has no streaming part; see its docstring)
 """
 
 __all__ = ["session", "schema"]

@@ -8,9 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Clamp of the row log loss, score resolution used for ranking.
+# Fixed value: clamp of the row log loss.
 LOG_LOSS_EPSILON = 10e-12
-RANK_DIGITS = 9
 
 
 def _c(x) -> Column:
@@ -55,12 +54,6 @@ def log_loss(p, y, eps: float = LOG_LOSS_EPSILON) -> Column:
     return F.when(_c(y) == F.lit(1.0), -F.ln(pc)).otherwise(-F.ln(F.lit(1.0) - pc))
 
 
-def rank_score(score, digits: int = RANK_DIGITS) -> Column:
-    """Score used as a sort key: rounded so that sums taken in a different
-    order (different engines, partitionings) rank identically."""
-    return F.round(_c(score), digits)
-
-
 def signed_label(y) -> Column:
     """0/1 label as -1/+1 (hinge loss)."""
     return F.lit(2.0) * _c(y) - F.lit(1.0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # How a page's metadata record is located — the body of the first
 # <script> element, its first statement (up to ';'), the text after the first
 # '=' of that statement (up to a second '=').
-FIRST_SCRIPT_PATTERN = r"(?s)<script[^>]*>(.*?)</script>"
+FIRST_SCRIPT_PATTERN = r"(?si)<script\b[^>]*>(.*?)</script>"
 STATEMENT_SEPARATOR = ";"
 ASSIGNMENT_SEPARATOR = "="
 PUB_DATE_FORMAT = "MM/dd/yyyy"
@@ -32,14 +32,51 @@ def assigned_text(statement) -> Column:
     return F.get(F.split(_c(statement), ASSIGNMENT_SEPARATOR), 1)
 
 
+def common_indent(lines: Column) -> Column:
+    """The longest run of blanks that all lines with text start with."""
+    heads = F.transform(F.filter(lines, lambda x: x.rlike(r"[^ \t\r]")),
+                        lambda x: F.regexp_extract(x, r"^[ \t]*", 0))
+    lo, hi = F.coalesce(F.array_min(heads), F.lit("")), F.coalesce(F.array_max(heads), F.lit(""))
+    same = F.filter(F.sequence(F.lit(0), F.length(lo)), lambda n: F.substring(hi, F.lit(1), n) == F.substring(lo, F.lit(1), n))
+    return F.array_max(same)
+
+
 def strip_indent(text) -> Column:
-    """Remove leading blanks of every line (indentation of the record)."""
-    return F.regexp_replace(_c(text), r"(?m)^[ \t]+", "")
+    """Remove the common indentation of the record's lines; deeper lines keep the rest
+    of theirs, lines of blanks become empty."""
+    lines = F.split(_c(text), "\n", -1)
+    return F.array_join(F.transform(lines, lambda x: F.when(
+        x.rlike(r"[^ \t\r]"), F.substring(x, common_indent(lines) + 1, F.lit(2147483647))).otherwise(F.lit(""))), "\n")
+
+
+def _unquoted(x: Column) -> Column:
+    return F.regexp_replace(F.trim(x), r"""^(["'])(.*)\1$""", "$2")
+
+
+def _last_wins(entries: Column) -> Column:
+    """A map of (key, value) entries; of equal keys the last one counts."""
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(
+        F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"])))
+
+
+def _entries(parts: Column) -> Column:
+    return F.transform(parts, lambda p: F.struct(
+        _unquoted(F.regexp_extract(p, r"(?s)^\s*([^:]+):", 1)).alias("key"),
+        _unquoted(F.regexp_extract(p, r"(?s)^[^:]*:(.*)$", 1)).alias("value")))
 
 
 def record_map(text) -> Column:
-    """The record as map<string,string>; NULL when it is not an object."""
-    return F.from_json(_c(text), "map<string,string>")
+    """The record as map<string,string>; NULL when it is not a mapping.
+
+    Strict JSON objects, objects with unquoted or single-quoted names, flat
+    ``{name: value, ...}`` records with bare values, and ``name: value`` lines."""
+    t = F.trim(_c(text))
+    strict = F.from_json(t, "map<string,string>", {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"})
+    body = F.regexp_extract(t, r"(?s)^\{([^{}\[\]]*)\}$", 1)
+    flow = F.when(body.rlike(r"(?s)^\s*[^:,]+:[^,]*(,\s*[^:,]+:[^,]*)*$"), _last_wins(_entries(F.split(body, ","))))
+    rows = F.filter(F.split(t, r"\r?\n"), lambda x: F.trim(x) != F.lit(""))
+    is_lines = (F.size(rows) > 0) & F.forall(rows, lambda x: x.rlike(r"^[A-Za-z_][\w .-]*:(\s.*)?$"))
+    return F.coalesce(strict, flow, F.when(is_lines, _last_wins(_entries(rows))))
 
 
 def scalar_value(text) -> Column:

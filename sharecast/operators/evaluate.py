@@ -2,8 +2,9 @@
 
 ROC follows the analysed workload: rows are ordered by score (descending),
 every row is one step of the curve (tied scores are not merged), the curve
-starts at the first row. Ties are broken by ``article_id``; scores are
-compared at 1e-9 resolution (``rank_score``).
+starts at the first row. Scores are compared exactly (a score adds its weights
+in one fixed order, so equal rows score equally) and ties are broken by
+``article_id``.
 """
 
 from __future__ import annotations
@@ -11,16 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import log_loss, rank_score
+from ..functions.columns import log_loss
 from .ranks import freeze_order, rank_and_accumulate
 
 GROUP = ["model", "split"]
 
 
-def _order():
-    return [F.col("_rs").desc(), F.col("article_id").asc()]
-
-
 def log_loss_table(scores: DataFrame, group_cols: list[str] = GROUP) -> DataFrame:
     """Mean row log loss per group — one aggregate, nothing collected."""
     return (scores.groupBy(*group_cols)
@@ -36,19 +33,22 @@ def baseline_log_loss(labeled: DataFrame, train_split: str = "train") -> DataFra
             .agg(F.avg(log_loss(F.lit(p), F.col("label"))).alias("baseline_log_loss")))
 
 
-def _ranked(scores: DataFrame, group_cols: list[str], sums: list[str]) -> DataFrame:
-    base = scores.select(*group_cols, "article_id", "label", "score",
-                         rank_score("score").alias("_rs"))
-    frozen = freeze_order(base, group_cols, _order())
-    return rank_and_accumulate(frozen, group_cols, rank_col="rn", sums=sums)
+def ranked_scores(scores: DataFrame, group_cols: list[str] = GROUP) -> DataFrame:
+    """Rows with their rank ``rn`` by score (highest first) and the positives up to there
+    (``cum_label``) per group. The order is written once; :func:`roc_points` and
+    :func:`auc` of one evaluation share it."""
+    base = scores.select(*group_cols, "article_id", "label", "score")
+    frozen = freeze_order(base, group_cols, [F.col("score").desc(), F.col("article_id").asc()])
+    return rank_and_accumulate(frozen, group_cols, rank_col="rn", sums=["label"])
 
 
-def roc_points(scores: DataFrame, group_cols: list[str] = GROUP) -> DataFrame:
+def roc_points(scores: DataFrame, group_cols: list[str] = GROUP,
+               ranked: DataFrame | None = None) -> DataFrame:
     """One point per scored row: rn, tp, fp, tpr = tp / P, fpr = fp / N.
 
     P or N of zero gives NULL rates (the reference divides by zero).
     """
-    ranked = _ranked(scores, group_cols, ["label"])
+    ranked = ranked if ranked is not None else ranked_scores(scores, group_cols)
     totals = scores.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"),
                                              F.sum("label").alias("_p"))
     out = ranked.join(F.broadcast(totals), group_cols)
@@ -60,14 +60,15 @@ def roc_points(scores: DataFrame, group_cols: list[str] = GROUP) -> DataFrame:
                       F.try_divide(fp, F.col("_n") - F.col("_p")).alias("fpr"))
 
 
-def auc(scores: DataFrame, group_cols: list[str] = GROUP) -> DataFrame:
+def auc(scores: DataFrame, group_cols: list[str] = GROUP,
+        ranked: DataFrame | None = None) -> DataFrame:
     """Area under the step-per-row ROC curve of each group.
 
     The trapezoid sum equals ``sum over negatives of tp / (P*N)`` (only
     negative rows move the x coordinate), i.e. with ranks rn:
     ``(P*N - sum_{positives} rn + P(P+1)/2) / (P*N)`` — needs only global ranks.
     """
-    ranked = _ranked(scores, group_cols, [])
+    ranked = ranked if ranked is not None else ranked_scores(scores, group_cols)
     agg = ranked.groupBy(*group_cols).agg(
         F.count(F.lit(1)).cast("double").alias("_n"),
         F.sum("label").alias("_p"),
@@ -94,7 +95,7 @@ def top_positive_scores(scores: DataFrame, group_cols: list[str] = GROUP,
     ``row_number() <= k`` lets Spark insert a partial per-task limit before the
     shuffle (WindowGroupLimit), so each group ships at most k rows per task.
     """
-    w = Window.partitionBy(*group_cols).orderBy(rank_score("score").desc(),
+    w = Window.partitionBy(*group_cols).orderBy(F.col("score").desc(),
                                                 F.col("article_id").asc())
     return (scores.filter(F.col("label") == F.lit(1.0))
             .withColumn("pos", F.row_number().over(w).cast("bigint"))
@@ -105,7 +106,7 @@ def top_positive_scores(scores: DataFrame, group_cols: list[str] = GROUP,
 def smallest_weights(weights: DataFrame, k: int = 5) -> DataFrame:
     """The k smallest coefficients per model (intercept excluded), plus the intercept."""
     coefs = weights.filter(F.col("feature_id") != F.lit(-1))
-    w = Window.partitionBy("model").orderBy(rank_score("weight").asc(),
+    w = Window.partitionBy("model").orderBy(F.col("weight").asc(),
                                             F.col("feature_id").asc())
     low = (coefs.withColumn("pos", F.row_number().over(w).cast("bigint"))
            .filter(F.col("pos") <= F.lit(k)))

@@ -27,12 +27,12 @@ def network_totals(counts: DataFrame) -> DataFrame:
 
 
 def paired_networks(totals: DataFrame, first: str, second: str) -> DataFrame:
-    """Both networks' totals of an article side by side (equi-join on the article)."""
+    """Both networks' totals of an article in a source side by side (equi-join on both)."""
     a = totals.filter(F.col("network") == F.lit(first)).select(
         "article_id", "source", F.col("shares").alias(f"{first}_shares"))
     b = totals.filter(F.col("network") == F.lit(second)).select(
-        "article_id", F.col("shares").alias(f"{second}_shares"))
-    return a.join(b, "article_id")
+        "article_id", "source", F.col("shares").alias(f"{second}_shares"))
+    return a.join(b, ["article_id", "source"])
 
 
 def pivot_networks(counts: DataFrame, networks: tuple[str, ...]) -> DataFrame:

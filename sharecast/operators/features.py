@@ -2,7 +2,8 @@
 
 Every predictor value is a category and the feature key is (idx, value), idx
 being the predictor's position among the predictors. The dictionary is fitted
-on the training split only; values never seen there get no feature id.
+on the training split only; values never seen there get no feature id. A NULL
+value is no category: it is in no dictionary and activates no feature.
 """
 
 from __future__ import annotations
@@ -58,7 +59,8 @@ def drop_header(lines: DataFrame, header: str, col: str = "value") -> DataFrame:
 def distinct_features(long_train: DataFrame) -> DataFrame:
     """Distinct (idx, value) with the number of rows carrying it (hash aggregate,
     partial before the shuffle, so a frequent value costs one row per task)."""
-    return long_train.groupBy("idx", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+    return (long_train.filter(F.col("value").isNotNull())
+            .groupBy("idx", "value").agg(F.count(F.lit(1)).alias("n_rows")))
 
 
 def dictionary_size_estimate(long_train: DataFrame, rsd: float = 0.02) -> DataFrame:
@@ -85,9 +87,8 @@ def fit_dictionary(long_train: DataFrame) -> DataFrame:
 def encode_long(long: DataFrame, dictionary: DataFrame, how: str = "inner") -> DataFrame:
     """Attach feature ids; ``how='inner'`` drops values unseen in training,
     ``'left'`` keeps them with a NULL id."""
-    dim = dictionary.select("idx", "value", "n_rows", "feature_id")
-    return lookup_join(long, dim, ["idx", "value"], key_weight="n_rows", how=how,
-                       salt_source="article_id")
+    dim = dictionary.select("idx", "value", "feature_id")
+    return lookup_join(long, dim, ["idx", "value"], how=how, salt_source="article_id")
 
 
 def encode_arrays(long: DataFrame, dictionary: DataFrame, keep: list[str]) -> DataFrame:

@@ -2,21 +2,24 @@
 
 * ``bounded_broadcast`` broadcasts a side only after counting it.
 * ``lookup_join`` joins a large fact table to a dimension with unique keys
-  (a dictionary, a weight table). A bounded dimension is broadcast. A larger
+  (a dictionary). A dimension of bounded rows and bytes is broadcast. A larger
   one is shuffle-joined; keys that carry a large share of the fact rows (a
-  binary predictor's ``'0.0'``, the intercept term) are salted: their fact rows
-  spread over up to ``salts`` reducers, in proportion to their share, and the
-  few hot dimension rows are replicated to each of their salts, so no reducer
-  receives a whole hot key.
+  binary predictor's ``'0.0'``, a frequent value the dictionary lacks) are
+  salted: their fact rows spread over up to ``salts`` reducers, in proportion to
+  their share, and the few hot dimension rows are replicated to each of their
+  salts, so no reducer receives a whole hot key. NULL keys match nothing and
+  never enter the join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_BROADCAST_ROWS = 500_000
 DEFAULT_MAX_HOT_KEYS = 10_000
+DEFAULT_BROADCAST_BYTES = 64 << 20
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
@@ -25,52 +28,59 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
-def lookup_join(fact: DataFrame, dim: DataFrame, keys: list[str], *,
-                key_weight: str | None = None, how: str = "inner",
+def _small(dim: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    """Whether ``dim`` has at most so many rows and bytes (texts are measured)."""
+    width = F.lit(16 * len(dim.columns))
+    for f in dim.schema.fields:
+        if isinstance(f.dataType, T.StringType):
+            width = width + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+    rows, size = dim.agg(F.count(F.lit(1)), F.sum(width.cast("long"))).first()
+    return rows <= max_rows and (size or 0) <= max_bytes
+
+
+def lookup_join(fact: DataFrame, dim: DataFrame, keys: list[str], *, how: str = "inner",
                 broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
                 max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
-                salts: int | None = None, salt_source: str | None = None,
-                dim_rows: int | None = None) -> DataFrame:
+                salts: int | None = None, salt_source: str | None = None) -> DataFrame:
     """Join ``fact`` to ``dim`` (unique on ``keys``), adding dim's other columns.
 
-    ``key_weight`` names a dim column holding the expected number of fact rows
-    per key; it drives the hot-key split when the dimension is too large to
-    broadcast. ``salt_source`` is a fact column used to spread hot rows.
-    ``dim_rows`` is the dimension's row count when the caller already knows it
-    (skips the counting job).
+    ``how`` is ``inner`` or ``left``. A fact row with a NULL key matches nothing:
+    it is dropped or, for ``left``, gets NULLs without passing the join.
+    ``salt_source`` is a fact column used to spread hot rows.
 
-    Hot keys are those carrying at least ``total / max_hot_keys`` fact rows, so
-    there are at most ``max_hot_keys`` of them (a bounded broadcast). A hot key
-    with weight ``w`` gets ``min(salts, ceil(w / threshold))`` salts: its fact
-    rows spread over that many reducers and its dimension row is replicated
-    that many times — at most ``2 * max_hot_keys`` extra dimension rows.
+    Hot keys are those carrying at least ``total / max_hot_keys`` fact rows
+    (counted with map-side combining), so there are at most ``max_hot_keys`` of
+    them (a bounded broadcast). A hot key with ``w`` rows gets
+    ``min(salts, ceil(w / threshold))`` salts: its fact rows spread over that many
+    reducers and its dimension row, if there is one, is replicated that many
+    times — at most ``2 * max_hot_keys`` extra dimension rows.
     """
-    payload = [c for c in dim.columns if c not in keys and c != key_weight]
-    n_dim = dim_rows if dim_rows is not None else dim.limit(broadcast_rows + 1).count()
-    if n_dim <= broadcast_rows:
-        return fact.join(F.broadcast(dim.select(*keys, *payload)), keys, how)
+    payload = [c for c in dim.columns if c not in keys]
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    dim = dim.filter(known)
+    if _small(dim, broadcast_rows, broadcast_bytes):
+        return fact.join(F.broadcast(dim), keys, how)
 
     spark = fact.sparkSession
     salts = salts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if key_weight is None:
-        return fact.join(dim.select(*keys, *payload), keys, how)
-
-    total = dim.agg(F.sum(key_weight)).first()[0] or 0
-    threshold = max(1, total // max_hot_keys)
-    hot = dim.filter(F.col(key_weight) >= F.lit(threshold)).select(
-        *keys, F.least(F.lit(salts), F.ceil(F.col(key_weight) / F.lit(threshold)))
-        .cast("int").alias("_n_salts"))
+    usable = fact.filter(known)
+    counts = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w"))
+    threshold = max(1, (usable.count() or 0) // max_hot_keys)
+    hot = counts.filter(F.col("_w") >= F.lit(threshold)).select(
+        *keys, F.least(F.lit(salts), F.ceil(F.col("_w") / F.lit(threshold))).cast("int").alias("_n_salts"))
     spread = F.col(salt_source) if salt_source else F.xxhash64(*fact.columns)
-    tagged = (fact.join(F.broadcast(hot), keys, "left")
+    tagged = (usable.join(F.broadcast(hot), keys, "left")
               .withColumn("_salt", F.when(F.col("_n_salts").isNotNull(),
                                           F.pmod(F.xxhash64(spread), F.col("_n_salts")))
                           .otherwise(F.lit(0)).cast("int"))
               .drop("_n_salts"))
-    hot_dim = (dim.join(F.broadcast(hot), keys)
-               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_n_salts") - F.lit(1))))
-               .drop("_n_salts"))
-    cold_dim = (dim.join(F.broadcast(hot), keys, "left_anti")
-                .withColumn("_salt", F.lit(0)))
-    salted_dim = hot_dim.unionByName(cold_dim, allowMissingColumns=True).select(
-        *keys, "_salt", *payload)
-    return tagged.join(salted_dim, keys + ["_salt"], how).drop("_salt")
+    salted_dim = (dim.join(F.broadcast(hot), keys, "left")
+                  .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_n_salts", F.lit(1)) - F.lit(1))))
+                  .select(*keys, "_salt", *payload))
+    out = tagged.join(salted_dim, keys + ["_salt"], how).drop("_salt")
+    if how == "left":
+        out = out.unionByName(fact.filter(~known), allowMissingColumns=True)
+    return out

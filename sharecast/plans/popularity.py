@@ -4,9 +4,10 @@ articles → hash split → label → long features → dictionary (train only)
 encoded design table → gradient-descent fits (logistic, hinge) → scores →
 log loss, ROC, AUC, selection.
 
-Pinned tables in the shared folder: the labeled articles and the training
-design table (bucketed by article), the dictionary, each weight table and
-the scores (parquet tables).
+Pinned tables in the shared folder: the labeled articles (bucketed by article),
+the dictionary, the encoded design of all splits (one row per article), the
+weights and the scores.
+``sources.files.release_staged`` deletes them.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ class Prepared:
     long: DataFrame               # article_id, split, label, idx, value
     dictionary: DataFrame         # idx, value, n_rows, feature_id
     n_train: int
+    _design: DataFrame | None = field(default=None, repr=False)
     _design_train: DataFrame | None = field(default=None, repr=False)
 
     def long_train(self) -> DataFrame:
@@ -42,20 +44,24 @@ class Prepared:
     def encoded(self, how: str = "inner") -> DataFrame:
         return features.encode_long(self.long, self.dictionary, how=how)
 
+    def design(self) -> DataFrame:
+        """All articles encoded, written once; training and scoring read it."""
+        if self._design is None:
+            self._design = models.design_table(self.encoded(), self.labeled, KEEP)
+        return self._design
+
     def design_train(self) -> DataFrame:
         if self._design_train is None:
-            train = self.labeled.filter(F.col("split") == F.lit("train"))
-            enc = features.encode_long(self.long_train(), self.dictionary)
-            # cached for the iterations (spills to disk); keeps the bucketing
-            self._design_train = models.design_table(enc, train, KEEP).persist(
+            # cached for the iterations (spills to disk); read again from the table if lost
+            self._design_train = self.design().filter(F.col("split") == F.lit("train")).persist(
                 StorageLevel.MEMORY_AND_DISK)
         return self._design_train
 
     def release(self) -> None:
-        """Drop the cached training design (its table stays on storage)."""
+        """Drop the cached training design (``files.release_staged`` deletes the tables)."""
         if self._design_train is not None:
             self._design_train.unpersist()
-            self._design_train = None
+        self._design_train = None
 
 
 def labeled_articles(spark: SparkSession, sf_dir: str, with_date: bool = False) -> DataFrame:
@@ -67,7 +73,7 @@ def prepare_table(labeled: DataFrame, predictors: list[str]) -> Prepared:
     """Pin a labeled, split table (article_id, split, label, predictors...) as
     an article-bucketed table, build the long form and fit the dictionary."""
     ensure_checkpoint_dir(labeled.sparkSession)
-    pinned = write_bucketed(labeled, "labeled", "article_id")
+    pinned = write_bucketed(labeled, "labeled", "article_id", rows=labeled.count())
     long = features.feature_long(pinned, predictors, KEEP)
     dictionary = features.fit_dictionary(long.filter(F.col("split") == F.lit("train")))
     n_train = pinned.filter(F.col("split") == F.lit("train")).count()
@@ -104,8 +110,8 @@ def fit_both(prep: Prepared, iterations: int) -> list[models.LinearModel]:
 
 
 def scores(prep: Prepared, fitted: list[models.LinearModel]) -> DataFrame:
-    """All models scored in one pass over the encoded rows."""
-    return models.score_many(prep.labeled, prep.encoded(), fitted, KEEP)
+    """All models scored in one pass over the encoded articles."""
+    return models.score_design(prep.design(), fitted, KEEP)
 
 
 def model_weights(fitted: list[models.LinearModel]) -> DataFrame:
@@ -135,9 +141,18 @@ class Evaluation:
     def log_loss(self) -> DataFrame:
         return self._get("log_loss", lambda: evaluate.log_loss_table(self.scores))
 
+    @property
+    def ranked(self) -> DataFrame:
+        """Scores in order, sorted once for the ROC curve and the AUC."""
+        return self._get("ranked", lambda: evaluate.ranked_scores(self.scores))
+
     @property
     def auc(self) -> DataFrame:
-        return self._get("auc", lambda: evaluate.auc(self.scores))
+        return self._get("auc", lambda: evaluate.auc(self.scores, ranked=self.ranked))
+
+    @property
+    def roc(self) -> DataFrame:
+        return self._get("roc", lambda: evaluate.roc_points(self.scores, ranked=self.ranked))
 
     @property
     def baseline(self) -> DataFrame:

@@ -8,6 +8,7 @@ a private temporary folder is created.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -65,14 +66,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     base = _configured_dir(spark)
+    one_machine = re.fullmatch(r"local(\[.*\])?", sc.master) is not None
+    if base is None and sc.getCheckpointDir() is not None:
+        base = os.path.dirname(sc.getCheckpointDir().rstrip("/"))
+        if not one_machine and re.match(r"(file:|/)", base):
+            raise ValueError(f"{base} is a machine's own folder; set spark.checkpoint.dir to one shared by the cluster")
+    if base is None:
+        if not one_machine:
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+        base = tempfile.mkdtemp(prefix="sharecast-ckpt-")
     if sc.getCheckpointDir() is None:
-        if base is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-            base = tempfile.mkdtemp(prefix="sharecast-ckpt-")
         sc.setCheckpointDir(base)
-    if base is None:
-        base = os.path.dirname(sc.getCheckpointDir().rstrip("/"))
     return base
 
 

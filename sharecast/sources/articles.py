@@ -81,8 +81,8 @@ def articles_from_file(spark: SparkSession, path: str) -> DataFrame:
     the header. Predictors stay strings; age and shares become doubles (an
     unparsable number raises under ANSI, like ``float()``).
 
-    ``article_id`` is a row id assigned in this scan; pin the result (the
-    popularity plan writes it as a table) before relying on it across jobs.
+    ``article_id`` is a 64-bit hash of the url, so it does not depend on files,
+    splits or reruns.
     Split on ``url`` (:func:`hash_split` with ``key='url'``) for a split that
     repeats across runs.
     """
@@ -100,4 +100,5 @@ def articles_from_file(spark: SparkSession, path: str) -> DataFrame:
         if i in (1, len(names) - 1):
             c = c.cast("double")
         cols.append(c.alias(name))
-    return lines.select(*cols).withColumn("article_id", F.monotonically_increasing_id())
+    out = lines.select(*cols)
+    return out.withColumn("article_id", F.xxhash64(out.columns[0]))

@@ -25,31 +25,31 @@ def write_article_files(df: DataFrame, columns: list[str], name: str = "articles
                         sep: str = LINE_SEPARATOR) -> str:
     """Write ``columns`` as separated text files, each starting with the header."""
     path = staging_path(df.sparkSession, name)
+    _staged.append((df.sparkSession.sparkContext.applicationId, path, None))
     (df.select(*[F.col(c).cast("string") for c in columns])
      .write.option("header", True).option("sep", sep).option("quote", "\u0000")
      .option("emptyValue", "").csv(path))
     return path
 
 
-def scan_text_lines(spark: SparkSession, path: str, min_partitions: int = 2) -> DataFrame:
+def scan_text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Raw lines (``value``), header lines included. Splits follow
-    ``spark.sql.files.maxPartitionBytes``; a file smaller than that is still
-    spread over at least ``min_partitions`` tasks."""
-    df = spark.read.text(path)
-    if df.rdd.getNumPartitions() < min_partitions:
-        df = df.repartition(min_partitions)
-    return df
+    ``spark.sql.files.maxPartitionBytes`` at every size."""
+    return spark.read.text(path)
 
 
 def first_line(spark: SparkSession, path: str) -> str:
-    """Header text: the first line of the first file."""
-    return spark.read.text(path).limit(1).first()[0]
+    """Header text: the first line of the first file by path (a file's first split
+    holds its first line)."""
+    first = min(spark.read.text(path).inputFiles())
+    lines = spark.read.text(first).select("value", "_metadata.file_block_start")
+    return lines.filter("file_block_start = 0").limit(1).first()[0]
 
 
 def scan_csv(spark: SparkSession, path: str, sep: str = LINE_SEPARATOR,
              schema: T.StructType | None = None, infer: bool = False) -> DataFrame:
     """CSV with a header line; names trimmed. With ``schema`` nothing is inferred
-    (keep predictors as strings); ``infer=True`` samples types like a notebook."""
+    (keep predictors as strings); ``infer=True`` finds types in a pass over the files."""
     reader = spark.read.option("header", True).option("sep", sep).option("quote", "\u0000")
     if schema is not None:
         return reader.schema(schema).csv(path)
@@ -60,6 +60,7 @@ def scan_csv(spark: SparkSession, path: str, sep: str = LINE_SEPARATOR,
 def parquet_roundtrip(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as parquet (optionally partitioned) and scan it back."""
     path = staging_path(df.sparkSession, name)
+    _staged.append((df.sparkSession.sparkContext.applicationId, path, None))
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -67,42 +68,79 @@ def parquet_roundtrip(df: DataFrame, name: str, partition_by: list[str] | None =
     return df.sparkSession.read.parquet(path)
 
 
+#: Tables and folders written below the shared folder: (application, folder, table).
+_staged: list[tuple[str, str, str | None]] = []
+
+
 def pin_table(df: DataFrame, name: str, with_path: bool = False):
     """Write ``df`` once as parquet in the shared folder and scan it back: cuts
     the lineage (an executor loss re-reads files instead of recomputing) and
     computes ``df`` exactly once. ``with_path=True`` also returns the folder."""
-    path = staging_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = staging_path(spark, name)
+    _staged.append((spark.sparkContext.applicationId, path, None))
     df.write.parquet(path)
     # the schema is known: reading it back needs no footer-inference job
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     return (out, path) if with_path else out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def drop_files(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing reads any more (Hadoop FileSystem,
     so it works on any cluster file system)."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    _delete(spark, path)
+    _staged[:] = [x for x in _staged if x[1] != path]
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Delete every table this application has staged; call it when no DataFrame that
+    reads them is needed any more. Returns how many there were."""
+    app = spark.sparkContext.applicationId
+    mine = [x for x in _staged if x[0] == app]
+    for _, path, table in mine:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        _delete(spark, path)
+    _staged[:] = [x for x in _staged if x[0] != app]
+    return len(mine)
+
+
+def folder_state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and modification times of the files of a folder of tables (and of
+    the part files of tables that are folders)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for st in fs.listStatus(root):
+        for x in fs.listStatus(st.getPath()) if st.isDirectory() else [st]:
+            out.append((x.getPath().toString(), x.getLen(), x.getModificationTime()))
+    return tuple(sorted(out))
+
+
+ROWS_PER_BUCKET = 4_000_000
 
 
-def bucket_count(spark: SparkSession) -> int:
-    """Buckets of pinned tables: the cluster's shuffle partition count."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def bucket_count(spark: SparkSession, rows: int | None = None) -> int:
+    """Buckets of pinned tables: the shuffle partition count, more for more ``rows``."""
+    wanted = -(-rows // ROWS_PER_BUCKET) if rows else 1
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
 
 
-def write_bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
-    """Pin ``df`` as a parquet table in the shared folder, bucketed and sorted by
-    ``key``; later joins, windows and aggregates on ``key`` read it without a
-    shuffle. One file per bucket (rows are hash-partitioned before the write)."""
+def write_bucketed(df: DataFrame, name: str, key: str, rows: int | None = None) -> DataFrame:
+    """Pin ``df`` as a parquet table in the shared folder, bucketed by ``key``; later
+    joins and aggregates on ``key`` read it without a shuffle. One file per bucket
+    (rows are hash-partitioned before the write). ``rows``, if known, sizes the buckets."""
     import uuid
 
     spark = df.sparkSession
-    buckets = buckets or bucket_count(spark)
+    buckets = bucket_count(spark, rows)
     path = staging_path(spark, name)
     table_name = f"sharecast_{name}_{uuid.uuid4().hex[:12]}"
-    try:
-        (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
-         .option("path", path).saveAsTable(table_name))
-    except Exception:  # noqa: BLE001 — no writable catalog: plain table, same rows
-        return pin_table(df.repartition(buckets, key), name)
+    _staged.append((spark.sparkContext.applicationId, path, table_name))
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(table_name))
     return spark.table(table_name)

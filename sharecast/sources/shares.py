@@ -2,8 +2,9 @@
 
 Two reply styles exist: an array of objects (the count is a field of element
 0) and a plain object. This binding derives replies from ``events``: article =
-``user_id``, news source = ``user_id % 3``, network = ``event_type`` for the two
-network types; the reply text wraps ``props`` as an array for the first network.
+``user_id``, news source = ``user_id % 3``, network = ``event_type``; the reply text
+wraps ``props`` as an array for the first network. The study compares two networks;
+``networks`` restricts the replies to them.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ COUNT_FIELD = "k"
 N_SOURCES = 3
 
 
-def share_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, article_id, source, network, reply."""
+def share_replies(spark: SparkSession, sf_dir: str,
+                  networks: tuple[str, ...] | None = None) -> DataFrame:
+    """event_id, article_id, source, network, reply — of all networks, or of ``networks``."""
     ev = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "props")
-    ev = ev.filter(F.col("event_type").isin(*NETWORKS))
+    if networks is not None:
+        ev = ev.filter(F.col("event_type").isin(*networks))
     reply = F.when(F.col("event_type") == F.lit(ARRAY_NETWORK),
                    F.concat(F.lit("["), F.col("props"), F.lit("]"))).otherwise(F.col("props"))
     return ev.select("event_id", F.col("user_id").alias("article_id"),

@@ -84,7 +84,7 @@ def test_lookup_join_salted_path_equals_plain_join(spark):
     counts = fact.groupBy("k").agg(F.count(F.lit(1)).alias("cnt"))
     dim = dim.join(counts, "k", "left").select("k", "v", F.coalesce("cnt", F.lit(0)).alias("cnt"))
     for how in ("inner", "left"):
-        salted = J.lookup_join(fact, dim, ["k"], key_weight="cnt", how=how, broadcast_rows=0,
+        salted = J.lookup_join(fact, dim, ["k"], how=how, broadcast_rows=0,
                                max_hot_keys=5, salts=4, salt_source="article_id")
         plain = fact.join(dim.select("k", "v"), "k", how)
         a = sorted(map(tuple, salted.select("article_id", "k", "v").collect()), key=str)

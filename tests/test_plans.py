@@ -21,31 +21,54 @@ def prep(spark):
     return P.prepare(spark, SF_SMALL)
 
 
-def test_gradient_step_single_shuffle_over_bucketed_design(spark, prep):
-    d = prep.design_train()
-    w = M.initial_weights(prep.dictionary, prep.n_train)
-    rows = w.count()
-    p = plan(M.gradient_step(d, w, prep.n_train, 1, M.GDConfig(), rows))
+def test_gradient_pass_has_one_shuffle_and_no_join_or_sort(spark, prep):
+    import numpy as np
+    start = np.zeros(prep.dictionary.count() + 1)
+    p = plan(M.vector_gradients(prep.design_train(), {"lr": start, "svm": start}, {"lr": "logistic", "svm": "hinge"}))
     assert p.count("Exchange hashpartitioning") == 1          # the partial gradient sums only
-    assert "hashpartitioning(feature_id" in p
-    assert "BroadcastHashJoin" in p and "Bucketed: true" in p
-    assert "partial_sum" in p
+    assert "hashpartitioning(feature_id" in p and "partial_sum" in p
+    assert not any(x in p for x in ("Join", "Sort ", "Window"))
+
+
+def test_cells_are_never_shuffled(spark, prep):
+    """Above the bound the design stays where it is bucketed: what is shuffled are partial
+    sums, residuals and weights, never the id arrays."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = M.cell_table(prep.design_train(), 4)
+        weights = M.initial_weights(prep.dictionary, prep.n_train)
+        with M._joins_in_place(spark):
+            p = plan(M.cell_gradients(cells, weights, 4, "logistic"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    reads = [m.end() for m in re.finditer(r"Bucketed: true", p)]
+    assert len(reads) >= 2
+    lines = p.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange" in line:
+            below = lines[i + 1] if i + 1 < len(lines) else ""
+            assert "slots" not in below or "transform" in below or "HashAggregate" in below, (line, below)
 
 
 def test_scoring_and_arrays_need_no_shuffle(spark, prep):
-    lr = M.LinearModel("lr", M.initial_weights(prep.dictionary, prep.n_train), 0)
-    svm = M.LinearModel("svm", M.initial_weights(prep.dictionary, prep.n_train), 0)
-    p = plan(M.score_many(prep.labeled, prep.encoded(), [lr, svm], P.KEEP))
-    # the article rows are never shuffled: both join sides read the bucketed table
-    # (the only exchanges build the small side-by-side weight table)
-    assert "SortMergeJoin [article_id" in p
-    assert "Exchange hashpartitioning(article_id" not in p
-    assert "Exchange rangepartitioning" not in p
+    import numpy as np
+    start = np.zeros(prep.dictionary.count() + 1)
+    w = M.initial_weights(prep.dictionary, prep.n_train)
+    fitted = [M.LinearModel("lr", w, 0, start), M.LinearModel("svm", w, 0, start)]
+    p = plan(M.score_design(prep.design(), fitted, P.KEEP))
+    assert "Exchange" not in p and "Join" not in p            # a projection of the written design
     from sharecast.operators import features as FT
     arr = FT.encode_arrays(prep.long, prep.dictionary, ["article_id", "split"])
     assert "Exchange" not in plan(arr).replace("BroadcastExchange", "")
 
 
+def test_roc_and_auc_share_one_order(spark, prep):
+    ev = P.evaluate_models(prep, P.fit_both(prep, 1))
+    assert ev.ranked is ev.ranked
+    frozen = {f for df in (ev.roc, ev.auc) for f in df.inputFiles() if "ordered" in f}
+    assert len({f.rsplit("/", 1)[0] for f in frozen}) == 1
+
+
 def test_top_k_has_partial_group_limit(spark, prep):
     fitted = P.fit_both(prep, 1)
     ev = P.evaluate_models(prep, fitted)
