@@ -349,14 +349,14 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = d.mapInArrow(_emit_keys(n, num, den), "key bigint, id bigint, least bigint")
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, F.coalesce("key", F.xxhash64("id"))).sortWithinPartitions("key", "id")
-    links = pin_table(dealt.mapInArrow(_scan_lists, "id bigint, least bigint").distinct(), "near-links")
+    links = dealt.mapInArrow(_scan_lists, "id bigint, least bigint")
     clusters = pin_table(connected_components(links, "id", "least")
                          .select(F.col("node").alias("mid"), F.col("component").alias("cluster")), "near-clusters")
     measured = pin_table(
         d.join(broadcast_if_small(clusters), F.col("id") == F.col("mid"), "left").select("id", "cluster", "text")
         .mapInArrow(_measure(n), "id bigint, cluster bigint, size bigint, digest binary, items binary"), "near-sets")
     members = measured.filter("cluster is not null and size > 0")
-    least = (members.groupBy("cluster", "digest", "size").agg(F.min("id").alias("rep")))
+    least = pin_table(members.groupBy("cluster", "digest", "size").agg(F.min("id").alias("rep")), "near-least")
     same = members.select("cluster", "digest", "size", "id").join(least, ["cluster", "digest", "size"])
     reps = (members.join(least.withColumnRenamed("rep", "id"), ["cluster", "digest", "size", "id"])
             .dropDuplicates(["cluster", "digest", "size", "id"]).select("cluster", "id", "size", "items"))
