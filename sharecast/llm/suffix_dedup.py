@@ -13,9 +13,12 @@ One round per symbol of a whole document would take as many passes over the whol
 corpus as its longest text has bytes. So the strings are short pieces, cut so that
 equal windows of LENGTH bytes always meet: each window belongs to the k-gram of
 least hash in it (a minimizer), a piece is the run of windows that share one, and
-pieces meet by that k-gram's hash. Their rounds number at most 2 * LENGTH - K. The
-transform and the lengths are rewritten front to back every round, as arrays of
-bounded size (a task takes ``STRINGS`` pieces at a time), not as files.
+pieces meet by that k-gram's hash. As equal windows have their k-gram at the same
+place, the parts from the k-gram on are sorted once and stand as the strings' end
+marks (in that order, with their common prefixes), and the rounds insert the symbols
+to the left of it, at most LENGTH - K. The transform and the lengths are rewritten
+front to back every round, as arrays of bounded size (a task takes ``STRINGS``
+pieces at a time), not as files.
 
 Steps: (1) cut each text into pieces where it is read; equal pieces of a task
 collapse to their first; (2) pieces meet by k-gram hash and are scanned in order:
@@ -44,7 +47,7 @@ from .common import broadcast_if_small, pick, ship_package
 
 LENGTH = 100
 K = 32
-STRINGS = 8192              # pieces ordered at once
+STRINGS = 2048              # pieces ordered at once
 CHUNK_BYTES = 1 << 19       # bytes hashed at once; positions must fit in 20 bits
 _BASE = 0x9E3779B97F4A7C15 | 1
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -87,8 +90,17 @@ def _segments(texts: list[bytes], length: int):
         yield out
 
 
+def shape_of(windows, left):
+    return windows + (left << 16)
+
+
+def windows_of(shape):
+    return shape & 0xFFFF
+
+
 def pieces(texts: list[bytes], hasher: Hasher, length: int = LENGTH, k: int = K):
-    """Arrays (text number, start, windows, k-gram hash, piece hash) of all pieces."""
+    """Arrays (text number, start, shape, k-gram hash, piece hash) of all pieces; the shape
+    holds the number of windows and the place of the k-gram (see :func:`shape_of`)."""
     found = []
     for seg in _segments(texts, length):
         data = np.frombuffer(b"".join(p for _, _, p in seg), np.uint8)
@@ -114,14 +126,14 @@ def pieces(texts: list[bytes], hasher: Hasher, length: int = LENGTH, k: int = K)
         s = at[head]
         n = np.searchsorted(base, s, "right") - 1
         docs, offs = np.array([d for d, _, _ in seg]), np.array([o for _, o, _ in seg])
-        found.append((docs[n], s - base[n] + offs[n], count, grams[own[head]],
+        found.append((docs[n], s - base[n] + offs[n], shape_of(count, own[head] - s), grams[own[head]],
                       hasher.of(sums, s, s + count + length - 1)))
     if not found:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-_PIECE = "gram bigint, piece bigint, doc bigint, start bigint, windows int"
+_PIECE = "gram bigint, piece bigint, doc bigint, start bigint, shape int"
 
 
 def _batch(columns, names, masks=None):
@@ -131,23 +143,23 @@ def _batch(columns, names, masks=None):
         [pa.array(c, mask=None if masks is None else masks.get(n)) for c, n in zip(columns, names, strict=True)], names)
 
 
-_NAMES = ["gram", "piece", "doc", "start", "windows"]
+_NAMES = ["gram", "piece", "doc", "start", "shape"]
 
 
 def _cut(length: int, k: int):
     """(doc, text) to pieces. Equal pieces of a task leave their first; the others
     are covered and come with a null gram."""
     def flush(held):
-        doc, start, windows, gram, piece = (np.concatenate(x) for x in zip(*held, strict=True))
+        doc, start, shape, gram, piece = (np.concatenate(x) for x in zip(*held, strict=True))
         gram, piece = gram.view(np.int64), piece.view(np.int64)
         order = np.lexsort((start, doc, piece, gram))
-        doc, start, windows, gram, piece = (x[order] for x in (doc, start, windows, gram, piece))
+        doc, start, shape, gram, piece = (x[order] for x in (doc, start, shape, gram, piece))
         first = np.concatenate(([True], (gram[1:] != gram[:-1]) | (piece[1:] != piece[:-1])))
         at = np.flatnonzero(first)[np.cumsum(first) - 1]
         same = (doc == doc[at]) & (start == start[at])          # a repeated row, or the first itself
         keep = first | ~same
         covered = (~first & ~same)[keep]
-        yield _batch([gram[keep], piece[keep], doc[keep], start[keep], windows[keep].astype(np.int32)], _NAMES,
+        yield _batch([gram[keep], piece[keep], doc[keep], start[keep], shape[keep].astype(np.int32)], _NAMES,
                      {"gram": covered})
 
     def run(batches):
@@ -181,7 +193,7 @@ def _scan(batches):
             b = b.filter(pa.compute.invert(done))
         if not b.num_rows:
             continue
-        gram, piece, doc, start, windows = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        gram, piece, doc, start, shape = (c.to_numpy(zero_copy_only=False) for c in b.columns)
         goes_on = last is not None and last[0] == gram[0] and last[1] == piece[0]
         first = np.concatenate(([not goes_on], (gram[1:] != gram[:-1]) | (piece[1:] != piece[:-1])))
         at = np.cumsum(first)
@@ -198,37 +210,36 @@ def _scan(batches):
             met = before | np.concatenate((same, [False]))
             out[heads[met]] = True
             h = heads[-1]
-            waiting = None if met[-1] else (gram[h], piece[h], doc[h], start[h], windows[h])
+            waiting = None if met[-1] else (gram[h], piece[h], doc[h], start[h], shape[h])
             last = (gram[h], piece[h], doc[h], start[h])
         if extra is not None:
             yield _batch([np.array([x]) for x in extra], _NAMES)
         if out.any():
-            yield _batch([gram[out], piece[out], doc[out], start[out], windows[out]], _NAMES, {"gram": covered[out]})
+            yield _batch([gram[out], piece[out], doc[out], start[out], shape[out]], _NAMES, {"gram": covered[out]})
 
 
 def _fetch(length: int):
     """(text, pieces of it) to the pieces' bytes."""
+    import pyarrow as pa
+
     def run(batches):
         for b in batches:
-            gram, doc, start, windows, data = [], [], [], [], []
+            gram, doc, start, left, data = [], [], [], [], []
             for d, text, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for p in found:
                     gram.append(p["gram"])
                     doc.append(d)
                     start.append(p["start"])
-                    windows.append(p["windows"])
-                    data.append(text[p["start"]:p["start"] + p["windows"] + length - 1])
-            import pyarrow as pa
-
+                    left.append(p["shape"] >> 16)
+                    data.append(text[p["start"]:p["start"] + windows_of(p["shape"]) + length - 1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(gram, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()),
-                 pa.array(windows, pa.int32()), pa.array(data, pa.binary())],
-                ["gram", "doc", "start", "windows", "data"])
+                 pa.array(left, pa.int32()), pa.array(data, pa.binary())], ["gram", "doc", "start", "left", "data"])
 
     return run
 
 
-def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int = 64) -> np.ndarray:
+def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int = 8) -> np.ndarray:
     """min(values[lo:hi]) for each pair (lo < hi)."""
     pad = (-len(values)) % step
     padded = np.concatenate((values, np.full(pad + step, np.iinfo(values.dtype).max, values.dtype)))
@@ -254,19 +265,42 @@ def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int = 6
     return out
 
 
-def column_wise_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All suffixes of the strings in order (ends count as smallest, in the order of the
-    strings): string number, suffix length, and common prefix with the one before."""
+def _end_marks(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The parts' numbers in order, and the common prefix of each with the one before."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    size = np.array([len(parts[i]) for i in order], np.int64)
+    table = np.zeros((len(parts), int(size.max(initial=0))), np.uint8)
+    for row, i in enumerate(order):
+        table[row, :len(parts[i])] = np.frombuffer(parts[i], np.uint8)
+    lcp = np.zeros(len(parts), np.int16)
+    if len(parts) > 1 and table.shape[1]:
+        differ = table[1:] != table[:-1]
+        first = np.where(differ.any(axis=1), differ.argmax(axis=1), table.shape[1])
+        lcp[1:] = np.minimum(first, np.minimum(size[1:], size[:-1]))
+    return np.array(order, np.int64), lcp
+
+
+def column_wise_order(strings: list[bytes], parts: list[bytes] | None = None
+                      ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All suffixes of the strings in order: string number, suffix length, and common
+    prefix with the one before. Every string ends in a mark smaller than any symbol;
+    marks follow the order of ``parts``, whose common prefixes count (without parts: the
+    order of the strings, nothing in common)."""
     m = len(strings)
+    if parts is None:
+        marks, start = np.arange(m), np.zeros(m, np.int16)
+    else:
+        marks, start = _end_marks(parts)
     size = np.array([len(s) for s in strings], np.int64)
     top = int(size.max(initial=0))
     # symbols 1..256 from the back; 0 stands for "whole string inserted"
     column = np.zeros((top + 1, m), np.uint16)
     for i, s in enumerate(strings):
         column[:len(s), i] = np.frombuffer(s, np.uint8)[::-1].astype(np.uint16) + 1
-    bwt, lcp = column[0].copy(), np.zeros(m, np.int16)
-    who, length = np.arange(m, dtype=np.int32), np.zeros(m, np.int16)
-    place = np.arange(m)                              # of each string's last inserted suffix
+    bwt, lcp = column[0][marks], start
+    who, length = marks.astype(np.int32), np.zeros(m, np.int16)
+    place = np.empty(m, np.int64)                     # of each string's last inserted suffix
+    place[marks] = np.arange(m)
     for r in range(1, top + 1):
         active = np.flatnonzero(size >= r)
         by_symbol = np.argsort(bwt, kind="stable")    # 16-bit keys: a counting sort
@@ -305,15 +339,15 @@ def column_wise_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.
     return who, length, lcp
 
 
-def repeated_windows(strings: list[bytes], doc: np.ndarray, start: np.ndarray, length: int):
-    """Windows of ``length`` bytes that several strings (or places) share: group, doc and
-    start, in the order of group, doc, start."""
-    who, size, lcp = column_wise_order(strings)
-    long = size >= length
-    group = np.cumsum(lcp < length)
+def repeated_windows(data: list[bytes], left: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int):
+    """Windows of ``length`` bytes of the pieces: group (of equal ones), doc and start, in
+    the order of group, doc, start. ``left`` is the place of a piece's k-gram."""
+    rest = [t[n:] for t, n in zip(data, left.tolist(), strict=True)]
+    who, size, lcp = column_wise_order([t[:n] for t, n in zip(data, left.tolist(), strict=True)], rest)
+    whole = size + np.array([len(t) for t in rest], np.int64)[who]
+    group, long = np.cumsum(lcp < length), whole >= length
     who, size, group = who[long], size[long].astype(np.int64), group[long]
-    whole = np.array([len(s) for s in strings], np.int64)
-    d, s = doc[who], start[who] + whole[who] - size
+    d, s = doc[who], start[who] + left[who] - size
     order = np.lexsort((s, d, group))
     return group[order], d[order], s[order]
 
@@ -345,7 +379,7 @@ def _order(length: int):
             part = pdf.iloc[at:end]
             at = end
             data, doc, start = list(part["data"]), part["doc"].to_numpy(), part["start"].to_numpy()
-            group, d, s = repeated_windows(data, doc, start, length)
+            group, d, s = repeated_windows(data, part["left"].to_numpy(), doc, start, length)
             if not len(group):
                 continue
             first = np.concatenate(([True], group[1:] != group[:-1]))
@@ -421,16 +455,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     dealt = (cut.repartition(parts, F.coalesce("gram", F.xxhash64("doc", "start")))
              .sortWithinPartitions("gram", "piece", "doc", "start"))
     met = pin_table(dealt.mapInArrow(_scan, _PIECE), "repeat-pieces")
-    covered = met.filter("gram is null").select("doc", "start", F.col("windows").cast("long").alias("windows"))
+    covered = met.filter("gram is null").select("doc", "start", F.col("shape").bitwiseAND(0xFFFF).cast("long").alias("windows"))
     open_ = met.filter("gram is not null")
-    lists = pin_table(open_.groupBy("doc").agg(F.collect_list(F.struct("gram", "start", "windows")).alias("found"))
+    lists = pin_table(open_.groupBy("doc").agg(F.collect_list(F.struct("gram", "start", "shape")).alias("found"))
                       .withColumnRenamed("doc", "fdoc"), "repeat-lists")
     sizes = open_.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / STRINGS).cast("int").alias("blocks"))
     many = broadcast_if_small(pin_table(sizes.filter("blocks > 1").withColumnRenamed("gram", "mgram"), "repeat-hot"))
     texts = d.join(broadcast_if_small(lists), F.col("doc") == F.col("fdoc"))
     bins = max(parts, open_.count() // STRINGS + 1)
     data = texts.select("doc", "text", "found").mapInArrow(
-        _fetch(length), "gram bigint, doc bigint, start bigint, windows int, data binary")
+        _fetch(length), "gram bigint, doc bigint, start bigint, left int, data binary")
     data = (data.join(many, F.col("gram") == F.col("mgram"), "left")
             .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
             .withColumn("block", F.pmod(F.xxhash64("doc", "start"), F.col("blocks")))

@@ -143,6 +143,20 @@ def test_column_wise_order_is_the_suffix_order():
         assert same == n
 
 
+def test_order_with_sorted_ends():
+    rnd = random.Random(13)
+    left = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(0, 9))) for _ in range(80)]
+    parts = [bytes(rnd.choice(b"ab\x00") for _ in range(rnd.randrange(0, 12))) for _ in range(80)]
+    who, size, lcp = suffix_dedup.column_wise_order(left, parts)
+    for n in range(9):                                 # suffixes of one length are in byte order
+        at = np.flatnonzero(size == n)
+        texts = [left[w][len(left[w]) - n:] + parts[w] for w in who[at]]
+        assert texts == sorted(texts)
+        for (i, j), a, b in zip(zip(at, at[1:], strict=False), texts, texts[1:], strict=False):
+            same = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            assert min(lcp[i + 1:j + 1]) == (same if j == i + 1 or same >= n else min(lcp[i + 1:j + 1]))
+
+
 @pytest.mark.parametrize("strings", [8192, 5])
 def test_repeats_match_brute_force(spark, monkeypatch, strings):
     monkeypatch.setattr(suffix_dedup, "STRINGS", strings)           # small: k-grams dealt to several blocks
