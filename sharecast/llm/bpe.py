@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import pick, sha256_hex, ship_package
 
-CACHE = 300_000
+CACHE = 150_000
 CACHED_CHARS = 64
+ROWS_AT_ONCE = 500
 
 # Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\t-\r\x85\p{Z}\p{L}\p{N}]+"
@@ -51,47 +52,61 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Encoder:
+class Decoder:
+    """The bytes of every id."""
+
+    def __init__(self, content: bytes):
+        spec = json.loads(content)
+        alphabet = byte_alphabet()
+        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.bytes_of = {i: bytes(alphabet[ch] for ch in tok)
+                         for tok, i in spec["model"]["vocab"].items() if tok not in self.added}
+        self.bytes_of |= {i: text.encode() for text, i in self.added.items()}
+
+    def decode(self, ids: bytes) -> str:
+        get = self.bytes_of.get
+        return b"".join([get(i, b"") for i in unpack(ids)]).decode("utf-8", "replace")
+
+
+class Encoder(Decoder):
     """One vocabulary: token tables, the automaton, and caches."""
 
     def __init__(self, content: bytes, cache: int = CACHE):
         import ahocorasick
         import regex
 
+        super().__init__(content)
         spec = json.loads(content)
-        model, alphabet = spec["model"], byte_alphabet()
+        model = spec["model"]
         if model["type"] != "BPE" or spec.get("normalizer") or spec["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("a byte-level BPE vocabulary without normalizer and prefix space is expected")
-        added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", [])):
             raise ValueError("added tokens that strip or match whole words are not supported")
-        raw = {tok: "".join(chr(alphabet[ch]) for ch in tok)
-               for tok in model["vocab"] if tok not in added}
-        self.bytes_of = {i: raw[tok].encode("latin-1") for tok, i in model["vocab"].items() if tok in raw}
-        self.bytes_of |= {i: text.encode() for text, i in added.items()}
-        self.added = added
-        self.split_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))
-                                      + ")").split if added else None
-        ids = {raw[tok]: i for tok, i in model["vocab"].items() if tok in raw}
+        self.split_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))
+                                      + ")").split if self.added else None
+        own = set(self.added.values())
+        ids = {text: i for i, text in self.bytes_of.items() if i not in own}
+        named = {tok: i for tok, i in model["vocab"].items() if i not in own}
         self.rank: dict[tuple[int, int], int] = {}
         parts: dict[int, tuple[int, int, int]] = {}
         for r, pair in enumerate(model["merges"]):
-            first, second = pair.split(" ") if isinstance(pair, str) else pair
-            a, b, made = ids[raw[first]], ids[raw[second]], ids[raw[first] + raw[second]]
+            a, b = (named[x] for x in (pair.split(" ") if isinstance(pair, str) else pair))
+            made = ids[self.bytes_of[a] + self.bytes_of[b]]
             if made in parts:
                 raise ValueError("a token is made by two merges")
             self.rank[a, b], parts[made] = r, (a, b, r)
         never = len(model["merges"])
+        del spec, model, named
         self.right, self.left = {}, {}
         for i in sorted(ids.values()):
             self.right[i] = self._edge(i, parts, 1, never)
             self.left[i] = self._edge(i, parts, 0, never)
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.limit = cache
         self.automaton = ahocorasick.Automaton()
         for text, i in ids.items():
             if i not in parts or not self._crossed(*parts[i][:2], before=parts[i][2]):
-                self.automaton.add_word(text, (i, len(text)))
+                self.automaton.add_word(text.decode("latin-1"), (i, len(text)))
         self.automaton.make_automaton()
         self.pieces_of = regex.compile(PATTERN).findall
         self.loose_space = re.compile(r" (?:\s|\Z)").search
@@ -117,11 +132,12 @@ class Encoder:
         return False
 
     def _compatible(self, a: int, b: int) -> bool:
-        known = self.fits.get((a, b))
+        pair = a << 32 | b
+        known = self.fits.get(pair)
         if known is None:
             if len(self.fits) >= self.limit:
                 self.fits.clear()
-            known = self.fits[a, b] = not self._crossed(a, b)
+            known = self.fits[pair] = not self._crossed(a, b)
         return known
 
     def _piece(self, piece: str) -> bytes:
@@ -167,10 +183,6 @@ class Encoder:
         return b"".join(pack([self.added[s]]) if s in self.added else self._plain(s)
                         for s in self.split_added(text) if s)
 
-    def decode(self, ids: bytes) -> str:
-        get = self.bytes_of.get
-        return b"".join([get(i, b"") for i in unpack(ids)]).decode("utf-8", "replace")
-
 
 class _Cache(dict):
     """Values made on first use; emptied when ``limit`` is reached; long keys are not kept."""
@@ -204,16 +216,23 @@ def unpack(data: bytes) -> array:
     return a
 
 
-_encoders: dict[int, Encoder] = {}
+_built: dict[tuple, Decoder] = {}
+
+
+def _shared(kind: type, content: bytes) -> Decoder:
+    """This worker's encoder or decoder of a vocabulary."""
+    key = kind.__name__, hash(content)
+    if key not in _built:
+        _built.clear()
+        _built[key] = kind(content)
+    return _built[key]
 
 
-def _encoder(content: bytes) -> Encoder:
-    """This worker's encoder of a vocabulary."""
-    key = hash(content)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(content)
-    return _encoders[key]
+def _slices(batches):
+    """Batches in pieces of a few rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(i, ROWS_AT_ONCE)
 
 
 def _content(path: str) -> bytes:
@@ -232,8 +251,8 @@ def encode_texts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     shared = d.sparkSession.sparkContext.broadcast(_content(vocabulary))
 
     def run(batches):
-        encode = _encoder(shared.value).encode
-        for b in batches:
+        encode = _shared(Encoder, shared.value).encode
+        for b in _slices(batches):
             ids = pa.array([encode(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], [*b.schema.names[:-1], "ids"])
 
@@ -251,8 +270,8 @@ def decode_ids(encoded: DataFrame, vocabulary: str) -> DataFrame:
     shared = e.sparkSession.sparkContext.broadcast(_content(vocabulary))
 
     def run(batches):
-        decode = _encoder(shared.value).decode
-        for b in batches:
+        decode = _shared(Decoder, shared.value).decode
+        for b in _slices(batches):
             texts = pa.array([decode(x) for x in b.column(b.num_columns - 1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], [*b.schema.names, "text"])
 
