@@ -4,9 +4,10 @@ a shard, and an exact merge.
 Documents are indexed where they are read, in segments of about ``SEGMENT_WORDS``
 words (vocabulary, posting lists with term counts, document lengths); segments are a
 written table. Document counts, lengths and document frequencies come from that
-table and hold for the whole corpus, so every shard scores alike. Queries are dealt
-to blocks of about ``BLOCK_TERMS`` terms and segments to shards of about ``SHARD_WORDS``
-words; every (shard, block) is one task, whatever the number of either.
+table and hold for the whole corpus, so every shard scores alike. Segments are dealt
+to shards of about ``SHARD_WORDS`` words, a task each. Queries are taken in blocks of
+about ``BLOCK_TERMS`` terms: a block, of that bounded size, is broadcast and searched in
+all shards, so neither side is ever held whole.
 
 Inside a task each query keeps the score its k-th best document has so far and skips
 whatever cannot reach it, by the two WAND tests, taken for all documents of the shard
@@ -36,6 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import global_rank
 from ..sources.files import pin_table
 from .common import broadcast_if_small, pick, ship_package
 from .text_hash import NOT_ALNUM, word_hashes
@@ -43,10 +45,10 @@ from .text_hash import NOT_ALNUM, word_hashes
 K = 10
 K1, B = 1.2, 0.75
 SEGMENT_WORDS = 1 << 20
-SHARD_WORDS = 6 << 20
+SHARD_WORDS = 12 << 20
 BLOCK_TERMS = 2_000_000
 BLOCK_DOCS = 64
-SCORE_AT_ONCE = 128
+SCORE_AT_ONCE = 32
 _SLACK = 1 - 1e-9            # bounds and scores add in different orders
 
 _SEGMENT = ("segment string, n_docs bigint, n_words bigint, terms array<bigint>, dfs array<int>, ids binary, "
@@ -106,59 +108,66 @@ def _query_terms(batches):
             ["query", "term", "count"])
 
 
-def _slices(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Indices of all ranges (start, size) one after another."""
-    return np.arange(size.sum()) + np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size)
+def _slices(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The ranges of ``values`` one after another."""
+    return np.concatenate([values[a:z] for a, z in zip(start.tolist(), end.tolist(), strict=True)] or [values[:0]])
 
 
 class Shard:
-    """Segments merged to one index with contributions and their maxima."""
+    """Segments merged to one index, with upper bounds of contributions (in single
+    precision, rounded up) and their maxima per term and per block of documents."""
 
     def __init__(self, segments: list[dict], mean_length: float, k1: float = K1, b: float = B):
-        ids, lengths, doc, term, count, at = [], [], [], [], [], 0
-        for s in segments:
+        vocabularies = [np.asarray(s["terms"], np.int64).view(np.uint64) for s in segments]
+        self.terms = np.unique(np.concatenate(vocabularies))
+        ids, lengths, doc, which, count, at = [], [], [], [], [], 0
+        for s, v in zip(segments, vocabularies, strict=True):
             n = np.frombuffer(s["lengths"], np.int64)
             ids.append(np.frombuffer(s["ids"], np.int64))
             lengths.append(n)
-            doc.append(np.frombuffer(s["docs"], np.int32) + at)
-            term.append(np.repeat(np.asarray(s["terms"], np.int64).view(np.uint64), np.asarray(s["dfs"], np.int64)))
+            doc.append(np.frombuffer(s["docs"], np.int32) + np.int32(at))
+            which.append(np.repeat(np.searchsorted(self.terms, v).astype(np.int32), np.asarray(s["dfs"], np.int64)))
             count.append(np.frombuffer(s["counts"], np.int32))
             at += len(n)
-        ids, length = np.concatenate(ids), np.concatenate(lengths)
-        by_id = np.argsort(ids, kind="stable")
-        self.ids, number = ids[by_id], np.empty(len(ids), np.int32)
-        number[by_id] = np.arange(len(ids), dtype=np.int32)
-        self.terms, which = np.unique(np.concatenate(term), return_inverse=True)
-        del term
-        doc, count = number[np.concatenate(doc)], np.concatenate(count)
-        length = length[by_id]
-        order = np.lexsort((doc, which))
-        self.docs, which, count = doc[order], which[order].astype(np.int32), count[order]
-        self.part = count * (k1 + 1) / (count + k1 * (1 - b + b * length[self.docs] / max(mean_length, 1e-9)))
+        self.ids, self.k1 = np.concatenate(ids), k1
+        self.norm = k1 * (1 - b + b * np.concatenate(lengths) / max(mean_length, 1e-9))
+        which = np.concatenate(which)
+        order = np.argsort(which, kind="stable")       # documents ascending inside a term
+        self.docs, count, which = np.concatenate(doc)[order], np.concatenate(count)[order], which[order]
+        del order, doc
         self.start = np.searchsorted(which, np.arange(len(self.terms) + 1))
+        exact = count * (k1 + 1) / (count + self.norm[self.docs])
+        self.part = (exact * (1 + 2e-7)).astype(np.float32)
+        del exact
         n = len(self.ids)
         self.blocks = -(-n // BLOCK_DOCS)
         if len(which):
-            self.top = np.maximum.reduceat(self.part, self.start[:-1])
-            key = which.astype(np.int64) * self.blocks + self.docs // BLOCK_DOCS
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            self.block_top, self.block = np.maximum.reduceat(self.part, first), (key[first] % self.blocks).astype(np.int32)
+            self.top = np.maximum.reduceat(self.part, self.start[:-1]).astype(np.float64)
+            block = self.docs // BLOCK_DOCS
+            first = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (which[1:] != which[:-1]))))
+            self.block_top, self.block = np.maximum.reduceat(self.part, first), block[first]
             self.block_start = np.searchsorted(first, self.start)
         by_doc = np.argsort(self.docs, kind="stable")               # terms ascending inside a document
-        self.fterm, self.fpart = which[by_doc], self.part[by_doc]
+        self.fterm, self.fcount = which[by_doc], count[by_doc]
         self.fstart = np.concatenate(([0], np.cumsum(np.bincount(self.docs, minlength=n))))
-        self.weight = np.zeros(len(self.terms))
-
-    def scores(self, docs: np.ndarray) -> np.ndarray:
-        size = self.fstart[docs + 1] - self.fstart[docs]
-        at = _slices(self.fstart[docs], size)
-        return np.add.reduceat(self.weight[self.fterm[at]] * self.fpart[at],
-                               np.concatenate(([0], np.cumsum(size)[:-1])))
+        self.place = np.zeros(len(self.terms), np.int32)
+
+    def scores(self, docs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Exact scores; a document's terms are added in the order of their hashes.
+        ``self.place`` has the place of the query's terms in ``weights``, from 1."""
+        start, end = self.fstart[docs], self.fstart[docs + 1]
+        place = self.place[_slices(self.fterm, start, end)]
+        at = np.flatnonzero(place)
+        owner = np.repeat(np.arange(len(docs)), end - start)[at]
+        count = _slices(self.fcount, start, end)[at]
+        value = weights[place[at] - 1] * (count * (self.k1 + 1) / (count + self.norm[docs[owner]]))
+        return np.bincount(owner, value, minlength=len(docs))
 
     def partial(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        size = self.start[terms + 1] - self.start[terms]
-        at = _slices(self.start[terms], size)
-        return np.bincount(self.docs[at], self.part[at] * np.repeat(weights, size), minlength=len(self.ids))
+        """What the terms add to every document at most."""
+        start, end = self.start[terms], self.start[terms + 1]
+        return np.bincount(_slices(self.docs, start, end),
+                           _slices(self.part, start, end) * np.repeat(weights, end - start), minlength=len(self.ids))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """The best k documents (ids, scores, best first) and how many were scored."""
@@ -174,67 +183,75 @@ class Shard:
         bound = w * self.top[t]
         order = np.argsort(-bound, kind="stable")
         t, w, bound = t[order], w[order], bound[order]
-        self.weight[t] = w
+        self.place[t] = np.arange(1, len(t) + 1)
         left = np.concatenate((np.cumsum(bound[::-1])[::-1], [0.0]))       # bounds of term i and after
-        # documents that the strongest terms rank first give a score to reach
-        read = np.cumsum(self.start[t + 1] - self.start[t])
-        few = max(1, int(np.searchsorted(read, 2 * k * BLOCK_DOCS)))
         best, score = np.empty(0, np.int64), np.empty(0)
         goal, scored = -1.0, 0
 
         def take(docs):
             nonlocal best, score, goal, scored
-            best, score = np.concatenate((best, docs)), np.concatenate((score, self.scores(docs)))
+            best, score = np.concatenate((best, docs)), np.concatenate((score, self.scores(docs, w)))
             scored += len(docs)
-            top = np.lexsort((best, -score))[:k]
+            top = np.lexsort((self.ids[best], -score))[:k]
             best, score = best[top], score[top]
             if len(best) == k:
                 goal = score[-1] * _SLACK
 
+        # documents that the strongest terms rank first give a score to reach
+        read = np.cumsum(self.start[t + 1] - self.start[t])
+        few = min(len(t), max(1, int(np.searchsorted(read, 2 * k * BLOCK_DOCS))))
         part = self.partial(t[:few], w[:few])
         found = np.flatnonzero(part)
         take(found[np.argpartition(-part[found], k)[:k]] if len(found) > k else found)
-        done = np.zeros(len(self.ids), bool)
-        done[best] = True
-        needed = max(few, int(np.searchsorted(-left, -goal, "right"))) if goal > 0 else len(t)
-        needed = min(needed, len(t))
+        done = best.copy()
+        # terms from here on cannot reach the goal among themselves
+        needed = min(len(t), max(few, int(np.searchsorted(-left, -goal, "right")))) if goal > 0 else len(t)
         if needed > few:
             part += self.partial(t[few:needed], w[few:needed])
-        skipped = t[needed:]
-        rest = np.zeros(self.blocks)
-        if len(skipped):
-            size = self.block_start[skipped + 1] - self.block_start[skipped]
-            at = _slices(self.block_start[skipped], size)
-            rest = np.bincount(self.block[at], self.block_top[at] * np.repeat(w[needed:], size), minlength=self.blocks)
-        docs = np.flatnonzero((part > 0) & ~done)
-        high = part[docs] + rest[docs // BLOCK_DOCS]
-        ok = high >= goal
-        docs, high = docs[ok], high[ok]
-        best_first = np.argsort(-high, kind="stable")
-        docs, high = docs[best_first], high[best_first]
-        for i in range(0, len(docs), SCORE_AT_ONCE):
-            if high[i] < goal:
+        part[done] = 0.0
+        docs = np.flatnonzero(part)
+        high = part[docs]
+        if needed < len(t):
+            near = high + left[needed] >= goal
+            docs, high = docs[near], high[near]
+            start, end = self.block_start[t[needed:]], self.block_start[t[needed:] + 1]
+            rest = np.bincount(_slices(self.block, start, end),
+                               _slices(self.block_top, start, end) * np.repeat(w[needed:], end - start),
+                               minlength=self.blocks)
+            high = high + rest[docs // BLOCK_DOCS]
+        while len(docs):
+            ok = high >= goal
+            docs, high = docs[ok], high[ok]
+            if len(docs) > SCORE_AT_ONCE:
+                at = np.argpartition(-high, SCORE_AT_ONCE)
+                take(docs[at[:SCORE_AT_ONCE]])
+                docs, high = docs[at[SCORE_AT_ONCE:]], high[at[SCORE_AT_ONCE:]]
+            else:
+                if len(docs):
+                    take(docs)
                 break
-            take(docs[i:i + SCORE_AT_ONCE])
-        self.weight[t] = 0.0
+        self.place[t] = 0
         hit = score > 0
         return self.ids[best[hit]], score[hit], scored
 
 
-def _search(k: int, mean_length: float):
+def _search(k: int, mean_length: float, block):
+    """Segments of one shard to the best k documents of every query of the block."""
     import pandas as pd
 
-    def run(segments, queries):
-        out = []
-        if len(segments) and len(queries):
-            shard = Shard(segments.to_dict("records"), mean_length)
-            for query, terms, weights in zip(queries["query"], queries["terms"], queries["weights"], strict=True):
-                ids, score, scored = shard.search(np.asarray(terms, np.int64).view(np.uint64), np.asarray(weights), k)
-                out.append(pd.DataFrame({"query_id": query, "doc_id": ids, "score": score}))
-        if not out:
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []}).astype(
-                {"query_id": "int64", "doc_id": "int64", "score": "float64"})
-        return pd.concat(out, ignore_index=True)
+    def run(segments):
+        shard = Shard(segments.to_dict("records"), mean_length)
+        query, start, terms, weights = block.value
+        found, ids, scores = [], [], []
+        for i, q in enumerate(query.tolist()):
+            a, z = start[i], start[i + 1]
+            d, s, _ = shard.search(terms[a:z], weights[a:z], k)
+            found.append(np.full(len(d), q, np.int64))
+            ids.append(d)
+            scores.append(s)
+        return pd.DataFrame({"query_id": np.concatenate(found or [np.empty(0, np.int64)]),
+                             "doc_id": np.concatenate(ids or [np.empty(0, np.int64)]),
+                             "score": np.concatenate(scores or [np.empty(0)])})
 
     return run
 
@@ -268,18 +285,23 @@ def search(index: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text
     per = pin_table(per.select("query", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")), "bm25-queries")
     n_terms = per.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks, shards = -(-n_terms // BLOCK_TERMS) or 1, -(-n_words // SHARD_WORDS) or 1
-    block_ids = F.sequence(F.lit(0), F.lit(blocks - 1))
-    shard_ids = F.sequence(F.lit(0), F.lit(shards - 1))
     # segments go round the shards by size, so shards are even
-    sizes = Window.orderBy(F.col("n_words").desc(), "segment")
-    dealt = index.select("segment", "n_words").withColumn("shard", (F.row_number().over(sizes) - 1) % shards)
-    dealt = dealt.select(F.col("segment").alias("sid"), "shard")
+    dealt = global_rank(index.select("segment", "n_words"), [F.col("n_words").desc(), F.col("segment").asc()], start=0)
+    dealt = dealt.select(F.col("segment").alias("sid"), (F.col("rn") % shards).alias("shard"))
     parts = (index.join(broadcast_if_small(dealt), F.col("segment") == F.col("sid"))
-             .select("shard", F.explode(block_ids).alias("block"), "terms", "dfs", "ids", "lengths", "docs", "counts"))
-    asks = per.select(F.explode(shard_ids).alias("shard"), F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"),
-                      "query", "terms", "weights")
-    found = parts.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInPandas(
-        _search(k, n_words / max(n_docs, 1)), "query_id bigint, doc_id bigint, score double")
+             .select("shard", "terms", "dfs", "ids", "lengths", "docs", "counts"))
+    found = None
+    for i in range(blocks):
+        got = per.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i).toArrow()
+        terms, weights = got.column("terms").combine_chunks(), got.column("weights").combine_chunks()
+        sizes = np.diff(terms.offsets.to_numpy())
+        shared = spark.sparkContext.broadcast((
+            got.column("query").to_numpy(), np.concatenate(([0], np.cumsum(sizes))),
+            terms.flatten().to_numpy().view(np.uint64), weights.flatten().to_numpy()))
+        one = pin_table(parts.groupBy("shard").applyInPandas(
+            _search(k, n_words / max(n_docs, 1), shared), "query_id bigint, doc_id bigint, score double"), "bm25-found")
+        shared.destroy()
+        found = one if found is None else found.unionByName(one)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score"))
