@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import pick, sha256_hex, ship_package
 
-CACHE = 150_000
+CACHE = 400_000
 CACHED_CHARS = 64
 ROWS_AT_ONCE = 500
 
@@ -104,9 +104,12 @@ class Encoder(Decoder):
         self.fits: dict[int, bool] = {}
         self.limit = cache
         self.automaton = ahocorasick.Automaton()
+        self.packed: dict[str, bytes] = {}       # tokens that merging makes, with packed ids
         for text, i in ids.items():
             if i not in parts or not self._crossed(*parts[i][:2], before=parts[i][2]):
-                self.automaton.add_word(text.decode("latin-1"), (i, len(text)))
+                name = text.decode("latin-1")
+                self.packed[name] = pack([i])
+                self.automaton.add_word(name, (i, len(name)))
         self.automaton.make_automaton()
         self.pieces_of = regex.compile(PATTERN).findall
         self.loose_space = re.compile(r" (?:\s|\Z)").search
@@ -131,29 +134,39 @@ class Encoder(Decoder):
                     return True
         return False
 
-    def _compatible(self, a: int, b: int) -> bool:
-        pair = a << 32 | b
-        known = self.fits.get(pair)
-        if known is None:
-            if len(self.fits) >= self.limit:
-                self.fits.clear()
-            known = self.fits[pair] = not self._crossed(a, b)
+    def _meets(self, a: int, b: int) -> bool:
+        """Whether tokens a and b are compatible; kept in ``fits``."""
+        if len(self.fits) >= self.limit:
+            self.fits.clear()
+        known = self.fits[a << 32 | b] = not self._crossed(a, b)
         return known
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one pre-token, packed."""
-        text = piece.encode().decode("latin-1")
-        last = [(-1, 0)] * (len(text) + 1)          # last token and its start, per prefix
+        text = piece if piece.isascii() else piece.encode().decode("latin-1")
+        if text in self.packed:
+            return self.packed[text]
+        fits = self.fits
+        last, begin = [-1] * (len(text) + 1), [0] * (len(text) + 1)      # per prefix
         for end, (token, size) in self.automaton.iter(text):
-            start = end + 1 - size
-            if last[end + 1][0] < 0 and (start == 0 or (
-                    last[start][0] >= 0 and self._compatible(last[start][0], token))):
-                last[end + 1] = (token, start)
-        ids, at = [], len(text)
+            end += 1
+            if last[end] < 0:
+                start = end - size
+                if start:
+                    before = last[start]
+                    if before < 0:
+                        continue
+                    known = fits.get(before << 32 | token)
+                    if not (self._meets(before, token) if known is None else known):
+                        continue
+                last[end], begin[end] = token, start
+        out, at = [], len(text)
         while at:
-            token, at = last[at]
-            ids.append(token)
-        return pack(ids[::-1])
+            start = begin[at]
+            out.append(self.packed[text[start:at]])
+            at = start
+        out.reverse()
+        return b"".join(out)
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join([self.pieces[p] for p in self.pieces_of(chunk)])
