@@ -135,11 +135,13 @@ def _total(name: str) -> Column:
 
 
 def _with_whole(rows: DataFrame, residuals: dict[str, Column], *others) -> DataFrame:
+    rows = rows.select(*others, *[r.alias(n) for n, r in residuals.items()])    # residuals once per row
+    kept = [F.col(c) for c in rows.columns if c not in residuals]
     cols = []
-    for n, r in residuals.items():
-        high, low = _whole(r)
+    for n in residuals:
+        high, low = _whole(F.col(n))
         cols += [high.cast("long").alias(f"{n}_h"), low.cast("long").alias(f"{n}_l")]
-    return rows.select(*others, *cols)
+    return rows.select(*kept, *cols)
 
 
 # --- models within the bound -----------------------------------------------------
@@ -156,14 +158,29 @@ def vector_margin(vector: np.ndarray, slots="slots") -> Column:
         F.get(w, (i + 1).cast("int")), F.lit(0.0)))
 
 
+# Residuals in SQL; {m} is the margin.
+_RESIDUALS = {
+    "logistic": "1D / (1D + exp(-({m}))) - label",
+    "hinge": "CASE WHEN 1D > (2D * label - 1D) * ({m}) THEN 1D - 2D * label ELSE 0D END",
+}
+
+
 def vector_gradients(design: DataFrame, vectors: dict[str, np.ndarray], losses: dict[str, str]) -> DataFrame:
     """feature_id and, for every name, the summed residuals (``name``) of the rows in
-    which the feature is active."""
-    rows = _with_whole(design, {n: residual(vector_margin(v), F.col("label"), losses[n])
-                                for n, v in vectors.items()}, "slots")
-    parts = [c for c in rows.columns if c != "slots"]
-    g = rows.select(F.explode("slots").alias("feature_id"), *parts).groupBy("feature_id").agg(*_sums(list(vectors)))
-    return g.select("feature_id", *[_total(n).alias(n) for n in vectors])
+    which the feature is active. One SQL text per set of models: an iteration changes
+    its arguments only, which keeps the driver's part of an iteration small."""
+    unit = f"{_UNIT!r}D"
+    residuals, parts, totals = [], [], []
+    for n in vectors:
+        margin = (f"aggregate(slots, 0D, (acc, i) -> acc + coalesce(get(from_json(:{n}, 'array<double>'), "
+                  "CAST(i + 1 AS INT)), 0D))")
+        residuals.append(f"{_RESIDUALS[losses[n]].format(m=margin)} AS {n}")
+        parts += [f"CAST(floor({n} * {unit}) AS BIGINT) AS {n}_h",
+                  f"CAST(floor(({n} * {unit} - floor({n} * {unit})) * {unit}) AS BIGINT) AS {n}_l"]
+        totals.append(f"(CAST(sum({n}_h) AS DOUBLE) + CAST(sum({n}_l) AS DOUBLE) / {unit}) / {unit} AS {n}")
+    text = (f"SELECT feature_id, {', '.join(totals)} FROM (SELECT explode(slots) AS feature_id, {', '.join(parts)} "
+            f"FROM (SELECT slots, {', '.join(residuals)} FROM {{design}})) GROUP BY feature_id")
+    return design.sparkSession.sql(text, args={n: json.dumps(v.tolist()) for n, v in vectors.items()}, design=design)
 
 
 def _fit_vectors(design: DataFrame, size: int, n: int,

@@ -284,12 +284,23 @@ def _named_weights(model) -> DataFrame:
     return model.weights.select(F.lit(model.name).alias("model"), "feature_id", r9("weight").alias("weight"))
 
 
+def _one_fit(spark, sf, loss):
+    """The 50-step model of one loss; fitted alone unless both are there already."""
+    both = _memo.get(_key(spark, "fits", sf, FULL_ITERATIONS))
+    if both is not None:
+        return both[0 if loss == "logistic" else 1]
+    k = _key(spark, "fit", sf, loss)
+    if k not in _memo:
+        _memo[k] = P.fit_model(_prep(spark, sf), loss, FULL_ITERATIONS)
+    return _memo[k]
+
+
 def q_lr_fit(spark, sf):
-    return _named_weights(_fits(spark, sf)[0])
+    return _named_weights(_one_fit(spark, sf, "logistic"))
 
 
 def q_svm_fit(spark, sf):
-    return _named_weights(_fits(spark, sf)[1])
+    return _named_weights(_one_fit(spark, sf, "hinge"))
 
 
 # --- scoring -------------------------------------------------------------------
