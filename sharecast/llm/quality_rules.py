@@ -106,10 +106,13 @@ def apply_quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
         F.array_join(F.filter("_lines", lambda x: ~line_fails(x)), "\n").alias("_clean"))
     d = d.withColumn("_lost", F.col("_chars") - word_chars(F.col("_clean")))
     failed = (F.col("_n") < MIN_WORDS) | (100 * F.col("_repeats") > MAX_REPEAT_PCT * F.col("_n"))
-    return d.select(
+    judged = F.struct(
         F.col("_id").alias(id_col), *keep, F.col("_clean").alias(text_col),
         F.col("_n").cast("long").alias("n_words"), F.col("_chars").cast("long").alias("word_chars"),
         F.col("_symbols").cast("long").alias("n_symbols"), F.col("_dups").cast("long").alias("n_dup_lines"),
         F.col("_repeats").cast("long").alias("n_repeat_words"),
         F.col("_lost").cast("long").alias("lost_chars"), failed.alias("base_failed"),
         (~failed & (100 * F.col("_lost") <= MAX_LOST_PCT * F.col("_chars"))).alias("kept"))
+    # a generator of one row: a caller's filter on the verdict stays above it, instead of
+    # moving down and making Spark clean every text a second time
+    return d.select(F.inline(F.array(judged)))
