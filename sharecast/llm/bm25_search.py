@@ -45,7 +45,7 @@ from .text_hash import NOT_ALNUM, word_hashes
 K = 10
 K1, B = 1.2, 0.75
 SEGMENT_WORDS = 1 << 20
-SHARD_WORDS = 12 << 20
+SHARD_WORDS = 8 << 20
 BLOCK_TERMS = 2_000_000
 BLOCK_DOCS = 64
 SCORE_AT_ONCE = 32
@@ -118,38 +118,45 @@ class Shard:
     precision, rounded up) and their maxima per term and per block of documents."""
 
     def __init__(self, segments: list[dict], mean_length: float, k1: float = K1, b: float = B):
-        vocabularies = [np.asarray(s["terms"], np.int64).view(np.uint64) for s in segments]
-        self.terms = np.unique(np.concatenate(vocabularies))
-        ids, lengths, doc, which, count, at = [], [], [], [], [], 0
-        for s, v in zip(segments, vocabularies, strict=True):
-            n = np.frombuffer(s["lengths"], np.int64)
-            ids.append(np.frombuffer(s["ids"], np.int64))
-            lengths.append(n)
-            doc.append(np.frombuffer(s["docs"], np.int32) + np.int32(at))
-            which.append(np.repeat(np.searchsorted(self.terms, v).astype(np.int32), np.asarray(s["dfs"], np.int64)))
-            count.append(np.frombuffer(s["counts"], np.int32))
-            at += len(n)
-        self.ids, self.k1 = np.concatenate(ids), k1
-        self.norm = k1 * (1 - b + b * np.concatenate(lengths) / max(mean_length, 1e-9))
-        which = np.concatenate(which)
-        order = np.argsort(which, kind="stable")       # documents ascending inside a term
-        self.docs, count, which = np.concatenate(doc)[order], np.concatenate(count)[order], which[order]
-        del order, doc
-        self.start = np.searchsorted(which, np.arange(len(self.terms) + 1))
-        exact = count * (k1 + 1) / (count + self.norm[self.docs])
-        self.part = (exact * (1 + 2e-7)).astype(np.float32)
-        del exact
-        n = len(self.ids)
+        parts = [(np.asarray(s["terms"], np.int64).view(np.uint64), np.asarray(s["dfs"], np.int64),
+                  np.frombuffer(s["docs"], np.int32), np.frombuffer(s["counts"], np.int32),
+                  np.frombuffer(s["lengths"], np.int64)) for s in segments]
+        self.ids, self.k1 = np.concatenate([np.frombuffer(s["ids"], np.int64) for s in segments]), k1
+        self.norm = k1 * (1 - b + b * np.concatenate([p[4] for p in parts]) / max(mean_length, 1e-9))
+        self.terms = np.unique(np.concatenate([p[0] for p in parts]))
+        at = [np.searchsorted(self.terms, p[0]) for p in parts]
+        df = np.zeros(len(self.terms), np.int64)
+        for t, p in zip(at, parts, strict=True):
+            df[t] += p[1]
+        self.start = np.concatenate(([0], np.cumsum(df)))
+        n, size = len(self.ids), int(self.start[-1])
+        # postings by term and by document, a segment at a time (its documents follow
+        # those of the segments before), so that nothing but the index is large
+        self.docs, self.part = np.empty(size, np.int32), np.empty(size, np.float32)
+        self.fterm, self.fcount = np.empty(size, np.int32), np.empty(size, np.int32)
+        self.fstart = np.zeros(n + 1, np.int64)
+        free, doc0, row0 = self.start[:-1].copy(), 0, 0
+        for t, (_, dfs, docs, counts, lengths) in zip(at, parts, strict=True):
+            to = np.arange(len(docs)) + np.repeat(free[t] - np.concatenate(([0], np.cumsum(dfs)[:-1])), dfs)
+            free[t] += dfs
+            self.docs[to] = docs + np.int32(doc0)
+            exact = counts * (k1 + 1) / (counts + self.norm[docs + doc0])
+            self.part[to] = exact * (1 + 2e-7)
+            by_doc = np.argsort(docs, kind="stable")                # terms ascending inside a document
+            self.fterm[row0:row0 + len(docs)] = np.repeat(t.astype(np.int32), dfs)[by_doc]
+            self.fcount[row0:row0 + len(docs)] = counts[by_doc]
+            self.fstart[doc0 + 1:doc0 + 1 + len(lengths)] = row0 + np.cumsum(np.bincount(docs, minlength=len(lengths)))
+            doc0, row0 = doc0 + len(lengths), row0 + len(docs)
         self.blocks = -(-n // BLOCK_DOCS)
-        if len(which):
+        if size:
             self.top = np.maximum.reduceat(self.part, self.start[:-1]).astype(np.float64)
-            block = self.docs // BLOCK_DOCS
-            first = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (which[1:] != which[:-1]))))
+            block = self.docs // np.int32(BLOCK_DOCS)
+            new = np.ones(size, bool)
+            new[1:] = block[1:] != block[:-1]
+            new[self.start[:-1]] = True
+            first = np.flatnonzero(new)
             self.block_top, self.block = np.maximum.reduceat(self.part, first), block[first]
             self.block_start = np.searchsorted(first, self.start)
-        by_doc = np.argsort(self.docs, kind="stable")               # terms ascending inside a document
-        self.fterm, self.fcount = which[by_doc], count[by_doc]
-        self.fstart = np.concatenate(([0], np.cumsum(np.bincount(self.docs, minlength=n))))
         self.place = np.zeros(len(self.terms), np.int32)
 
     def scores(self, docs: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -237,21 +244,22 @@ class Shard:
 
 def _search(k: int, mean_length: float, block):
     """Segments of one shard to the best k documents of every query of the block."""
-    import pandas as pd
+    import pyarrow as pa
 
-    def run(segments):
-        shard = Shard(segments.to_dict("records"), mean_length)
+    def run(table):
+        segments = [{"terms": table["terms"][i].values.to_numpy(), "dfs": table["dfs"][i].values.to_numpy()}
+                    | {c: table[c][i].as_buffer() for c in ("ids", "lengths", "docs", "counts")}
+                    for i in range(table.num_rows)]
+        shard = Shard(segments, mean_length)
         query, start, terms, weights = block.value
-        found, ids, scores = [], [], []
+        found, ids, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         for i, q in enumerate(query.tolist()):
             a, z = start[i], start[i + 1]
             d, s, _ = shard.search(terms[a:z], weights[a:z], k)
             found.append(np.full(len(d), q, np.int64))
             ids.append(d)
             scores.append(s)
-        return pd.DataFrame({"query_id": np.concatenate(found or [np.empty(0, np.int64)]),
-                             "doc_id": np.concatenate(ids or [np.empty(0, np.int64)]),
-                             "score": np.concatenate(scores or [np.empty(0)])})
+        return pa.table({"query_id": np.concatenate(found), "doc_id": np.concatenate(ids), "score": np.concatenate(scores)})
 
     return run
 
@@ -298,7 +306,7 @@ def search(index: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text
         shared = spark.sparkContext.broadcast((
             got.column("query").to_numpy(), np.concatenate(([0], np.cumsum(sizes))),
             terms.flatten().to_numpy().view(np.uint64), weights.flatten().to_numpy()))
-        one = pin_table(parts.groupBy("shard").applyInPandas(
+        one = pin_table(parts.groupBy("shard").applyInArrow(
             _search(k, n_words / max(n_docs, 1), shared), "query_id bigint, doc_id bigint, score double"), "bm25-found")
         shared.destroy()
         found = one if found is None else found.unionByName(one)
