@@ -11,8 +11,9 @@ all shards, so neither side is ever held whole.
 
 Inside a task each query keeps the score its k-th best document has so far and skips
 whatever cannot reach it, by the two WAND tests, taken for all documents of the shard
-at once: (1) terms whose largest contributions add up to less than that score cannot
-make a hit by themselves, so only the other terms' postings are read; (2) a document
+at once: (1) terms whose largest contributions add up to less than that score (in
+fact, less than its share ``SKIP``, for tight bounds) cannot make a hit by themselves,
+so only the other terms' postings are read; (2) a document
 is scored in full only if what it has from those, plus the largest contributions of
 the skipped terms in its block of ``BLOCK_DOCS`` documents, reaches that score.
 Documents are scored best bound first, so the score to reach rises quickly. Full
@@ -48,7 +49,8 @@ SEGMENT_WORDS = 1 << 20
 SHARD_WORDS = 8 << 20
 BLOCK_TERMS = 2_000_000
 BLOCK_DOCS = 64
-SCORE_AT_ONCE = 32
+SCORE_AT_ONCE = 16
+SKIP = 0.2                   # skipped terms add at most this share of the score to reach (at most 1)
 _SLACK = 1 - 1e-9            # bounds and scores add in different orders
 
 _SEGMENT = ("segment string, n_docs bigint, n_words bigint, terms array<bigint>, dfs array<int>, ids binary, "
@@ -165,8 +167,9 @@ class Shard:
         start, end = self.fstart[docs], self.fstart[docs + 1]
         place = self.place[_slices(self.fterm, start, end)]
         at = np.flatnonzero(place)
-        owner = np.repeat(np.arange(len(docs)), end - start)[at]
-        count = _slices(self.fcount, start, end)[at]
+        size = end - start
+        owner = np.repeat(np.arange(len(docs)), size)[at]
+        count = self.fcount[at + (start - np.concatenate(([0], np.cumsum(size)[:-1])))[owner]]
         value = weights[place[at] - 1] * (count * (self.k1 + 1) / (count + self.norm[docs[owner]]))
         return np.bincount(owner, value, minlength=len(docs))
 
@@ -211,8 +214,9 @@ class Shard:
         found = np.flatnonzero(part)
         take(found[np.argpartition(-part[found], k)[:k]] if len(found) > k else found)
         done = best.copy()
-        # terms from here on cannot reach the goal among themselves
-        needed = min(len(t), max(few, int(np.searchsorted(-left, -goal, "right")))) if goal > 0 else len(t)
+        # terms from here on cannot reach the goal among themselves, by far: the less they
+        # can add, the tighter the bounds below and the fewer documents are scored
+        needed = min(len(t), max(few, int(np.searchsorted(-left, -goal * SKIP, "right")))) if goal > 0 else len(t)
         if needed > few:
             part += self.partial(t[few:needed], w[few:needed])
         part[done] = 0.0
