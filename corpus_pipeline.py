@@ -15,6 +15,8 @@ from sharecast.sources.files import pin_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 KEEP = ("lang", "source")
+#: Near copies: Jaccard of five-word shingles from 0.8 up (op9's 3 and 0.9 bind op9 only).
+NEAR = {"n": 5, "num": 80, "den": 100}
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of documents linked by similarity the one with the least id.
     Rows that repeat an id count once; rows without an id are in no group and stay."""
     docs = pick(docs, COLUMNS)
-    groups = jaccard_join.similar_groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    groups = jaccard_join.similar_groups(docs, **NEAR).filter("doc_id = component_id").select("doc_id").distinct()
     first = (docs.join(broadcast_if_small(pin_table(groups, "pipeline-first")), "doc_id", "left_semi")
              .dropDuplicates(["doc_id"]))
     return first.select(*COLUMNS).unionByName(docs.filter("doc_id is null"))

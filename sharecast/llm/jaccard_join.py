@@ -46,7 +46,7 @@ from .text_hash import BLANKS, CHUNK_BYTES, C1, C2, GOLD, mix, word_hashes
 NGRAM = 3
 NUM, DEN = 90, 100          # the threshold as a fraction
 SUBSET_COST = 2
-SPARE = 2                   # groups beyond those that may differ; see group_keys
+SPARE = 2                   # least groups beyond those that may differ; see spare_groups
 BLOCK_ITEMS = 1_000_000
 def ngram_sets(texts: list[bytes], n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
     """All documents' distinct n-gram hashes, ascending inside each document, and the
@@ -93,11 +93,35 @@ def size_class(size: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.floor(np.log(size) / math.log(den / num * 1.001)).astype(np.int64)
 
 
+def spare_groups(differ: int, smallest: int) -> int:
+    """Groups to have beyond ``differ`` + 1, so that sets from ``smallest`` elements on
+    get few keys for empty groups (see group_keys): from SPARE up, the first number for
+    which a set is expected to get one such key at most, or that lies six deviations above
+    the expected number of empty groups. Below a threshold of about 0.62 there is none."""
+    for spare in range(SPARE, 8 * differ + 64):
+        groups, k = differ + 1 + spare, spare + 1
+        keys = (math.lgamma(groups + 1) - math.lgamma(k + 1) - math.lgamma(groups - k + 1)
+                + smallest * math.log1p(-k / groups)) if k < groups else 0
+        empty = groups * (1 - 1 / groups) ** smallest
+        if keys <= 0 or spare >= empty + 6 * math.sqrt(empty):
+            return spare
+    return SPARE
+
+
+def class_differ(c: int, num: int, den: int) -> int:
+    """Elements in which a pair may differ whose smaller set is of class c."""
+    return (math.floor((den / num * 1.001) ** (c + 1)) + 1) * (den - num) // num
+
+
+@lru_cache(maxsize=None)
+def class_spare(c: int, num: int, den: int) -> int:
+    return spare_groups(class_differ(c, num, den), math.ceil((den / num * 1.001) ** c))
+
+
 @lru_cache(maxsize=None)
 def class_groups(c: int, num: int, den: int) -> int:
     """Groups for pairs whose smaller set is of class c: more than may differ."""
-    largest = math.floor((den / num * 1.001) ** (c + 1)) + 1
-    return largest * (den - num) // num + 1 + SPARE
+    return class_differ(c, num, den) + 1 + class_spare(c, num, den)
 
 
 @lru_cache(maxsize=None)
@@ -128,12 +152,14 @@ def group_keys(grams: np.ndarray, offsets: np.ndarray, docs: np.ndarray, tags: n
                num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the groups of large sets under a class tag each, and their documents.
 
-    A group without elements says nothing by itself. With ``SPARE`` groups more than
-    needed, a partner agrees in a group that has elements unless both lack more than
-    SPARE groups; such sets (very few) also get a key per SPARE + 1 empty groups."""
+    A group without elements says nothing by itself. With so many spare groups more than
+    needed, a partner agrees in a group that has elements unless both lack more groups
+    than are spare; such sets (very few, as the spare groups grow with the number of
+    groups) also get a key per spare + 1 empty groups."""
     if not len(docs):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     groups = np.array([class_groups(int(c), num, den) for c in tags], np.int64)
+    spare = np.array([class_spare(int(c), num, den) for c in tags], np.int64)
     base = np.concatenate(([0], np.cumsum(groups)))
     size = offsets[docs + 1] - offsets[docs]
     at = np.arange(size.sum()) - np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.repeat(
@@ -150,10 +176,10 @@ def group_keys(grams: np.ndarray, offsets: np.ndarray, docs: np.ndarray, tags: n
     keys, of = mix(acc ^ salt)[filled], docs[owner[filled]]
     empties = groups - np.bincount(owner[filled], minlength=len(docs))
     more = []
-    for i in np.flatnonzero(empties > SPARE):
+    for i in np.flatnonzero(empties > spare):
         blank = salt[base[i]:base[i + 1]][~filled[base[i]:base[i + 1]]]
         more += [(mix(np.array([sum(map(int, x)) & (2 ** 64 - 1)], np.uint64))[0], docs[i])
-                 for x in combinations(blank, SPARE + 1)]
+                 for x in combinations(blank, int(spare[i]) + 1)]
     if more:
         keys = np.concatenate((keys, np.array([x[0] for x in more], np.uint64)))
         of = np.concatenate((of, np.array([x[1] for x in more], np.int64)))
