@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sharecast.llm import bpe, jaccard_join, line_dedup, quality_rules, registry, source_mix
 from sharecast.llm.common import broadcast_if_small, pick
+from sharecast.operators.ranks import global_rank
 from sharecast.sources.files import pin_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,14 +34,28 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(line_dedup.dedup_lines(docs, keep=KEEP))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Documents with ids and their number ``_doc``, a row each: the id where ids are
+    unique, else the rank by id and text hash. Rows that repeat both are one document."""
+    n, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if n == ids:
+        return docs.withColumn("_doc", F.col("doc_id"))
+    d = docs.withColumn("_hash", F.xxhash64("text"))
+    ranked = global_rank(d.select("doc_id", "_hash").distinct(), ["doc_id", "_hash"], rank_col="_doc")
+    row = F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row")
+    return d.join(ranked, ["doc_id", "_hash"]).groupBy("_doc").agg(row).select("row.*", "_doc")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of documents linked by similarity the one with the least id.
-    Rows that repeat an id count once; rows without an id are in no group and stay."""
+    """Of every group of documents linked by similarity the one with the least id (and
+    of its texts the one with the least hash). Rows that repeat an id and its text count
+    once, different texts of one id are documents of their own; rows without an id are in
+    no group and stay."""
     docs = pick(docs, COLUMNS)
-    groups = jaccard_join.similar_groups(docs, **NEAR).filter("doc_id = component_id").select("doc_id").distinct()
-    first = (docs.join(broadcast_if_small(pin_table(groups, "pipeline-first")), "doc_id", "left_semi")
-             .dropDuplicates(["doc_id"]))
-    return first.select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
+    known = _numbered(docs.filter("doc_id is not null"))
+    groups = jaccard_join.similar_groups(known, id_col="_doc", **NEAR).filter("_doc = component_id").select("_doc")
+    first = known.join(broadcast_if_small(pin_table(groups, "pipeline-first")), "_doc", "left_semi")
+    return first.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

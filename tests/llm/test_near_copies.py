@@ -48,6 +48,19 @@ def test_copies_between_the_two_thresholds_go(spark):
     assert sorted(r.doc_id for r in got) == [1, 3, 5]
 
 
+def test_different_texts_of_one_id_are_documents_of_their_own(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcde"}
+    rows = [(1, text["a"], "en", "s", 1), (1, text["b"], "en", "s", 1), (1, text["b"], "en", "r", 1), (2, text["c"], "en", "s", 1),
+            (3, text["b"] + " end", "en", "s", 1), (3, text["d"], None, None, 1), (3, None, "en", "s", 0),
+            (None, text["e"], "en", "s", 1), (None, text["e"], "en", "s", 1)]
+    want = sorted([(1, text["a"], "s"), (1, text["b"], "r"), (2, text["c"], "s"), (3, text["d"], None), (3, None, "s"),
+                   (None, text["e"], "s"), (None, text["e"], "s")], key=str)
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long")
+        got = corpus_pipeline.near_copies(spark, docs.repartition(5), SF_SMALL).collect()
+        assert sorted([(r.doc_id, r.text, r.source) for r in got], key=str) == want
+
+
 def test_run_matches_its_stages_at_the_stage_threshold(spark, monkeypatch):
     shingles, components = brute.shingles, brute.components
     monkeypatch.setattr(brute, "shingles", lambda text: shingles(text, 5))
