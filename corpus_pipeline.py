@@ -25,8 +25,10 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without the lines that failed."""
-    return _documents(quality_rules.apply_quality_rules(docs, keep=KEEP).filter("kept"))
+    """Documents that pass the quality rules, without the lines that failed. Sentence
+    and clause marks of all scripts count as punctuation."""
+    judged = quality_rules.apply_quality_rules(docs, keep=KEEP, more_marks=quality_rules.SCRIPT_MARKS)
+    return _documents(judged.filter("kept"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

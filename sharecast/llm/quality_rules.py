@@ -43,6 +43,17 @@ BOILERPLATE = [
     "privacy policy", "sign in to continue", "subscribe to our newsletter", "terms of use",
 ]
 
+#: Sentence and clause marks beyond the fixed Latin and CJK ones, by code point (Unicode's
+#: terminal punctuation without word dividers, and the Armenian and vertical marks).
+SCRIPT_MARKS = "".join("-".join(f"\\x{{{x}}}" for x in span.split("-")) for span in (
+    "037E 0387 055B-055E 0589 05C3 060C 061B 061D-061F 06D4 0700-070A 070C 07F8-07F9 0837 0839 083D-083E "
+    "085E 0964-0965 0E5A-0E5B 0F08 0F0D-0F12 104A-104B 1362-1368 166E 1735-1736 17D4-17D6 17DA 1802-1805 "
+    "1808-1809 1944-1945 1AA8-1AAB 1B5A-1B5B 1B5D-1B5F 1C3B-1C3F 1C7E-1C7F 203C-203D 2047-2049 2CF9-2CFB "
+    "2E2E 2E32 2E35 2E3C 2E41 A4FE-A4FF A60D-A60F A6F3-A6F7 A876-A877 A8CE-A8CF A92F A9C7-A9C9 AA5D-AA5F "
+    "AAF0-AAF1 ABEB FE10-FE16 FE19 FE50-FE52 FE54-FE57 FF01 FF0C FF0E FF1A-FF1B FF1F FF61 FF64 "
+    "11047-1104D 110BE-110C1 11141-11143 111C5-111C6 11238-1123C 1144B-1144D 1145A-1145B 115C2-115C5 "
+    "11641-11642 1173C-1173E 11C41-11C43 16B37-16B39").split())
+
 
 def chars_of(c: Column, chars: str) -> Column:
     """How many characters of ``c`` are in the regex class body ``chars``."""
@@ -75,20 +86,23 @@ def repeated_window_words(w: Column, n: int = WINDOW) -> Column:
     return F.when(F.size(w) > n, repeated).otherwise(0)
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line that a punctuation, navigation or boilerplate rule removes."""
+def line_fails(line: Column, more_marks: str = "") -> Column:
+    """True for a line that a punctuation, navigation or boilerplate rule removes; the
+    regex class body ``more_marks`` has punctuation marks beyond the fixed ones."""
     n = F.size(F.split(F.regexp_replace(line, f"^[{WS_CLASS}]+", ""), f"[{WS_CLASS}]+"))
     symbols, bangs, bars = chars_of(line, r"#*$%&<>"), chars_of(line, "!"), chars_of(line, "|»›•")
-    punctuation = (symbols * 2 > n) | ((n >= 5) & (bangs * 10 > n * 3)) | (
-        (n >= BARE_WORDS) & ~F.rlike(line, F.lit(r'[.,;:!?"…。、]')))
+    bare = (n >= BARE_WORDS) & ~F.rlike(line, F.lit(r'[.,;:!?"…。、]'))
+    if more_marks:
+        bare = bare & ~F.rlike(line, F.lit(f"[{more_marks}]"))
+    punctuation = (symbols * 2 > n) | ((n >= 5) & (bangs * 10 > n * 3)) | bare
     navigation = (bars >= 3) & (bars * 5 > n)
     boilerplate = (n <= BOILERPLATE_WORDS) & F.rlike(F.lower(line), F.lit("|".join(BOILERPLATE)))
     return F.rlike(line, F.lit(f"[^{WS_CLASS}]")) & (punctuation | navigation | boilerplate)
 
 
 def apply_quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                        keep: tuple[str, ...] = ()) -> DataFrame:
-    """All documents with their measures and verdict.
+                        keep: tuple[str, ...] = (), more_marks: str = "") -> DataFrame:
+    """All documents with their measures and verdict; ``more_marks`` as in ``line_fails``.
 
     Returns ``id_col``, the columns of ``keep``, ``text_col`` (cleaned: lines that
     failed are gone), ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
@@ -103,7 +117,7 @@ def apply_quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
         chars_of(F.col("_text"), r"#*$%&|<>").alias("_symbols"),
         let(real, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("_dups"),
         repeated_window_words(F.col("_w")).alias("_repeats"),
-        F.array_join(F.filter("_lines", lambda x: ~line_fails(x)), "\n").alias("_clean"))
+        F.array_join(F.filter("_lines", lambda x: ~line_fails(x, more_marks)), "\n").alias("_clean"))
     d = d.withColumn("_lost", F.col("_chars") - word_chars(F.col("_clean")))
     failed = (F.col("_n") < MIN_WORDS) | (100 * F.col("_repeats") > MAX_REPEAT_PCT * F.col("_n"))
     judged = F.struct(
