@@ -1,6 +1,8 @@
 """Join strategies with checked sizes and hot-key splitting.
 
 * ``bounded_broadcast`` broadcasts a side only after counting it.
+* ``bloom_prefilter`` drops rows without a partner ahead of a shuffle: a Bloom filter
+  of bounded size is built from the keys by task, merged and broadcast.
 * ``lookup_join`` joins a large fact table to a dimension with unique keys
   (a dictionary). A dimension of bounded rows and bytes is broadcast. A larger
   one is shuffle-joined; keys that carry a large share of the fact rows (a
@@ -8,18 +10,23 @@
   salted: their fact rows spread over up to ``salts`` reducers, in proportion to
   their share, and the few hot dimension rows are replicated to each of their
   salts, so no reducer receives a whole hot key. NULL keys match nothing and
-  never enter the join.
+  never enter the join; nor do rows that the Bloom filter of the dimension's keys
+  (if they fit one) turns away.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_BROADCAST_ROWS = 500_000
 DEFAULT_MAX_HOT_KEYS = 10_000
 DEFAULT_BROADCAST_BYTES = 64 << 20
+#: A Bloom filter has at most so many 64-bit words (a broadcast of some 64 MB), and
+#: so many bits a key; keys that would need more get no filter.
+BLOOM_WORDS = 1 << 21
+BLOOM_BITS = 12
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
@@ -38,6 +45,38 @@ def _small(dim: DataFrame, max_rows: int, max_bytes: int) -> bool:
     return rows <= max_rows and (size or 0) <= max_bytes
 
 
+def _bloom_place(keys: list[str], words: int) -> tuple[Column, Column]:
+    """The word of a key and its bits there (four of 64, from one 64-bit hash)."""
+    h = F.xxhash64(*keys)
+    mask = F.lit(0).cast("long")
+    for k in range(4):
+        bit = F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
+    return F.shiftrightunsigned(h, 24) % F.lit(words), mask
+
+
+def bloom_prefilter(fact: DataFrame, dim: DataFrame, keys: list[str], *,
+                    max_words: int = BLOOM_WORDS) -> DataFrame:
+    """The rows of ``fact`` whose keys may occur in ``dim``: all that do, and of the
+    others some two in a hundred. Where the distinct keys of ``dim`` need more than
+    ``max_words`` words, ``fact`` itself (a filter of that size turns nothing away).
+    Rows with a NULL key match nothing."""
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    wanted = dim.filter(known).select(*keys).distinct()
+    words = max(1 << 10, wanted.count() * BLOOM_BITS // 64 + 1)
+    if words > max_words:
+        return fact
+    word, mask = _bloom_place(keys, words)
+    bits = (wanted.select(word.alias("_word"), mask.alias("_bits"))
+            .groupBy("_word").agg(F.bit_or("_bits").alias("_bits")))
+    return (fact.filter(known).withColumn("_word", word).withColumn("_mask", mask)
+            .join(F.broadcast(bits), "_word")
+            .filter(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"))
+            .drop("_word", "_mask", "_bits"))
+
+
 def lookup_join(fact: DataFrame, dim: DataFrame, keys: list[str], *, how: str = "inner",
                 broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
                 broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
@@ -66,7 +105,7 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys: list[str], *, how: str =
 
     spark = fact.sparkSession
     salts = salts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    usable = fact.filter(known)
+    usable = bloom_prefilter(fact.filter(known), dim, keys) if how == "inner" else fact.filter(known)
     counts = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w"))
     threshold = max(1, (usable.count() or 0) // max_hot_keys)
     hot = counts.filter(F.col("_w") >= F.lit(threshold)).select(
