@@ -148,6 +148,85 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_ba
 FROM d LEFT JOIN per USING (doc_id)
 """
 
+PHRASES = rf"""
+WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS HUGEINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, ws[i:i + k - 1] AS g FROM w, range(1, 6) AS r(k), range(1, len(ws) - k + 2) AS s(i)),
+f AS MATERIALIZED (SELECT lang, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1),
+inner_of AS (SELECT DISTINCT q.lang, q.g[i:i + k - 1] AS g, q.a FROM c q, range(2, 5) AS r(k), range(1, len(q.g) - k + 2) AS s(i)
+  WHERE k < len(q.g)),
+cut AS (SELECT c.lang, c.g, c.a, k, l.f AS l, r.f AS r, n.n, 1000::HUGEINT * c.a * n.n // (l.f::HUGEINT * r.f) AS score
+  FROM c, range(1, 5) AS t(k) JOIN f l ON l.lang = c.lang AND l.g = c.g[1:k] JOIN f r ON r.lang = c.lang AND r.g = c.g[k + 1:]
+    JOIN n ON n.lang = c.lang WHERE k < len(c.g)),
+low AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS nth FROM cut),
+stay AS (SELECT low.* FROM low LEFT JOIN inner_of i ON i.lang = low.lang AND i.g = low.g AND i.a = low.a
+  WHERE nth = 1 AND i.g IS NULL),
+ranked AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank FROM stay)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+COPIES = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d
+"""
+
+
+def _tree_sql(prefix: str, source: str, levels: int) -> str:
+    """Tables {prefix}0.. of (g, pos, n, node) per level and {prefix}_paths (g, pos, sib)
+    with the siblings of every leaf; runs of two, as long as a group has several nodes."""
+    steps = [f"{prefix}0 AS MATERIALIZED ({source})"]
+    sibs = []
+    for i in range(levels):
+        steps.append(f"""{prefix}{i + 1} AS MATERIALIZED (
+  SELECT g, pos // 2 AS pos, any_value((n + 1) // 2) AS n, sha256(string_agg(node, '' ORDER BY pos)) AS node
+  FROM {prefix}{i} WHERE n > 1 GROUP BY g, pos // 2 UNION ALL SELECT * FROM {prefix}{i} WHERE n = 1)""")
+        sibs.append(f"""SELECT l.g, l.pos, {i} AS level, s.node, s.pos % 2 = 0 AS is_left FROM {prefix}0 l JOIN {prefix}{i} s
+    ON l.g = s.g AND s.n > 1 AND s.pos = xor(l.pos >> {i}, 1)""")
+    steps.append(f"{prefix}_sib AS MATERIALIZED (" + "\n  UNION ALL ".join(sibs) + ")")
+    return ",\n".join(steps)
+
+
+def _fold_sql(leaf: str, sibs: str) -> str:
+    return (f"list_reduce({sibs}, lambda acc, s: {{'v': sha256(CASE WHEN s.v = '' THEN acc.v WHEN s.is_left "
+            f"THEN s.v || acc.v ELSE acc.v || s.v END), 'is_left': false}}, {{'v': {leaf}, 'is_left': false}}).v")
+
+
+#: Levels that the SQL writes out: groups of up to 2 ** 18 rows and 2 ** 6 groups.
+_DEEP, _WIDE = 18, 6
+_ENC = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0} END"
+_LEAF = "sha256(" + " || ".join(_ENC.format(c) for c in ("doc_id", "source", "lang", "{n_chars}", "text")) + ")"
+_CRC = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda crc, b: list_reduce([0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END),
+    xor(crc, b)), 4294967295::BIGINT), 4294967295::BIGINT)"""
+MERKLE = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g,
+    {_LEAF.format(n_chars="n_chars")} AS leaf, {_LEAF.format(n_chars="(n_chars + 1)")} AS longer,
+    {_CRC} % 7 = 0 AS hit FROM documents),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY g) AS n FROM d),
+{_tree_sql("t", "SELECT g, pos, n, leaf AS node FROM r", _DEEP)},
+sub AS MATERIALIZED (SELECT g, node, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM t{_DEEP}),
+{_tree_sql("u", "SELECT '' AS g, pos, n, node FROM sub", _WIDE)},
+up AS MATERIALIZED (SELECT sub.g, u{_WIDE}.node AS root FROM sub, u{_WIDE}),
+steps AS (SELECT r.g, r.pos, i.i AS level FROM r, (SELECT unnest(range({_DEEP})) AS i) i WHERE r.n > (1 << i.i)
+  UNION ALL SELECT r.g, r.pos, 100 + i.i FROM r JOIN sub ON r.g = sub.g, (SELECT unnest(range({_WIDE})) AS i) i WHERE sub.n > (1 << i.i)),
+sib AS (SELECT * FROM t_sib UNION ALL
+  SELECT r.g, r.pos, 100 + s.level, s.node, s.is_left FROM r JOIN sub ON r.g = sub.g JOIN u_sib s ON s.pos = sub.pos),
+path AS (SELECT g, pos, list({{'v': coalesce(sib.node, ''), 'is_left': coalesce(sib.is_left, false)}} ORDER BY level) AS p
+  FROM steps LEFT JOIN sib USING (g, pos, level) GROUP BY g, pos),
+x AS (SELECT r.doc_id, r.leaf, t{_DEEP}.node AS subroot, up.root, coalesce(path.p, []) AS p,
+    CASE WHEN hit THEN longer ELSE leaf END AS seen
+  FROM r JOIN t{_DEEP} ON r.g = t{_DEEP}.g JOIN up ON r.g = up.g LEFT JOIN path ON r.g = path.g AND r.pos = path.pos),
+f AS (SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(p, lambda s: s.v), '')) AS proof_sha256,
+    {_fold_sql("seen", "p")} AS folded_root FROM x)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
 ORACLE_SQL = {
     "op1_chat_format": CHAT,
     "op2_line_dedup": LINES,
@@ -155,4 +234,7 @@ ORACLE_SQL = {
     "op4_source_mix": MIX,
     "op6_quality_rules": QUALITY,
     "op10_license_scan": LICENSES,
+    "op11_phrase_mining": PHRASES,
+    "op12_merkle_manifest": MERKLE,
+    "op13_exact_dedup": COPIES,
 }

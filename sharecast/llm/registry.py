@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25_search, bpe, chat_format, jaccard_join, license_scan, line_dedup, quality_rules, source_mix, suffix_dedup, url_filter
+from . import (
+    bm25_search,
+    bpe,
+    chat_format,
+    exact_dedup,
+    jaccard_join,
+    license_scan,
+    line_dedup,
+    merkle,
+    phrase_mining,
+    quality_rules,
+    source_mix,
+    suffix_dedup,
+    url_filter,
+)
 from .common import pick
 from .oracle import ORACLE_SQL
 
@@ -86,6 +100,25 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mine_phrases(read(spark, sf_dir, "documents", "lang", "text"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and each one's proof checked against it after a
+    change to the length of some."""
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = read(spark, sf_dir, "documents", *columns)
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    longer = F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle.verify(merkle.manifest(docs, columns, tampered={"n_chars": longer})).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_line_dedup": op2_line_dedup,
@@ -97,6 +130,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_license_scan": op10_license_scan,
+    "op11_phrase_mining": op11_phrase_mining,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 
