@@ -52,7 +52,7 @@ SHARES = (0.125, 0.5, 1.0)
 CHUNK_BYTES = 1 << 20
 FLUSH = 2_000_000           # phrase occurrences aggregated at once in a task
 VOCABULARY = 400_000        # words counted at once in a task
-FILTER_WORDS = 1 << 20      # 64-bit words of a filter at most (8 MB)
+FILTER_WORDS = 1 << 20      # 64-bit words of a filter at most (8 MB); a power of two
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 CLASSES = np.array([2 if b in PIECE_ENDS else 1 if b in b" \t" else 0 for b in range(256)], np.uint8)
 

@@ -71,9 +71,9 @@ def shingles(text, n=3):
     return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-def components(rows, num=90, den=100):
+def components(rows, num=90, den=100, n=3):
     """[(id, text)] -> {id: component} (ids may repeat)"""
-    sets = [(d, shingles(t)) for d, t in rows if d is not None]
+    sets = [(d, shingles(t, n)) for d, t in rows if d is not None]
     up = {d: d for d, _ in sets}
 
     def root(x):
@@ -117,3 +117,71 @@ def bm25(rows, query, k=10):
         if x > 0:
             out.append((d, x))
     return sorted(out, key=lambda z: (-z[1], z[0]))[:k]
+
+
+def copies(rows):
+    """[(id, text)] -> [(id, keep_id, size, digest)], ids null last"""
+    text = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
+    groups = defaultdict(list)
+    for (d, _), t in zip(rows, text, strict=True):
+        groups[t].append(d)
+    least = {t: min((d for d in ids if d is not None), default=None) for t, ids in groups.items()}
+    return [(d, least[t], len(groups[t]), sha(t)) for (d, _), t in zip(rows, text, strict=True)]
+
+
+def field(v):
+    return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+
+def merkle(rows, k=2):
+    """[(id, group, leaf)] -> ({(id, leaf): (subroot, path)}, root); path as [(left, right)]"""
+    def climb(leaves):
+        paths, level, at = [[] for _ in leaves], list(leaves), list(range(len(leaves)))
+        while len(level) > 1:
+            for p, i in zip(paths, at, strict=True):
+                run = level[i - i % k:i - i % k + k]
+                p.append(("".join(run[:i % k]), "".join(run[i % k + 1:])))
+            at = [i // k for i in at]
+            level = [sha("".join(level[i:i + k])) for i in range(0, len(level), k)]
+        return level[0], paths
+
+    groups = defaultdict(list)
+    for d, g, leaf in rows:
+        groups[g].append(((d is not None, d or 0), leaf, d))
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: climb([x[1] for x in sorted(groups[g], key=lambda x: x[:2])]) for g in order}
+    root, upper = climb([trees[g][0] for g in order])
+    out = {}
+    for g, above in zip(order, upper, strict=True):
+        for x, p in zip(sorted(groups[g], key=lambda x: x[:2]), trees[g][1], strict=True):
+            out[x[2], x[1]] = (trees[g][0], p + above)
+    return out, root
+
+
+def phrases(rows, min_count=100, top=2000, longest=5):
+    """[(lang, text)] -> {(lang, rank, phrase, a, l, r, n, score)}"""
+    total, f = Counter(), defaultdict(Counter)
+    pieces = [(lang or "und", re.findall(r"[^\x20\x09]+", p)) for lang, t in rows
+              for p in re.split(r"[.,;:!?\x0A-\x0D]", lower(t))]
+    for lang, w in pieces:
+        total[lang] += len(w)
+    for k in range(1, longest + 1):
+        for lang, w in pieces:
+            for i in range(len(w) - k + 1):
+                if k == 1 or (" ".join(w[i:i + k - 1]) in f[lang] and " ".join(w[i + 1:i + k]) in f[lang]):
+                    f[lang][" ".join(w[i:i + k])] += 1
+        for lang in f:
+            f[lang] = Counter({p: c for p, c in f[lang].items() if c >= min_count})
+    out = set()
+    for lang, counts in f.items():
+        inside = {(" ".join(w[i:i + k]), a) for p, a in counts.items() for w in [p.split(" ")]
+                  for k in range(1, len(w)) for i in range(len(w) - k + 1)}
+        found = []
+        for p, a in counts.items():
+            w = p.split(" ")
+            if len(w) > 1 and (p, a) not in inside:
+                cuts = [(counts[" ".join(w[:k])], counts[" ".join(w[k:])]) for k in range(1, len(w))]
+                score, _, lr = min((1000 * a * total[lang] // (x * y), k, (x, y)) for k, (x, y) in enumerate(cuts))
+                found.append((-score, -a, p.encode(), *lr))
+        out |= {(lang, i + 1, p.decode(), -a, x, y, total[lang], -s) for i, (s, a, p, x, y) in enumerate(sorted(found)[:top])}
+    return out

@@ -34,7 +34,7 @@ def test_query_matches_sql(spark, sf, key):
 
 def test_plans_have_no_python(spark):
     for key in ("op1_chat_format", "op2_line_dedup", "op3_url_filter", "op4_source_mix", "op6_quality_rules",
-                "op10_license_scan"):
+                "op10_license_scan", "op13_exact_dedup"):
         plan = entry.queries()[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "NestedLoop")), key
 

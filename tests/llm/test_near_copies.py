@@ -8,7 +8,7 @@ import corpus_pipeline
 from sharecast.llm import jaccard_join
 
 from ..conftest import SF_SMALL
-from . import brute, test_pipeline
+from . import brute
 from .test_search_and_dedup import near_texts
 
 
@@ -59,13 +59,3 @@ def test_different_texts_of_one_id_are_documents_of_their_own(spark):
         docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long")
         got = corpus_pipeline.near_copies(spark, docs.repartition(5), SF_SMALL).collect()
         assert sorted([(r.doc_id, r.text, r.source) for r in got], key=str) == want
-
-
-def test_run_matches_its_stages_at_the_stage_threshold(spark, monkeypatch):
-    shingles, components = brute.shingles, brute.components
-    monkeypatch.setattr(brute, "shingles", lambda text: shingles(text, 5))
-    monkeypatch.setattr(brute, "components", lambda rows: components(rows, 80, 100))
-    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    want = test_pipeline.brute_pipeline([(r.doc_id, r.text, r.source) for r in docs.collect()])
-    got = sorted(map(tuple, corpus_pipeline.run(spark, SF_SMALL).collect()))
-    assert got == want and 50 < len(got)

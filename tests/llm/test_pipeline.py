@@ -21,7 +21,7 @@ def brute_pipeline(rows):
     judged = [(d, brute.quality(t)) for d, t, _ in rows]
     kept = [(d, q[0]) for d, q in judged if q[-1]]
     kept = [(d, t) for d, t, _, _ in brute.dedup_lines(kept)]
-    group = brute.components(kept)
+    group = brute.components(kept, 80, 100, n=5)
     kept = [(d, t) for d, t in kept if group[d] == d]
     con = duckdb.connect()
     con.register("documents", pd.DataFrame([(d, t, source[d]) for d, t in kept], columns=["doc_id", "text", "source"]))
