@@ -110,6 +110,16 @@ def release_staged(spark: SparkSession) -> int:
     return len(mine)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing holds any more:
+    it acts on garbage collection, which a driver with a large heap seldom runs. Call it
+    after a large shuffle whose result is written, with its DataFrames deleted."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def folder_state(spark: SparkSession, path: str) -> tuple:
     """Names, sizes and modification times of the files of a folder of tables (and of
     the part files of tables that are folders)."""
