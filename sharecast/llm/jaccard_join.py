@@ -17,10 +17,17 @@ The boundary is set by cost: the largest size up to which enumerating makes at m
 Keys that several documents of one task share are linked there to the least of them,
 so a key reaches the shuffle once per task however many documents hold it; the lists
 are then scanned in key order and yield one link per entry, never pairs. Linked
-documents form candidate clusters. Only their texts move: equal sets collapse to one
-representative, clusters are cut into blocks of about ``BLOCK_ITEMS`` elements, and every
-pair of blocks counts common elements of all its sets over inverted lists and keeps
-a spanning forest of the pairs that really reach t. Their components are the result.
+documents form candidate clusters, where equal sets collapse to one representative.
+
+Texts that share a passage may chain into one large cluster without a true link. A
+cluster of more than ``BLOCK_ITEMS`` elements therefore first counts, in one shuffle of
+its elements, how many of every set's occur in another of its sets: a set of which less
+than the threshold's part does has no partner and goes (the others keep their cluster).
+The rest is ordered by size and cut into blocks of about ``BLOCK_ITEMS`` elements, and
+only pairs of blocks whose sizes are near enough for the threshold meet; smaller
+clusters share tasks. A task counts common elements over inverted lists and keeps a
+spanning forest of the pairs that really reach t. Their components are the result.
+Tables of the way are deleted once the links are written.
 
 Defined cases: a null text, or one without words, has an empty set and links with
 nothing; fewer than n words make one n-gram of all; null ids get no component; rows
@@ -38,7 +45,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.files import pin_table
+from ..operators.joins import lookup_join
+from ..operators.ranks import PID, POS, freeze_order, rank_and_accumulate
+from ..sources.files import drop_files, pin_table, release_shuffles
 from .common import broadcast_if_small, pick, ship_package
 from .components import connected_components
 from .text_hash import BLANKS, CHUNK_BYTES, C1, C2, GOLD, mix, word_hashes
@@ -48,6 +57,8 @@ NUM, DEN = 90, 100          # the threshold as a fraction
 SUBSET_COST = 2
 SPARE = 2                   # least groups beyond those that may differ; see spare_groups
 BLOCK_ITEMS = 1_000_000
+
+
 def ngram_sets(texts: list[bytes], n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
     """All documents' distinct n-gram hashes, ascending inside each document, and the
     offsets of the documents in them."""
@@ -288,31 +299,88 @@ def _scan_lists(batches):
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["id", "least"])
 
 
+def _digest(grams: np.ndarray) -> bytes:
+    return b"".join(mix(grams ^ c).sum(dtype=np.uint64).tobytes() for c in (C1, C2))
+
+
 def _measure(n: int):
-    """(id, cluster, size, digest, set); digest and set only for members of clusters."""
+    """(id, cluster, text) to (id, cluster, size, digest); digests only in clusters."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             texts = _texts(b.column(2))
             member = b.column(1).is_valid().to_numpy(zero_copy_only=False)
-            sizes, digests, sets = [], [], []
+            sizes, digests = [], []
             for lo, hi in _chunks(texts):
                 grams, off = ngram_sets(texts[lo:hi], n)
                 sizes.append(np.diff(off))
-                for d in range(hi - lo):
-                    s = grams[off[d]:off[d + 1]] if member[lo + d] else None
-                    sets.append(None if s is None else s.tobytes())
-                    digests.append(None if s is None else b"".join(
-                        mix(s ^ c).sum(dtype=np.uint64).tobytes() for c in (C1, C2)))
+                digests += [_digest(grams[off[d]:off[d + 1]]) if member[lo + d] else None for d in range(hi - lo)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()),
-                 pa.array(digests, pa.binary()), pa.array(sets, pa.binary())],
-                ["id", "cluster", "size", "digest", "items"])
+                 pa.array(digests, pa.binary())], ["id", "cluster", "size", "digest"])
+
+    return run
+
+
+def _collect_sets(n: int):
+    """(id, cluster, text) to (id, cluster, size, digest, items), the set itself."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            texts = _texts(b.column(2))
+            for lo, hi in _chunks(texts):
+                grams, off = ngram_sets(texts[lo:hi], n)
+                sets = [grams[off[d]:off[d + 1]] for d in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(np.diff(off), pa.int64()),
+                     pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                    ["id", "cluster", "size", "digest", "items"])
 
     return run
 
 
+def _elements(batches):
+    """(sid, cluster, items) to a row (element of the cluster, sid) per element."""
+    import pyarrow as pa
+
+    for b in batches:
+        cluster = mix(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+        for i, (sid, items) in enumerate(zip(b.column(0).to_pylist(), b.column(2), strict=True)):
+            e = mix(np.frombuffer(items.as_buffer(), np.uint64) ^ cluster[i]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.full(len(e), sid))], ["element", "sid"])
+
+
+def _shared_elements(batches):
+    """Rows in the order of elements to (sid, elements that another set has as well)."""
+    import pyarrow as pa
+
+    kept, ids = None, []
+
+    def total():
+        sid, n = np.unique(np.concatenate(ids), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(sid), pa.array(n)], ["sid", "shared"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        e, s = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        if kept is not None:        # the last row of the batch before, and whether it is counted
+            e, s = np.concatenate(([kept[0]], e)), np.concatenate(([kept[1]], s))
+        same = e[1:] == e[:-1]
+        hit = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        if kept is not None and kept[2]:
+            hit[0] = False
+        ids.append(s[hit])
+        kept = (e[-1], s[-1], bool(hit[-1]))
+        if sum(map(len, ids)) >= 4_000_000:
+            yield total()
+            ids = []
+    if ids:
+        yield total()
+
+
 def linked_pairs(owner: np.ndarray, items: np.ndarray, sizes: np.ndarray, cluster: np.ndarray,
                  side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of sets that reach num/den.
@@ -366,45 +434,86 @@ def _verify(num: int, den: int):
     return run
 
 
+def _may_have_partner(sets: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """The sets (sid, cluster, size, items) of which num/den or more lies in other sets of
+    the cluster; a partner shares that much at least."""
+    rows = sets.select("sid", "cluster", "items").mapInArrow(_elements, "element bigint, sid bigint")
+    dealt = rows.repartition(parts, "element").sortWithinPartitions("element")
+    counts = (dealt.mapInArrow(_shared_elements, "sid bigint, shared bigint").groupBy("sid").agg(F.sum("shared").alias("shared")))
+    able = pin_table(counts, "near-shared")
+    return lookup_join(sets, able, ["sid"]).filter(F.col("shared") * den >= F.col("size") * num).drop("shared")
+
+
+def _block_tasks(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The sets (sid, cluster, id, size, items) per pair (i, j) of blocks of their cluster
+    that must be compared; side is 1 for those of block j if there are two."""
+    frozen = freeze_order(sets.select("cluster", "sid", "size"), ["cluster"], [F.col("size").asc(), F.col("sid").asc()])
+    order = rank_and_accumulate(frozen, ["cluster"], sums=["size"]).drop(PID, POS)
+    blocks = pin_table(order.select("sid", "cluster", "size", F.floor((F.col("cum_size") - 1) / BLOCK_ITEMS).cast("int").alias("block")),
+                       "near-blocks")
+    extent = blocks.groupBy("cluster", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    other = extent.select("cluster", F.col("block").alias("j"), F.col("least").alias("next"))
+    pairs = (extent.join(other, "cluster").filter((F.col("j") >= F.col("block")) & (F.col("next") * num <= F.col("most") * den))
+             .select("cluster", F.col("block").alias("i"), "j"))
+    sides = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side"))))
+    meet = pairs.select("cluster", "i", "j", F.explode(sides).alias("s")).select("cluster", "i", "j", "s.block", "s.side")
+    meet = meet.groupBy("cluster", "block").agg(F.collect_list(F.struct("i", "j", "side")).alias("meet"))
+    placed = lookup_join(sets, blocks.select("sid", "block"), ["sid"])
+    return lookup_join(placed, meet, ["cluster", "block"]).select(
+        "cluster", "id", "items", F.explode("meet").alias("p")).select("cluster", "id", "items", "p.side", "p.i", "p.j")
+
+
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM,
                    num: int = NUM, den: int = DEN) -> DataFrame:
     """Per document: ``id_col``, ``n_shingles`` and ``component_id``, the least id that
     links of Jaccard >= num/den reach. Ids must be integers."""
     d = pick(docs, [id_col, text_col]).toDF("id", "text").select(F.col("id").cast("long").alias("id"), "text")
-    ship_package(d.sparkSession)
+    spark = d.sparkSession
+    ship_package(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = d.mapInArrow(_emit_keys(n, num, den), "key bigint, id bigint, least bigint")
-    parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, F.coalesce("key", F.xxhash64("id"))).sortWithinPartitions("key", "id")
     links = dealt.mapInArrow(_scan_lists, "id bigint, least bigint")
     clusters = pin_table(connected_components(links, "id", "least")
                          .select(F.col("node").alias("mid"), F.col("component").alias("cluster")), "near-clusters")
+    del rows, dealt, links
+    release_shuffles(spark)
     measured = pin_table(
         d.join(broadcast_if_small(clusters), F.col("id") == F.col("mid"), "left").select("id", "cluster", "text")
-        .mapInArrow(_measure(n), "id bigint, cluster bigint, size bigint, digest binary, items binary"), "near-sets")
+        .mapInArrow(_measure(n), "id bigint, cluster bigint, size bigint, digest binary"), "near-sizes")
     members = measured.filter("cluster is not null and size > 0")
     least = pin_table(members.groupBy("cluster", "digest", "size").agg(F.min("id").alias("rep")), "near-least")
     same = members.select("cluster", "digest", "size", "id").join(least, ["cluster", "digest", "size"])
-    reps = (members.join(least.withColumnRenamed("rep", "id"), ["cluster", "digest", "size", "id"])
-            .dropDuplicates(["cluster", "digest", "size", "id"]).select("cluster", "id", "size", "items"))
-    extent = (least.groupBy("cluster").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("sets"))
-              .filter("sets > 1").withColumn("blocks", F.ceil(F.col("total") / BLOCK_ITEMS).cast("int")))
-    extent = pin_table(extent, "near-extents")
-    work = extent.filter("blocks = 1").agg(F.sum("total")).first()[0] or 0
+    extent = pin_table(least.groupBy("cluster").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("sets"))
+                       .filter("sets > 1").select("cluster", "total"), "near-extents")
+    reps = pin_table(lookup_join(least, extent, ["cluster"]).withColumnRenamed("rep", "id"), "near-reps")
+    texts = lookup_join(d, reps.groupBy("id").agg(F.min("cluster").alias("cluster")), ["id"]).select("id", "cluster", "text")
+    found = texts.mapInArrow(_collect_sets(n), "id bigint, cluster bigint, size bigint, digest binary, items binary")
+    sets, path = pin_table(found.dropDuplicates(["cluster", "digest", "size", "id"])
+                           .join(broadcast_if_small(reps), ["cluster", "digest", "size", "id"])
+                           .select("cluster", "id", "size", "items", "total", F.monotonically_increasing_id().alias("sid")),
+                           "near-sets", with_path=True)
+    small, large = sets.filter(F.col("total") <= BLOCK_ITEMS), sets.filter(F.col("total") > BLOCK_ITEMS).drop("total")
+    work = extent.filter(F.col("total") <= BLOCK_ITEMS).agg(F.sum("total")).first()[0] or 0
     bins = max(parts, -(-work // BLOCK_ITEMS))
-    reps = reps.join(extent.select("cluster", "blocks"), "cluster")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
-        F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"),
-        (F.col("block") > j).cast("int").alias("side")))
-    tasks = (reps.withColumn("block", block).select("cluster", "id", "items", "blocks", F.explode(pairs).alias("p"))
-             .select("cluster", "id", "items", F.col("p.side").alias("side"), F.col("p.i").alias("i"), F.col("p.j").alias("j"),
-                     F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(
-                         -1 - F.pmod(F.col("cluster"), F.lit(1 << 62))).alias("bin")))
-    found = tasks.groupBy("bin", "i", "j").applyInPandas(_verify(num, den), "a bigint, b bigint")
-    edges = found.union(same.filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    whole = F.lit(0)
+    tasks = small.select("cluster", "id", "items", whole.alias("side"), whole.alias("i"), whole.alias("j"),
+                         F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("bin"))
+    able_path = None
+    if large.limit(1).count():
+        able, able_path = pin_table(_may_have_partner(large, parts, num, den), "near-able", with_path=True)
+        release_shuffles(spark)
+        tasks = tasks.unionByName(_block_tasks(able, num, den).withColumn("bin", -1 - F.pmod(F.col("cluster"), F.lit(1 << 62))))
+    pairs = pin_table(tasks.groupBy("bin", "i", "j").applyInPandas(_verify(num, den), "a bigint, b bigint"), "near-links")
+    drop_files(spark, path)
+    if able_path:
+        drop_files(spark, able_path)
+    del tasks
+    release_shuffles(spark)
+    edges = pairs.union(same.filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     groups = connected_components(edges, "a", "b").withColumnsRenamed({"node": "nid", "component": "least"})
     return (measured.select("id", "size").join(broadcast_if_small(pin_table(groups, "near-groups")),
                                                F.col("id") == F.col("nid"), "left")
             .select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
                     F.coalesce("least", "id").alias("component_id")))
-

@@ -143,8 +143,8 @@ def manifest(docs: DataFrame, columns: list[str], *, id_col: str = "doc_id", gro
                                 F.when(changed, seen).alias("seen")), "leaves")
     ranked = global_rank(leaves, [F.col("id").asc_nulls_first(), F.col("node").asc()], group_cols=["g"], rank_col="pos", start=0)
     paths, subroots = tree_paths(ranked.select("g", "pos", "node", "id", "seen"), fan_out=fan_out, levels=levels)
-    order = global_rank(subroots, [F.col("g").asc()], rank_col="pos", start=0).select(
-        F.lit("").alias("g"), "pos", F.col("root").alias("node"), F.col("g").alias("group"))
+    order = pin_table(global_rank(subroots, [F.col("g").asc()], rank_col="pos", start=0).select(
+        F.lit("").alias("g"), "pos", F.col("root").alias("node"), F.col("g").alias("group")), "subroot-order")
     upper = pin_table(tree_paths(order, fan_out=fan_out, levels=levels)[0].select(
         F.col("group").alias("_group"), F.col("root").alias("_root"), F.col("path").alias("_path")), "subroot-paths")
     return paths.join(broadcast_if_small(upper), F.col("g") == F.col("_group")).select(

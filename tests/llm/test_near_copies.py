@@ -59,3 +59,34 @@ def test_different_texts_of_one_id_are_documents_of_their_own(spark):
         docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long")
         got = corpus_pipeline.near_copies(spark, docs.repartition(5), SF_SMALL).collect()
         assert sorted([(r.doc_id, r.text, r.source) for r in got], key=str) == want
+
+
+def test_a_shared_passage_is_verified_without_pairs(spark, monkeypatch):
+    """Thousands of texts with one passage: one candidate cluster, few sets left to compare."""
+    rnd = random.Random(11)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(2500):
+        own = [f"{i}.{k}" for k in range(rnd.randrange(30, 60))]
+        at = rnd.randrange(len(own))
+        rows.append((i, " ".join(own[:at] + passage + own[at:])))
+    for i in range(60):                                     # and true copies with a changed end
+        rows.append((3000 + i, rows[i * 7][1] + " tail" * (i % 3)))
+    rows += [(4000 + i, " ".join(passage + [f"{i}"])) for i in range(30)]
+    seen = []
+    monkeypatch.setattr(jaccard_join, "BLOCK_ITEMS", 2000)
+    block_tasks = jaccard_join._block_tasks
+
+    def counted(sets, num, den):
+        tasks = block_tasks(sets, num, den)
+        seen.append((sets.count(), tasks.count()))
+        return tasks
+
+    monkeypatch.setattr(jaccard_join, "_block_tasks", counted)
+    # keys of single shingles chain all texts of the passage
+    monkeypatch.setattr(jaccard_join, "candidate_keys", lambda g, o, num, den: (g, np.repeat(np.arange(len(o) - 1), np.diff(o))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(df, n=5, num=80, den=100).collect()}
+    assert got == brute.components(rows, 80, 100, n=5)
+    (left, compared), = seen
+    assert 30 < left < 200 and compared < 10 * left         # of 2,590 sets
