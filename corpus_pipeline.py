@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sharecast.llm import bpe, jaccard_join, line_dedup, quality_rules, registry, source_mix
 from sharecast.llm.common import broadcast_if_small, pick
 from sharecast.operators.ranks import global_rank
-from sharecast.sources.files import pin_table
+from sharecast.sources.files import drop_files, pin_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 KEEP = ("lang", "source")
@@ -55,8 +55,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     no group and stay."""
     docs = pick(docs, COLUMNS)
     known = _numbered(docs.filter("doc_id is not null"))
-    groups = jaccard_join.similar_groups(known, id_col="_doc", **NEAR).filter("_doc = component_id").select("_doc")
-    first = known.join(broadcast_if_small(pin_table(groups, "pipeline-first")), "_doc", "left_semi")
+    copies = jaccard_join.similar_groups(known, id_col="_doc", **NEAR).filter("_doc != component_id").select("_doc")
+    first = known.join(broadcast_if_small(pin_table(copies, "pipeline-copies")), "_doc", "left_anti")
     return first.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
@@ -82,6 +82,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each one's rows are written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = pin_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = pin_table(stage(spark, docs, sf_dir), f"pipeline-{name}", with_path=True)
+        if before:
+            drop_files(spark, before)       # the next stage's rows are written
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
