@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import pick, sha256_hex, ship_package
 
-CACHE = 400_000
+CACHE = 150_000
 CACHED_CHARS = 64
 ROWS_AT_ONCE = 500
 
