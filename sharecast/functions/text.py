@@ -45,8 +45,9 @@ def strip_indent(text) -> Column:
     """Remove the common indentation of the record's lines; deeper lines keep the rest
     of theirs, lines of blanks become empty."""
     lines = F.split(_c(text), "\n", -1)
-    return F.array_join(F.transform(lines, lambda x: F.when(
-        x.rlike(r"[^ \t\r]"), F.substring(x, common_indent(lines) + 1, F.lit(2147483647))).otherwise(F.lit(""))), "\n")
+    # the indent is found once per record: bound as a lambda variable, not a call per line
+    return F.transform(F.array(common_indent(lines)), lambda indent: F.array_join(F.transform(lines, lambda x: F.when(
+        x.rlike(r"[^ \t\r]"), F.substring(x, indent + 1, F.lit(2147483647))).otherwise(F.lit(""))), "\n"))[0]
 
 
 def _unquoted(x: Column) -> Column:
@@ -79,6 +80,29 @@ def record_map(text) -> Column:
     return F.coalesce(strict, flow, F.when(is_lines, _last_wins(_entries(rows))))
 
 
+def _json_text(text) -> Column:
+    """A record as JSON text: names and values without quotes (all but numbers, true,
+    false and null) and in single quotes get double ones; quoted strings stay."""
+    quoted = r'"(?:[^"\\\\]|\\\\.)*"'
+    # single to double quotes, outside strings in double quotes
+    t = F.regexp_replace(F.trim(_c(text)), rf"({quoted})|'([^'\"]*)'", "$1\u0001$2\u0001")
+    t = F.regexp_replace(t, rf"({quoted})\u0001\u0001", "$1")
+    t = F.regexp_replace(t, "\u0001([^\u0001]*)\u0001", '"$1"')
+    bare = r"(?!(?:true|false|null)\s*[,:}\]]|-?[0-9][0-9.eE+-]*\s*[,}\]])[^\s\"{}\[\],:][^\"{}\[\],:]*?"
+    t = F.regexp_replace(t, rf"({quoted})|(?<=[{{\[,:\s])({bare})(?=\s*[,:}}\]])", "$1\u0001$2\u0001")
+    t = F.regexp_replace(t, rf"({quoted})\u0001\u0001", "$1")
+    return F.regexp_replace(t, "\u0001([^\u0001]*)\u0001", '"$1"')
+
+
+def record_variant(text) -> Column:
+    """The record as a VARIANT, nested lists and objects included; NULL when it is no
+    object or list. Strict JSON, or names and values that are bare or in single quotes
+    (``{topics: [a, b], place: {city: Oslo}}``)."""
+    strict = F.try_parse_json(F.trim(_c(text)))
+    v = F.coalesce(strict, F.try_parse_json(_json_text(text)))
+    return F.when(F.trim(_c(text)).rlike(r"(?s)^[\[{].*[\]}]$"), v)
+
+
 def scalar_value(text) -> Column:
     """A quoted scalar record without its quotes, else the trimmed text."""
     t = F.trim(_c(text))

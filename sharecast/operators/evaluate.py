@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import log_loss
-from .ranks import freeze_order, rank_and_accumulate
+from .ranks import PID, POS, freeze_order, rank_and_accumulate
 
 GROUP = ["model", "split"]
 
@@ -79,6 +79,32 @@ def auc(scores: DataFrame, group_cols: list[str] = GROUP,
     return agg.select(*group_cols, F.try_divide(area, pn).alias("auc"))
 
 
+def roc_steps(scores: DataFrame, group_cols: list[str] = GROUP,
+              ranked: DataFrame | None = None) -> DataFrame:
+    """A row per step of the curve, from each point to the next: rn (of the point), dx
+    (next fpr - fpr), y (mean of both tpr) and area = dx * y; their sum is the AUC.
+
+    The points lie in range partitions. Inside one, ``lead`` finds the next point; the
+    last point of a partition takes the first one of the next partition that has rows of
+    its group, from a table with a row per (partition, group)."""
+    ranked = ranked if ranked is not None else ranked_scores(scores, group_cols)
+    first = (ranked.groupBy(PID, *group_cols)
+             .agg(F.min_by("cum_label", "rn").alias("_c"), F.min("rn").alias("_r")))
+    after = Window.partitionBy(*group_cols).orderBy(PID)
+    heads = first.select(PID, *group_cols, F.lead("_c").over(after).alias("_next_c"), F.lead("_r").over(after).alias("_next_r"))
+    inside = Window.partitionBy(PID, *group_cols).orderBy(POS)
+    points = ranked.select(PID, *group_cols, "rn", "cum_label", F.lead("cum_label").over(inside).alias("_tp"),
+                           F.lead("rn").over(inside).alias("_rn"))
+    totals = scores.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"), F.sum("label").alias("_p"))
+    both = points.join(F.broadcast(heads), [PID, *group_cols]).join(F.broadcast(totals), group_cols)
+    tp, rn = F.coalesce("_tp", "_next_c"), F.coalesce("_rn", "_next_r")
+    negatives = F.col("_n") - F.col("_p")
+    fpr = F.try_divide(F.col("rn").cast("double") - F.col("cum_label"), negatives)
+    dx = F.try_divide(rn.cast("double") - tp, negatives) - fpr
+    y = (F.try_divide(tp, F.col("_p")) + F.try_divide(F.col("cum_label"), F.col("_p"))) / F.lit(2.0)
+    return both.filter(rn.isNotNull()).select(*group_cols, "rn", dx.alias("dx"), y.alias("y"), (dx * y).alias("area"))
+
+
 def auc_from_roc(roc: DataFrame, group_cols: list[str] = GROUP) -> DataFrame:
     """AUC from ROC points (same value as :func:`auc`): sum over negatives of tpr / N."""
     return (roc.groupBy(*group_cols)

@@ -118,6 +118,20 @@ def record_fields(records: DataFrame, keys: list[str]) -> DataFrame:
                       *[F.element_at("_m", F.lit(k)).alias(f"value_{k}") for k in keys])
 
 
+def nested_fields(records: DataFrame, paths: dict[str, tuple[str, str]], *, keep: list[str],
+                  record: str = "record") -> DataFrame:
+    """``keep``, ``is_nested`` (the record is an object or list) and, per name of ``paths``
+    ({name: (path, type)}), the value there; NULL if the path is missing or of another type."""
+    v = records.select(*keep, text.record_variant(record).alias("_v"))
+    return v.select(*keep, F.col("_v").isNotNull().alias("is_nested"),
+                    *[F.try_variant_get("_v", path, kind).alias(name) for name, (path, kind) in paths.items()])
+
+
+def record_schema(records: DataFrame, record: str = "record") -> DataFrame:
+    """One row, ``schema``: the merged type of all records, nested ones included."""
+    return records.agg(F.schema_of_variant_agg(text.record_variant(record)).alias("schema"))
+
+
 def article_age(orders: DataFrame, as_of: str) -> DataFrame:
     """Publication date as 'MM/dd/yyyy' text and the age in days at ``as_of``."""
     pub = text.pub_date_text("o_orderdate")

@@ -70,6 +70,20 @@ def dictionary_size_estimate(long_train: DataFrame, rsd: float = 0.02) -> DataFr
         F.approx_count_distinct("value", rsd).alias("approx_values"))
 
 
+def dictionary_sketches(long: DataFrame, by: list[str], lg_k: int = 12) -> DataFrame:
+    """A HyperLogLog sketch of the distinct values per predictor and ``by`` (binary, a few
+    KB), to be stored: sketches of new data merge with old ones without a rescan."""
+    return (long.filter(F.col("value").isNotNull()).groupBy("idx", *by)
+            .agg(F.hll_sketch_agg("value", lg_k).alias("sketch"), F.count(F.lit(1)).alias("n_rows")))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches of any parts (days, splits, sources) merged per predictor and ``by``, with
+    the estimated number of distinct values."""
+    return (sketches.groupBy("idx", *by).agg(F.hll_union_agg("sketch").alias("sketch"), F.sum("n_rows").alias("n_rows"))
+            .withColumn("estimate", F.hll_sketch_estimate("sketch")))
+
+
 def fit_dictionary(long_train: DataFrame) -> DataFrame:
     """idx, value, n_rows, feature_id — ids 0..n-1 in (idx, value) order.
 
@@ -106,3 +120,30 @@ def sparse_vector_parts(ids: str, size: Column) -> Column:
     """(size, indices, values) of the binary sparse vector of sorted ids."""
     return F.struct(size.cast("bigint").alias("size"), F.col(ids).alias("indices"),
                     F.array_repeat(F.lit(1.0), F.size(ids)).alias("values"))
+
+
+#: Names of features that a vector model keeps on the driver at most.
+VECTOR_NAMES = 500_000
+
+
+def vector_model(dictionary: DataFrame, max_names: int = VECTOR_NAMES):
+    """A ``CountVectorizerModel`` of the dictionary: its index of a feature is the feature's
+    id. The names (``idx=value``) are kept by the driver, so there may be ``max_names``."""
+    from pyspark.ml.feature import CountVectorizerModel
+
+    if dictionary.limit(max_names + 1).count() > max_names:
+        raise ValueError(f"more than {max_names} features; use encode_arrays for models of that size")
+    names = dictionary.orderBy("feature_id").select(_feature_name().alias("name")).toArrow()["name"].to_pylist()
+    model = CountVectorizerModel.from_vocabulary(names, "names", "features")
+    return model.setBinary(True)
+
+
+def _feature_name() -> Column:
+    return F.concat(F.col("idx").cast("string"), F.lit("="), F.col("value"))
+
+
+def feature_vectors(long: DataFrame, dictionary: DataFrame, keep: list[str], max_names: int = VECTOR_NAMES) -> DataFrame:
+    """``keep`` and ``features``, the one-hot vector of each article as the vector column
+    that ``pyspark.ml`` estimators take. Values that are not in the dictionary add nothing."""
+    rows = long.groupBy(*keep).agg(F.collect_list(F.when(F.col("value").isNotNull(), _feature_name())).alias("names"))
+    return vector_model(dictionary, max_names).transform(rows).select(*keep, "features")

@@ -11,9 +11,9 @@ Data layout: the *design* table has one row per article with the sorted array
 of its active feature ids, the intercept (``-1``) first. With at most
 ``broadcast_rows`` weights one iteration is
 
-  scan of the design → margin = the row's weights added in id order (the
-  weight vector is a literal of the plan, shipped once per stage) → residual →
-  explode → residual sums per feature (partial aggregate, one shuffle),
+  scan of the design → margin = the row's weights added (the weight vector is a
+  literal of the plan, shipped once per stage) → residual → explode → residual
+  sums per feature (partial aggregate, one shuffle),
 
 without a join, sort or window over the design. The summed gradient, as long as
 the weight vector, comes back to the driver, which updates the weights (what a
@@ -21,14 +21,17 @@ broadcast of the weights would ship as well).
 
 Larger models are cut into *cells*: feature ids into blocks of ``BLOCK_FEATURES``,
 articles into slices. The design is written once, bucketed by cell, with one row
-per (cell, article); weights are one array per block, sent to the block's cells.
-A row's share of the margin is computed where it lies, only those partial sums
-are shuffled to their articles, and residuals return to the cells by a join that
-leaves the design in place. Weights are a written table per iteration.
-
-Residuals are summed as two whole numbers per row (26 bits each), so the sums —
-and with them the weights, and the order of scores — do not depend on the order
-of rows, partitionings or retries, on either side of the bound.
+per (cell, article), and so is the list of every article's cells, bucketed by
+article. Per iteration weights, one array per block, go to the block's cells; a row's
+share of the margin is summed where it lies; these partial sums (two whole numbers
+per cell and article) are shuffled to their articles; and residuals return to the
+cells by a join that leaves the design in place. Weights are a written table per
+iteration.
+
+Weights in margins and residuals in gradients are summed as two whole numbers each
+(units of 2^-26 and 2^-52), so margins and sums — and with them the weights, and the
+order of scores — do not depend on the order of rows, partitionings or retries, and
+are the same on either side of the bound.
 """
 
 from __future__ import annotations
@@ -151,11 +154,22 @@ def _literal(vector: np.ndarray) -> Column:
     return F.from_json(F.lit(json.dumps(vector.tolist())), "array<double>")
 
 
+def whole_parts(vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weights as two whole numbers each, in units of 2^-26 and 2^-52 (as doubles,
+    whose sums are exact up to 2^53)."""
+    high = np.floor(vector * _UNIT)
+    return high, np.floor((vector * _UNIT - high) * _UNIT)
+
+
 def vector_margin(vector: np.ndarray, slots="slots") -> Column:
-    """Weights of a row's slots added in their order; slots beyond the vector add nothing."""
-    w = _literal(vector)
-    return F.aggregate(slots, F.lit(0.0), lambda acc, i: acc + F.coalesce(
-        F.get(w, (i + 1).cast("int")), F.lit(0.0)))
+    """Weights of a row's slots added exactly; slots beyond the vector add nothing."""
+    high, low = (_added(_literal(part), slots, lambda i: (i + 1).cast("int"), F.lit(0.0)) for part in whole_parts(vector))
+    return (high + low / F.lit(_UNIT)) / F.lit(_UNIT)
+
+
+def _added(weights: Column, slots, place, zero: Column) -> Column:
+    """Sum of the weights (an array) at the places of a row's slots."""
+    return F.aggregate(slots, zero, lambda acc, i: acc + F.coalesce(F.get(weights, place(i)), zero))
 
 
 # Residuals in SQL; {m} is the margin.
@@ -170,17 +184,22 @@ def vector_gradients(design: DataFrame, vectors: dict[str, np.ndarray], losses:
     which the feature is active. One SQL text per set of models: an iteration changes
     its arguments only, which keeps the driver's part of an iteration small."""
     unit = f"{_UNIT!r}D"
-    residuals, parts, totals = [], [], []
+    margins, residuals, parts, totals = [], [], [], []
     for n in vectors:
-        margin = (f"aggregate(slots, 0D, (acc, i) -> acc + coalesce(get(from_json(:{n}, 'array<double>'), "
-                  "CAST(i + 1 AS INT)), 0D))")
-        residuals.append(f"{_RESIDUALS[losses[n]].format(m=margin)} AS {n}")
+        high, low = (f"aggregate(slots, 0D, (acc, i) -> acc + coalesce(get(from_json(:{n}_{part}, 'array<double>'), "
+                     "CAST(i + 1 AS INT)), 0D))" for part in ("h", "l"))
+        margin = f"({high} + {low} / {unit}) / {unit}"
+        margins.append(f"{margin} AS {n}_m")
+        residuals.append(f"{_RESIDUALS[losses[n]].format(m=f'{n}_m')} AS {n}")
         parts += [f"CAST(floor({n} * {unit}) AS BIGINT) AS {n}_h",
                   f"CAST(floor(({n} * {unit} - floor({n} * {unit})) * {unit}) AS BIGINT) AS {n}_l"]
         totals.append(f"(CAST(sum({n}_h) AS DOUBLE) + CAST(sum({n}_l) AS DOUBLE) / {unit}) / {unit} AS {n}")
     text = (f"SELECT feature_id, {', '.join(totals)} FROM (SELECT explode(slots) AS feature_id, {', '.join(parts)} "
-            f"FROM (SELECT slots, {', '.join(residuals)} FROM {{design}})) GROUP BY feature_id")
-    return design.sparkSession.sql(text, args={n: json.dumps(v.tolist()) for n, v in vectors.items()}, design=design)
+            f"FROM (SELECT slots, {', '.join(residuals)} FROM (SELECT slots, label, {', '.join(margins)} "
+            f"FROM {{design}}))) GROUP BY feature_id")
+    args = {f"{n}_{part}": json.dumps(x.tolist()) for n, v in vectors.items()
+            for part, x in zip(("h", "l"), whole_parts(v), strict=True)}
+    return design.sparkSession.sql(text, args=args, design=design)
 
 
 def _fit_vectors(design: DataFrame, size: int, n: int,
@@ -236,36 +255,43 @@ def cell_table(design: DataFrame, slices: int) -> DataFrame:
     return write_bucketed(rows.withColumn("cell", F.col("block") * F.lit(slices) + part), "cells", "cell")
 
 
+def article_cells(cells: DataFrame) -> DataFrame:
+    """article_id and the cells it has rows in, written once, bucketed by article."""
+    from ..sources.files import write_bucketed
+
+    return write_bucketed(cells.groupBy("article_id").agg(F.collect_set("cell").alias("_cells")), "article_cells", "article_id")
+
+
 def weight_blocks(weights: DataFrame) -> DataFrame:
-    """block and its weights as an array in feature order."""
+    """block and the whole parts of its weights as arrays in feature order."""
+    high, low = _whole(F.col("weight"))
     dense = F.sort_array(F.collect_list(F.struct(
-        F.pmod(F.col("feature_id") + 1, F.lit(BLOCK_FEATURES)).cast("int").alias("i"), "weight")))
+        F.pmod(F.col("feature_id") + 1, F.lit(BLOCK_FEATURES)).cast("int").alias("i"),
+        high.cast("long").alias("h"), low.cast("long").alias("l"))))
     # ids 0..n-1 have no gaps, so the sorted weights are the array
-    return weights.groupBy(_block(F.col("feature_id")).alias("block")).agg(
-        F.transform(dense, lambda x: x["weight"]).alias("w"))
+    return weights.groupBy(_block(F.col("feature_id")).alias("block")).agg(dense.alias("w")).select(
+        "block", F.transform("w", lambda x: x["h"]).alias("wh"), F.transform("w", lambda x: x["l"]).alias("wl"))
 
 
 def cell_margins(cells: DataFrame, weights: DataFrame, slices: int) -> DataFrame:
-    """article_id, label, margin: shares of cells added in block order."""
-    blocks = weight_blocks(weights).select("w", F.explode(F.transform(
+    """article_id, label, margin. A cell sends two whole numbers per article; their sums
+    do not depend on the order of cells."""
+    blocks = weight_blocks(weights).select("wh", "wl", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(slices - 1)), lambda s: F.col("block") * F.lit(slices) + s)).alias("cell"))
-    at = cells.join(blocks, "cell")
-    # a block's first share starts from 0 and the next ones are added to it one by one,
-    # so the sum is the one a whole vector gives
-    terms = F.transform("slots", lambda i: F.coalesce(
-        F.get("w", F.pmod(i + 1, F.lit(BLOCK_FEATURES)).cast("int")), F.lit(0.0)))
-    shares = at.select("article_id", "label", F.struct("block", terms.alias("x")).alias("x"))
-    return (shares.groupBy("article_id", "label").agg(F.sort_array(F.collect_list("x")).alias("x"))
-            .select("article_id", "label", F.aggregate(
-                F.flatten(F.transform("x", lambda b: b["x"])), F.lit(0.0), lambda a, v: a + v).alias("margin")))
-
-
-def cell_gradients(cells: DataFrame, weights: DataFrame, slices: int, loss: str) -> DataFrame:
+    shares = [_added(F.col(f"w{part}"), "slots", lambda i: F.pmod(i + 1, F.lit(BLOCK_FEATURES)).cast("int"),
+                     F.lit(0).cast("long")).alias(f"m_{part}") for part in ("h", "l")]
+    return (cells.join(blocks, "cell").select("article_id", "label", *shares)
+            .groupBy("article_id").agg(F.max("label").alias("label"), *_sums(["m"]))
+            .select("article_id", "label", _total("m").alias("margin")))
+
+
+def cell_gradients(cells: DataFrame, weights: DataFrame, slices: int, loss: str,
+                   homes: DataFrame | None = None) -> DataFrame:
     """feature_id, grad_sum; the rows of ``cells`` are read where they lie twice and
-    never shuffled."""
+    never shuffled. ``homes`` is :func:`article_cells` of the cells."""
     margins = cell_margins(cells, weights, slices)
-    blocks = cells.groupBy("article_id").agg(F.collect_set("cell").alias("_cells"))
-    back = _with_whole(margins.join(blocks, "article_id"),
+    homes = homes if homes is not None else article_cells(cells)
+    back = _with_whole(margins.join(homes, "article_id"),
                        {"g": residual(F.col("margin"), F.col("label"), loss)},
                        "article_id", F.explode("_cells").alias("cell"))
     rows = cells.select("cell", F.col("article_id").alias("_a"), "slots").join(
@@ -297,9 +323,10 @@ def _fit_cells(design: DataFrame, dictionary: DataFrame, n: int, cfg: GDConfig,
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     w, path = pin_table(initial_weights(dictionary, n, cfg.initial_intercept), f"{name}-w0", with_path=True)
     cells, done = cell_table(design, slices), 0
+    homes = article_cells(cells)
     for t in range(1, cfg.iterations + 1):
         s, shrink = step_constants(cfg, t)
-        g = cell_gradients(cells, w, slices, cfg.loss)
+        g = cell_gradients(cells, w, slices, cfg.loss, homes)
         mean = F.coalesce(F.col("grad_sum"), F.lit(0.0)) / F.lit(float(n))
         new = w.join(g, "feature_id", "left").select(
             "feature_id", "n_rows", F.col("weight").alias("_old"),

@@ -16,6 +16,10 @@ from . import queries as Q
 
 AS_OF = A.AS_OF_DATE
 
+# Weights are added exactly, as whole numbers of 2^-26 and 2^-52.
+_U = "67108864.0::DOUBLE"
+MARGIN = (f"(sum(floor(w.weight * {_U})) + sum(floor((w.weight * {_U} - floor(w.weight * {_U})) * {_U})) / {_U}) / {_U}")
+
 
 def _articles(with_date: bool) -> str:
     date_col = ",\n         strftime(o.o_orderdate, '%Y-%m-%d') AS f7" if with_date else ""
@@ -92,7 +96,7 @@ def _gd(prefix: str, loss: str, k: int, step: float = 1.0, reg: float = 1e-6) ->
         s = step / math.sqrt(t)
         shrink = 1.0 - s * reg
         ctes.append(f"""{prefix}_m{t} AS MATERIALIZED (
-  SELECT d.article_id, d.label, sum(w.weight) AS margin
+  SELECT d.article_id, d.label, {MARGIN} AS margin
   FROM design_train d JOIN {prefix}_w{t-1} w ON d.feature_id = w.feature_id
   GROUP BY d.article_id, d.label
 ),
@@ -115,11 +119,11 @@ def _model_ctes(k: int = Q.FULL_ITERATIONS) -> str:
 
 def _scores(k: int = Q.FULL_ITERATIONS) -> str:
     return f"""scores AS MATERIALIZED (
-  SELECT 'lr' AS model, d.article_id, d.split, d.label, list_sum(list(w.weight ORDER BY d.feature_id)) AS margin
+  SELECT 'lr' AS model, d.article_id, d.split, d.label, {MARGIN} AS margin
   FROM design_all d JOIN lr_w{k} w ON d.feature_id = w.feature_id
   GROUP BY d.article_id, d.split, d.label
   UNION ALL
-  SELECT 'svm' AS model, d.article_id, d.split, d.label, list_sum(list(w.weight ORDER BY d.feature_id)) AS margin
+  SELECT 'svm' AS model, d.article_id, d.split, d.label, {MARGIN} AS margin
   FROM design_all d JOIN svm_w{k} w ON d.feature_id = w.feature_id
   GROUP BY d.article_id, d.split, d.label
 ),
@@ -247,6 +251,15 @@ FROM (SELECT string_split(value, ', ') AS parts FROM lines) t,
         f"SELECT value FROM (SELECT '{header}' AS value UNION ALL SELECT value FROM lines) WHERE value <> '{header}'"
     # files written by Spark and read back: the data lines, and the inferred types
     sql["scan_text_lines"] = _with(_articles(False), _lines_cte()) + "SELECT value FROM lines"
+    sql["input_order"] = """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS line_no,
+  'article/' || CAST(o_orderkey AS VARCHAR) AS url FROM orders"""
+    sql["rejected_lines"] = _with(_articles(False)) + """SELECT CASE WHEN url LIKE '%9' THEN 'field count'
+    WHEN article_id % 7 = 0 THEN 'age' WHEN article_id % 11 = 0 THEN 'shares' ELSE 'good' END AS reason, count(*) AS n_lines,
+  sum(timedelta) FILTER (WHERE url NOT LIKE '%9' AND article_id % 7 <> 0 AND article_id % 11 <> 0) AS sum_age
+FROM articles GROUP BY 1"""
+    sql["rejected_replies"] = _with(REPLIES) + """SELECT event_id,
+  CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 THEN share_count END AS share_count,
+  CASE WHEN event_id % 5 = 0 THEN 'no json' WHEN event_id % 7 = 0 THEN 'no count' END AS reason FROM counts"""
     sql["scan_csv"] = _with(_articles(False)) + """SELECT url, timedelta, f0, f1, f2, f3,
   CAST(f4 AS INTEGER) AS f4, CAST(f5 AS INTEGER) AS f5, CAST(f6 AS INTEGER) AS f6, shares
 FROM articles"""
@@ -279,6 +292,10 @@ FROM (
 )"""
     sql["one_hot_encode"] = _with(*_feat(True), enc) + \
         "SELECT article_id, split, n_active, feature_ids, repeat('1.0,', n_active - 1) || '1.0' AS \"values\", (SELECT count(*) FROM dict) AS size FROM enc"
+    sql["feature_vectors"] = _with(*_feat(True), enc) + \
+        "SELECT article_id, split, (SELECT count(*) FROM dict) AS size, feature_ids, repeat('1.0,', n_active - 1) || '1.0' AS \"values\" FROM enc"
+    sql["dictionary_sketches"] = _with(*_base(True), _long(True)) + """SELECT idx, count(*) AS n_rows,
+  count(DISTINCT value) AS n_values, true AS within_error FROM long GROUP BY idx"""
     sql["labeled_points"] = _with(*_feat(True), enc) + \
         "SELECT article_id, split, label, n_active, feature_ids FROM enc"
 
@@ -291,6 +308,8 @@ FROM {prefix}_w1 w LEFT JOIN {prefix}_g1 g ON w.feature_id = g.feature_id"""
         sql[f"{name}_fit"] = _with(*_feat(), DESIGN, _gd(prefix, loss, k)) + \
             f"SELECT '{name}' AS model, feature_id, round(weight, 9) AS weight FROM {prefix}_w{k}"
 
+    sql["lr_fit_cells"] = sql["lr_fit_3_steps"]
+
     sql["sigmoid"] = _with(*_model()) + \
         "SELECT article_id, split, round(margin, 6) AS margin, round(score, 6) AS probability FROM scored WHERE model = 'lr'"
     sql["predict_proba"] = _with(*_model()) + \
@@ -321,6 +340,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY model, split ORDER BY score DESC
         "SELECT model, split, n_rows, round(log_loss, 6) AS log_loss FROM loss_t"
     sql["roc_points"] = _with(*_eval()) + \
         "SELECT model, split, rn, article_id, label, tpr, fpr FROM curve WHERE split IN ('val', 'test')"
+    sql["roc_steps"] = _with(*_eval()) + """SELECT model, split, rn, round(dx, 9) AS dx, round(y, 9) AS y, round(dx * y, 9) AS area
+FROM (SELECT model, split, rn, lead(fpr) OVER w - fpr AS dx, (lead(tpr) OVER w + tpr) / 2 AS y
+  FROM curve WINDOW w AS (PARTITION BY model, split ORDER BY rn)) WHERE dx IS NOT NULL AND split IN ('val', 'test')"""
     sql["auc"] = _with(*_eval()) + "SELECT model, split, round(auc, 6) AS auc FROM auc_t"
     sql["model_split_metrics"] = _with(*_eval()) + """SELECT l.model, l.split, l.n_rows, round(l.log_loss, 6) AS log_loss,
   round(b.baseline_log_loss, 6) AS baseline_log_loss, round(a.auc, 6) AS auc
@@ -376,6 +398,11 @@ SELECT page_id, script, statement, record_text,
        ELSE trim(record_text) END AS record_value,
   COALESCE(json_valid(record_text) AND json_type(record_text) = 'OBJECT', false) AS is_mapping
 FROM r"""
+    sql["nested_records"] = """SELECT c_custkey, true AS is_nested, c_mktsegment AS first_topic, 'of ' || n_name AS second_topic,
+  n_name AS nation, CAST(c_nationkey AS BIGINT) AS nation_key, c_acctbal < 0 AS in_debt, CAST(NULL AS VARCHAR) AS missing
+FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+    sql["record_schema"] = """SELECT 'OBJECT<name: STRING, place: OBJECT<`in debt`: BOOLEAN, key: BIGINT, nation: STRING>, topics: ARRAY<STRING>>' AS schema
+FROM (SELECT count(*) AS n FROM customer) WHERE n > 0"""
     sql["page_meta_map"] = """SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys,
   CAST(len(json_keys(props)) AS BIGINT) AS n_keys, json_extract_string(props, '$.k') AS value_k FROM events"""
     sql["article_age_days"] = f"""SELECT o_orderkey AS article_id, strftime(o_orderdate, '%m/%d/%Y') AS pub_date,

@@ -24,6 +24,7 @@ from ..operators.split import hash_split
 from ..session import ensure_checkpoint_dir
 from ..sources.files import pin_table, write_bucketed
 from ..sources import articles as article_source
+from ..sources.tables import table
 
 KEEP = ["article_id", "split", "label"]
 
@@ -69,11 +70,12 @@ def labeled_articles(spark: SparkSession, sf_dir: str, with_date: bool = False)
     return with_label(hash_split(arts))
 
 
-def prepare_table(labeled: DataFrame, predictors: list[str]) -> Prepared:
+def prepare_table(labeled: DataFrame, predictors: list[str], rows: int | None = None) -> Prepared:
     """Pin a labeled, split table (article_id, split, label, predictors...) as
-    an article-bucketed table, build the long form and fit the dictionary."""
+    an article-bucketed table, build the long form and fit the dictionary.
+    ``rows``, if known, saves counting them (for the number of buckets)."""
     ensure_checkpoint_dir(labeled.sparkSession)
-    pinned = write_bucketed(labeled, "labeled", "article_id", rows=labeled.count())
+    pinned = write_bucketed(labeled, "labeled", "article_id", rows=labeled.count() if rows is None else rows)
     long = features.feature_long(pinned, predictors, KEEP)
     dictionary = features.fit_dictionary(long.filter(F.col("split") == F.lit("train")))
     n_train = pinned.filter(F.col("split") == F.lit("train")).count()
@@ -82,8 +84,8 @@ def prepare_table(labeled: DataFrame, predictors: list[str]) -> Prepared:
 
 def prepare(spark: SparkSession, sf_dir: str, with_date: bool = False) -> Prepared:
     """The article binding of the test tables, split by md5 of the order key."""
-    return prepare_table(labeled_articles(spark, sf_dir, with_date),
-                         article_source.predictors(with_date))
+    return prepare_table(labeled_articles(spark, sf_dir, with_date), article_source.predictors(with_date),
+                         rows=table(spark, sf_dir, "orders", "o_orderkey").count())
 
 
 def prepare_file(spark: SparkSession, path: str) -> Prepared:

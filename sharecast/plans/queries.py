@@ -203,6 +203,49 @@ def q_sink_parquet_roundtrip(spark, sf):
         "article_id", "split", "label", "rate")
 
 
+def _ordered_file(spark, sf, name):
+    """The articles as files in the order of their ids, a header on top of each."""
+    ensure_checkpoint_dir(spark)
+    arts = A.articles(spark, sf).orderBy("article_id")
+    return FS.write_article_files(arts, A.article_columns(), name)
+
+
+def q_input_order(spark, sf):
+    """The number of every article line in its files, and the url there."""
+    path = _ordered_file(spark, sf, "input-order")
+    lines = FS.numbered_lines(spark, path, skip=FS.first_line(spark, path))
+    return lines.select("line_no", F.get(FT.split_line("value"), 0).alias("url"))
+
+
+def _damaged_lines(spark, sf):
+    """Article lines of which some lack their last field or have no number as age or shares."""
+    ensure_checkpoint_dir(spark)
+    cols = A.article_columns()
+    arts = A.articles(spark, sf)
+    age = F.when(F.col("article_id") % 7 == 0, "n/a").otherwise(F.col("timedelta").cast("string"))
+    shares = F.when(F.col("article_id") % 11 == 0, "many").otherwise(F.col("shares").cast("string"))
+    lines = FS.as_lines(arts.withColumns({"timedelta": age, "shares": shares}), cols)
+    lines = lines.select(F.when(F.col("value").rlike("^article/[0-9]*9,"), F.regexp_extract("value", "^(.*), ", 1)).otherwise(F.col("value")))
+    return FS.write_lines(lines, "damaged", header_line(cols))
+
+
+def q_rejected_lines(spark, sf):
+    """Lines per reason, the good ones (with the sum of their ages) among them."""
+    good, bad = A.checked_articles(spark, _damaged_lines(spark, sf))
+    counts = bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n_lines"), F.lit(None).cast("double").alias("sum_age"))
+    return counts.unionByName(good.agg(F.lit("good").alias("reason"), F.count(F.lit(1)).alias("n_lines"),
+                                       F.sum("timedelta").alias("sum_age")))
+
+
+def q_rejected_replies(spark, sf):
+    """Replies of which some are cut off or lack the count: the reason, or the count read."""
+    r = SH.share_replies(spark, sf)
+    cut = F.when(F.col("event_id") % 5 == 0, F.substring("reply", 1, 4)).when(F.col("event_id") % 7 == 0, F.lit('{"other": 1}'))
+    good, bad = SH.checked_counts(r.withColumn("reply", F.coalesce(cut, F.col("reply"))))
+    return good.select("event_id", "share_count", F.lit(None).cast("string").alias("reason")).unionByName(
+        bad.select("event_id", F.lit(None).cast("long").alias("share_count"), "reason"))
+
+
 # --- features and dictionary -------------------------------------------------
 
 def q_feature_long(spark, sf):
@@ -245,6 +288,27 @@ def q_one_hot_encode(spark, sf):
     return _encoded_arrays(spark, sf, ["article_id", "split"])
 
 
+def q_feature_vectors(spark, sf):
+    """The vector column of the articles, read back: size, indices and values."""
+    prep = _prep(spark, sf, with_date=True)
+    v = FT.feature_vectors(prep.long, prep.dictionary, ["article_id", "split"])
+    json = F.from_json(F.call_function("to_json", F.struct(F.col("features"))), "features struct<size:bigint, indices:array<bigint>, values:array<double>>")
+    return v.select("article_id", "split", json["features"].alias("f")).select(
+        "article_id", "split", F.col("f.size").alias("size"), F.array_join("f.indices", ",").alias("feature_ids"),
+        F.array_join("f.values", ",").alias("values"))
+
+
+def q_dictionary_sketches(spark, sf):
+    """Per predictor: distinct values, and whether the merged sketches of the three splits
+    estimate them within four standard errors (1.04 / 64 each)."""
+    prep = _prep(spark, sf, with_date=True)
+    stored = FS.pin_table(FT.dictionary_sketches(prep.long, ["split"]), "sketches")
+    est = FT.merged_sketches(stored, [])
+    exact = prep.long.groupBy("idx").agg(F.count_distinct("value").alias("n_values"))
+    near = F.abs(F.col("estimate") - F.col("n_values")) <= F.greatest(F.lit(1.0), 4 * 1.04 / 64 * F.col("n_values"))
+    return est.join(F.broadcast(exact), "idx").select("idx", "n_rows", "n_values", near.alias("within_error"))
+
+
 def q_labeled_points(spark, sf):
     return _encoded_arrays(spark, sf, ["article_id", "split", "label"]).drop("size", "values")
 
@@ -272,6 +336,12 @@ def q_svm_gradient_step(spark, sf):
     return _one_step(spark, sf, "hinge")
 
 
+def q_lr_fit_cells(spark, sf):
+    """The short fit with the design cut into cells, as above the bound of weights."""
+    prep = _prep(spark, sf)
+    return _weights(P.fit_model(prep, "logistic", SHORT_ITERATIONS, "lr_cells", broadcast_rows=2))
+
+
 def q_lr_fit_3_steps(spark, sf):
     return _weights(_fits(spark, sf, SHORT_ITERATIONS)[0])
 
@@ -366,6 +436,12 @@ def q_roc_points(spark, sf):
     return roc.select("model", "split", "rn", "article_id", "label", "tpr", "fpr")
 
 
+def q_roc_steps(spark, sf):
+    ev = _eval(spark, sf)
+    steps = E.roc_steps(ev.scores, ranked=ev.ranked).filter(F.col("split").isin("val", "test"))
+    return steps.select("model", "split", "rn", r9("dx").alias("dx"), r9("y").alias("y"), r9("area").alias("area"))
+
+
 def q_auc(spark, sf):
     return _eval(spark, sf).auc.select("model", "split", r6("auc").alias("auc"))
 
@@ -469,6 +545,26 @@ def q_page_meta_map(spark, sf):
     return X.record_fields(SH.metadata_records(spark, sf), [SH.COUNT_FIELD])
 
 
+def _customer_records(spark, sf):
+    """Records with a nested list and object, as a page would write them (bare names)."""
+    c = table(spark, sf, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal")
+    n = table(spark, sf, "nation", "n_nationkey", "n_name")
+    j = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.select("c_custkey", F.concat(F.lit("{name: "), "c_name", F.lit(", topics: ["), "c_mktsegment", F.lit(", 'of "), "n_name",
+                                          F.lit("'], place: {nation: "), "n_name", F.lit(", key: "), F.col("c_nationkey").cast("string"),
+                                          F.lit(', "in debt": '), (F.col("c_acctbal") < 0).cast("string"), F.lit("}}")).alias("record"))
+
+
+def q_nested_records(spark, sf):
+    paths = {"first_topic": ("$.topics[0]", "string"), "second_topic": ("$.topics[1]", "string"), "nation": ("$.place.nation", "string"),
+             "nation_key": ("$.place.key", "bigint"), "in_debt": ("$.place['in debt']", "boolean"), "missing": ("$.place.city", "string")}
+    return X.nested_fields(_customer_records(spark, sf), paths, keep=["c_custkey"])
+
+
+def q_record_schema(spark, sf):
+    return X.record_schema(_customer_records(spark, sf))
+
+
 def q_article_age_days(spark, sf):
     orders = table(spark, sf, "orders", "o_orderkey", "o_orderdate")
     return X.article_age(orders, A.AS_OF_DATE)

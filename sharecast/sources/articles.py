@@ -73,26 +73,35 @@ def article_columns(with_date: bool = False) -> list[str]:
     return ["url", "timedelta"] + predictors(with_date) + ["shares"]
 
 
+#: Why a line or reply is turned away.
+BAD_FIELDS, BAD_AGE, BAD_SHARES, BAD_REPLY, NO_FIELD = "field count", "age", "shares", "no json", "no count"
+
+
 def articles_from_file(spark: SparkSession, path: str) -> DataFrame:
     """The 61-column article file (comma + space separated, header line on top).
 
     Read as the study reads it: text lines, every line equal to the header
     dropped, fields split on ', ' and taken by position; the names come from
     the header. Predictors stay strings; age and shares become doubles (an
-    unparsable number raises under ANSI, like ``float()``).
+    unparsable number raises under ANSI, like ``float()``; see
+    :func:`checked_articles` for a reader that sets such lines apart).
 
-    ``article_id`` is a 64-bit hash of the url, so it does not depend on files,
-    splits or reruns.
+    ``article_id`` is the line's number in the input (:func:`files.numbered_lines`), so
+    ties follow the input's order and repeated lines are rows of their own.
     Split on ``url`` (:func:`hash_split` with ``key='url'``) for a split that
     repeats across runs.
     """
-    from ..operators.features import drop_header, split_line
-    from ..schema import LINE_SEPARATOR
-    from .files import first_line, scan_text_lines
+    from .files import first_line, numbered_lines
 
     header = first_line(spark, path)
+    return _article_fields(numbered_lines(spark, path, skip=header), header)
+
+
+def _article_fields(lines: DataFrame, header: str) -> DataFrame:
+    from ..operators.features import split_line
+    from ..schema import LINE_SEPARATOR
+
     names = [n.strip() for n in header.split(LINE_SEPARATOR)]
-    lines = drop_header(scan_text_lines(spark, path), header)
     parts = split_line("value")
     cols = []
     for i, name in enumerate(names):
@@ -100,5 +109,24 @@ def articles_from_file(spark: SparkSession, path: str) -> DataFrame:
         if i in (1, len(names) - 1):
             c = c.cast("double")
         cols.append(c.alias(name))
-    out = lines.select(*cols)
-    return out.withColumn("article_id", F.xxhash64(out.columns[0]))
+    return lines.select(*cols, F.col("line_no").alias("article_id"))
+
+
+def checked_articles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The articles of a file (as :func:`articles_from_file`) and the lines that are none:
+    article_id, value (the line as it is) and reason. Every line is in one of the two;
+    the first reason counts: a wrong number of fields, an age that is no number, shares
+    that are none."""
+    from ..operators.features import split_line
+    from ..schema import LINE_SEPARATOR
+    from .files import first_line, numbered_lines
+
+    header = first_line(spark, path)
+    lines = numbered_lines(spark, path, skip=header)
+    parts, n = split_line("value"), len(header.split(LINE_SEPARATOR))
+    reason = (F.when(F.size(parts) != n, BAD_FIELDS)
+              .when(F.get(parts, 1).try_cast("double").isNull(), BAD_AGE)
+              .when(F.get(parts, n - 1).try_cast("double").isNull(), BAD_SHARES))
+    judged = lines.withColumn("reason", reason)
+    return (_article_fields(judged.filter("reason is null"), header),
+            judged.filter("reason is not null").select(F.col("line_no").alias("article_id"), "value", "reason"))

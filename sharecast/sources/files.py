@@ -32,12 +32,46 @@ def write_article_files(df: DataFrame, columns: list[str], name: str = "articles
     return path
 
 
+def write_lines(lines: DataFrame, name: str, header: str) -> str:
+    """Write text lines (one column) as files that start with ``header`` each."""
+    spark = lines.sparkSession
+    path = staging_path(spark, name)
+    _staged.append((spark.sparkContext.applicationId, path, None))
+    (lines.toDF(header).write.option("header", True).option("sep", "\u0001").option("quote", "\u0000")
+     .option("emptyValue", "").csv(path))
+    return path
+
+
 def scan_text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Raw lines (``value``), header lines included. Splits follow
     ``spark.sql.files.maxPartitionBytes`` at every size."""
     return spark.read.text(path)
 
 
+def numbered_lines(spark: SparkSession, path: str, skip: str | None = None) -> DataFrame:
+    """line_no (bigint from 0, in the order of files by path and of lines in them) and
+    value, without the lines equal to ``skip``.
+
+    Every line records its file, the start of its split and its place in the split as
+    it is read, and is written with them once: the place of a line is data, whatever
+    splits a later read makes. Splits are then counted, and the prefix sums of a table
+    with a row per split turn places into numbers."""
+    from pyspark.sql import Window
+
+    from ..operators.joins import lookup_join
+
+    lines = scan_text_lines(spark, path)
+    if skip is not None:
+        lines = lines.filter(F.col("value") != F.lit(skip))
+    read = pin_table(lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                                  F.monotonically_increasing_id().alias("_place")), "lines")
+    splits = read.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)     # a row per split
+    offsets = splits.select("_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_add"))
+    return lookup_join(read, offsets, ["_file", "_start"], salt_source="_place").select(
+        (F.col("_place") + F.col("_add")).alias("line_no"), "value")
+
+
 def first_line(spark: SparkSession, path: str) -> str:
     """Header text: the first line of the first file by path (a file's first split
     holds its first line)."""

@@ -39,3 +39,19 @@ def metadata_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, record — JSON object texts used as page metadata records."""
     return table(spark, sf_dir, "events", "event_id", "props").select(
         "event_id", F.col("props").alias("record"))
+
+
+def checked_counts(replies: DataFrame, field: str = COUNT_FIELD) -> tuple[DataFrame, DataFrame]:
+    """Replies (reply: an object or an array of one) with their ``share_count``, and those
+    without one: the reply as it is and the reason. The text is parsed once, permissively;
+    what does not parse is kept as it came."""
+    from .articles import BAD_REPLY, NO_FIELD
+
+    body = F.regexp_replace("reply", r"(?s)^\s*\[(.*)\]\s*$", "$1")
+    parsed = F.from_json(body, f"`{field}` bigint, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    read = replies.withColumn("_r", parsed)
+    reason = (F.when(F.col("_r").isNull() | F.col("_r._corrupt").isNotNull(), BAD_REPLY)
+              .when(F.col(f"_r.{field}").isNull(), NO_FIELD))
+    judged = read.withColumn("reason", reason)
+    return (judged.filter("reason is null").select(*replies.columns, F.col(f"_r.{field}").alias("share_count")),
+            judged.filter("reason is not null").select(*replies.columns, "reason"))

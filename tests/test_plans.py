@@ -32,17 +32,21 @@ def test_gradient_pass_has_one_shuffle_and_no_join_or_sort(spark, prep):
 
 def test_cells_are_never_shuffled(spark, prep):
     """Above the bound the design stays where it is bucketed: what is shuffled are partial
-    sums, residuals and weights, never the id arrays."""
+    sums (two longs per cell and article), residuals and weights, never arrays of a row."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         cells = M.cell_table(prep.design_train(), 4)
         weights = M.initial_weights(prep.dictionary, prep.n_train)
         with M._joins_in_place(spark):
-            p = plan(M.cell_gradients(cells, weights, 4, "logistic"))
+            p = plan(M.cell_gradients(cells, weights, 4, "logistic", M.article_cells(cells)))
+            m = M.cell_margins(cells, weights, 4)
+            sums = [x for x in plan(m).splitlines() if "partial_sum(m_h" in x]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     reads = [m.end() for m in re.finditer(r"Bucketed: true", p)]
     assert len(reads) >= 2
+    assert sums and all(re.search(r"keys=\[article_id#\w+\], functions=\[partial_max\(label#\w+\), "
+                                  r"partial_sum\(m_h#\w+\), partial_sum\(m_l#\w+\)\]", x) for x in sums)
     lines = p.splitlines()
     for i, line in enumerate(lines):
         if "Exchange" in line:
