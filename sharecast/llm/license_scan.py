@@ -1,12 +1,12 @@
 """License scan with a positional rare-token index.
 
-The index holds, for every template, its rarest words over all documents (highest
-IDF: fewest documents first) with their places in the template. A document looks up
-those words only; each hit proposes where the template would start, proposals that
-agree are intersected on the template's other words by relative position, and a
-proposal stands if ``MIN_MATCH_PCT`` percent of the words are in place and every word
-of the template's mandatory key phrase is. Base phrases are templates of which every
-word must be in place.
+The index holds, for every template, the word of its mandatory key phrase that is
+rarest over all documents (highest IDF: fewest documents first) with its place. Every
+match has that word in place, so a document looks up those words only and no match is
+missed, whatever other words are changed; each hit proposes where the template would
+start, its words are intersected by relative position, and a proposal stands if
+``MIN_MATCH_PCT`` percent of the words are in place and the whole key phrase is. Base
+phrases are templates of which every word is mandatory.
 
 One pass counts the documents of each template word, a second judges every document
 inside its row; nothing is shuffled but the counts, one per template word and task.
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, let, pick
 
 MIN_MATCH_PCT = 80
-ANCHORS = 4
 
 # Base phrases with their labels.
 BASE_PHRASES = [
@@ -91,26 +90,26 @@ def license_words(text: Column) -> Column:
 
 
 def template_word_counts(docs: DataFrame, text_col: str = "text", rows: list[tuple] | None = None) -> dict:
-    """Documents that hold each template word; the templates, a parameter, bound it."""
-    vocabulary = sorted({w for r in rows or _index_rows() for w in r[2]})
+    """Documents that hold each mandatory word; the templates, a parameter, bound it."""
+    vocabulary = sorted({w for r in rows or _index_rows() for w in r[2][r[4]:r[5]]})
     lit = F.array(*[F.lit(w) for w in vocabulary])
     got = (pick(docs, [text_col]).select(F.explode(F.array_intersect(license_words(F.col(text_col)), lit)).alias("w"))
            .groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect())
     return {w: 0 for w in vocabulary} | {r["w"]: r["n"] for r in got}
 
 
-def rare_anchors(rows: list[tuple], counts: dict, anchors: int = ANCHORS) -> list[tuple[str, int, int]]:
-    """Postings (word, template, place) of each template's rarest words; one word is
-    enough where all must match."""
+def rare_anchors(rows: list[tuple], counts: dict) -> list[tuple[str, int, int]]:
+    """The posting (word, template, place) of each template's rarest mandatory word: all
+    of these must be in place, so one place of one word finds every match."""
     out = []
-    for t, (base, _, w, *_rest) in enumerate(rows):
-        rare = sorted(set(w), key=lambda x: (counts[x], x))[:1 if base else anchors]
-        out += [(x, t, j) for j, x in enumerate(w) if x in rare]
+    for t, (_, _, w, _, a, b) in enumerate(rows):
+        j = min(range(a, b), key=lambda j: (counts[w[j]], w[j], j))
+        out.append((w[j], t, j))
     return out
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                  phrases=BASE_PHRASES, templates=TEMPLATES, anchors: int = ANCHORS,
+                  phrases=BASE_PHRASES, templates=TEMPLATES,
                   min_match_pct: int = MIN_MATCH_PCT) -> DataFrame:
     """All documents with what was found in them.
 
@@ -118,7 +117,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     or not, start word, words in place, words) and ``score`` (the largest share of words
     in place, 0 without a match)."""
     rows = _index_rows(phrases, templates, min_match_pct)
-    postings = rare_anchors(rows, template_word_counts(docs, text_col, rows), anchors)
+    postings = rare_anchors(rows, template_word_counts(docs, text_col, rows))
     by_word: dict[str, list] = {}
     for w, t, j in postings:
         by_word.setdefault(w, []).append((t, j))
