@@ -131,14 +131,10 @@ LICENSES = rf"""
 WITH tw(t, base, label, j, w, n, need, must, n_must) AS (VALUES {_values(_TW)}),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 x AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM d),
-df AS (SELECT v.w, count(DISTINCT doc_id) AS df FROM (SELECT DISTINCT w FROM tw) v LEFT JOIN x USING (w) GROUP BY v.w),
-rare AS (SELECT t, w, row_number() OVER (PARTITION BY t ORDER BY df, w) AS r
-  FROM (SELECT DISTINCT t, w FROM tw) JOIN df USING (w)),
-hit AS (SELECT x.doc_id, tw.t, x.i - tw.j AS start, count(*) AS same, count(*) FILTER (WHERE tw.must) AS same_must,
-    bool_or(rare.r <= CASE WHEN tw.base THEN 1 ELSE {license_scan.ANCHORS} END) AS anchored
-  FROM x JOIN tw USING (w) JOIN rare ON rare.t = tw.t AND rare.w = tw.w GROUP BY ALL),
+hit AS (SELECT x.doc_id, tw.t, x.i - tw.j AS start, count(*) AS same, count(*) FILTER (WHERE tw.must) AS same_must
+  FROM x JOIN tw USING (w) GROUP BY ALL),
 ok AS (SELECT DISTINCT hit.doc_id, hit.t, tw.base, tw.label, start, same::DOUBLE / tw.n AS share
-  FROM hit JOIN tw ON tw.t = hit.t WHERE anchored AND same >= need AND same_must = n_must),
+  FROM hit JOIN tw ON tw.t = hit.t WHERE same >= need AND same_must = n_must),
 per AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word,
     max(start) FILTER (WHERE base) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
