@@ -5,8 +5,9 @@ hashed; the distinct documents of every hash are counted; the lines of hashes in
 at least ``min_docs`` documents go, and each document is put together again from
 its other lines by position. Only hashes and positions are shuffled for the count:
 the two-step count (distinct (hash, document), then documents per hash) combines
-on the map side, so a line of a third of all documents costs a row per task. Texts
-move once, to meet their positions.
+on the map side, so a line of a third of all documents costs a row per task. The
+frequent keys are joined back by a broadcast of measured size, or with hot keys salted.
+Texts move once, to meet their positions.
 
 Defined cases: a null or empty text is one empty line; a key without characters is
 never dropped; documents are told apart by id, null ids counting as one document;
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import lookup_join
 from ..sources.files import pin_table
 from .common import WS, ascii_lower, let, pick, sha256_hex
 
@@ -49,7 +51,7 @@ def dedup_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS, id_col: str = "doc
     frequent = (keyed.select("_h", "_g", "_id").distinct()
                 .groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"))
                 .filter(F.col("_n") >= min_docs).select("_h", "_g"))
-    drops = (keyed.join(frequent, ["_h", "_g"])
+    drops = (lookup_join(keyed, pin_table(frequent.withColumn("_hit", F.lit(True)), "line-frequent"), ["_h", "_g"], salt_source="_row")
              .groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_drop"))
              .withColumnsRenamed({"_id": "_did", "_row": "_drow"}))
     both = d.withColumn("_row", row_key).join(
