@@ -108,7 +108,7 @@ l1 AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
     length(regexp_replace(line, '[^|»›•]', '', 'g')) AS bars,
     length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM l0),
 l2 AS (SELECT *, n > 0 AND (sym * 2 > n OR (n >= 5 AND bangs * 10 > n * 3)
-    OR (n >= {_Q.BARE_WORDS} AND NOT regexp_matches(line, '[.,;:!?"…。、]'))
+    OR (n >= {_Q.BARE_WORDS} AND NOT regexp_matches(line, '[.,;:!?"…。、{_Q.SCRIPT_MARKS}]'))
     OR (bars >= 3 AND bars * 5 > n)
     OR (n <= {_Q.BOILERPLATE_WORDS} AND regexp_matches(lower(line), '{"|".join(_Q.BOILERPLATE)}'))) AS fails FROM l1),
 l3 AS (SELECT doc_id, CAST(count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS BIGINT) AS n_dup_lines,

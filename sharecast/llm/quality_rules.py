@@ -37,10 +37,13 @@ MAX_LOST_PCT = 50
 BARE_WORDS = 12
 BOILERPLATE_WORDS = 15
 
-# Phrases of page furniture.
+# Phrases of page furniture (English, French, German, Spanish).
 BOILERPLATE = [
     "all rights reserved", "click here", "cookie policy", "enable javascript", "lorem ipsum",
     "privacy policy", "sign in to continue", "subscribe to our newsletter", "terms of use",
+    "tous droits réservés", "cliquez ici", "politique de confidentialité", "mentions légales",
+    "alle rechte vorbehalten", "hier klicken", "datenschutzerklärung", "allgemeine geschäftsbedingungen",
+    "todos los derechos reservados", "haga clic aquí", "política de privacidad", "aviso legal",
 ]
 
 #: Sentence and clause marks beyond the fixed Latin and CJK ones, by code point (Unicode's
@@ -55,6 +58,14 @@ SCRIPT_MARKS = "".join("-".join(f"\\x{{{x}}}" for x in span.split("-")) for span
     "11641-11642 1173C-1173E 11C41-11C43 16B37-16B39").split())
 
 
+def any_phrase(phrases: list[str]) -> str:
+    """A pattern of the phrases, by first letter, so that few branches are tried per place."""
+    heads: dict[str, list[str]] = {}
+    for x in phrases:
+        heads.setdefault(x[0], []).append(x[1:])
+    return "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in heads.items())
+
+
 def chars_of(c: Column, chars: str) -> Column:
     """How many characters of ``c`` are in the regex class body ``chars``."""
     return F.length(F.regexp_replace(c, f"[^{chars}]+", ""))
@@ -86,23 +97,20 @@ def repeated_window_words(w: Column, n: int = WINDOW) -> Column:
     return F.when(F.size(w) > n, repeated).otherwise(0)
 
 
-def line_fails(line: Column, more_marks: str = "") -> Column:
-    """True for a line that a punctuation, navigation or boilerplate rule removes; the
-    regex class body ``more_marks`` has punctuation marks beyond the fixed ones."""
+def line_fails(line: Column) -> Column:
+    """True for a line that a punctuation, navigation or boilerplate rule removes."""
     n = F.size(F.split(F.regexp_replace(line, f"^[{WS_CLASS}]+", ""), f"[{WS_CLASS}]+"))
     symbols, bangs, bars = chars_of(line, r"#*$%&<>"), chars_of(line, "!"), chars_of(line, "|»›•")
-    bare = (n >= BARE_WORDS) & ~F.rlike(line, F.lit(r'[.,;:!?"…。、]'))
-    if more_marks:
-        bare = bare & ~F.rlike(line, F.lit(f"[{more_marks}]"))
+    bare = (n >= BARE_WORDS) & ~F.rlike(line, F.lit(r'[.,;:!?"…。、]')) & ~F.rlike(line, F.lit(f"[{SCRIPT_MARKS}]"))
     punctuation = (symbols * 2 > n) | ((n >= 5) & (bangs * 10 > n * 3)) | bare
     navigation = (bars >= 3) & (bars * 5 > n)
-    boilerplate = (n <= BOILERPLATE_WORDS) & F.rlike(F.lower(line), F.lit("|".join(BOILERPLATE)))
+    boilerplate = (n <= BOILERPLATE_WORDS) & F.rlike(F.lower(line), F.lit(any_phrase(BOILERPLATE)))
     return F.rlike(line, F.lit(f"[^{WS_CLASS}]")) & (punctuation | navigation | boilerplate)
 
 
 def apply_quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                        keep: tuple[str, ...] = (), more_marks: str = "") -> DataFrame:
-    """All documents with their measures and verdict; ``more_marks`` as in ``line_fails``.
+                        keep: tuple[str, ...] = ()) -> DataFrame:
+    """All documents with their measures and verdict.
 
     Returns ``id_col``, the columns of ``keep``, ``text_col`` (cleaned: lines that
     failed are gone), ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
@@ -117,7 +125,7 @@ def apply_quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
         chars_of(F.col("_text"), r"#*$%&|<>").alias("_symbols"),
         let(real, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("_dups"),
         repeated_window_words(F.col("_w")).alias("_repeats"),
-        F.array_join(F.filter("_lines", lambda x: ~line_fails(x, more_marks)), "\n").alias("_clean"))
+        F.array_join(F.filter("_lines", lambda x: ~line_fails(x)), "\n").alias("_clean"))
     d = d.withColumn("_lost", F.col("_chars") - word_chars(F.col("_clean")))
     failed = (F.col("_n") < MIN_WORDS) | (100 * F.col("_repeats") > MAX_REPEAT_PCT * F.col("_n"))
     judged = F.struct(

@@ -39,6 +39,8 @@ def dedup_lines(rows, min_docs=10):
 def line_fails(line):
     from sharecast.llm import quality_rules as Q
 
+    PUNCTUATION = '[.,;:!?"…。、' + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", Q.SCRIPT_MARKS) + "]"
+
     n = len(WORD.findall(line))
     if not n:
         return False
@@ -46,7 +48,7 @@ def line_fails(line):
         return sum(c in chars for c in line)
     bars = count("|»›•")
     return (count("#*$%&<>") * 2 > n or (n >= 5 and count("!") * 10 > n * 3)
-            or (n >= Q.BARE_WORDS and not any(c in '.,;:!?"…。、' for c in line))
+            or (n >= Q.BARE_WORDS and not re.search(PUNCTUATION, line))
             or (bars >= 3 and bars * 5 > n)
             or (n <= Q.BOILERPLATE_WORDS and any(p in line.lower() for p in Q.BOILERPLATE)))
 
