@@ -25,14 +25,17 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without the lines that failed. Sentence
-    and clause marks of all scripts count as punctuation."""
-    judged = quality_rules.apply_quality_rules(docs, keep=KEEP, more_marks=quality_rules.SCRIPT_MARKS)
+    """Documents that pass the quality rules, without the lines that failed. A null text
+    has no words and goes; null ids, repeated rows and ids are judged row by row; an empty
+    table gives no rows."""
+    judged = quality_rules.apply_quality_rules(docs, keep=KEEP)
     return _documents(judged.filter("kept"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them share."""
+    """Documents without the lines that ten or more of them share. A null text is one empty
+    line; documents count by id (null ids as one), repeated rows each come back; a document
+    whose lines all go stays with an empty text; an empty table gives no rows."""
     return _documents(line_dedup.dedup_lines(docs, keep=KEEP))
 
 
@@ -61,13 +64,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (none, once or twice)."""
+    """Each document as often as the mix takes it (none, once or twice). A null or empty
+    text has no words, so it only gets the certain copies of its source; a null source is a
+    source; repeated rows share a draw and are taken or left alike; an empty table gives no
+    rows."""
     mixed = source_mix.mix_sources(docs, keep=("text", "lang", "n_chars")).filter("copies > 0")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of the ids and of the decoded text, per copy."""
+    """Token count and digests of the ids and of the decoded text, per copy. A null text
+    counts as empty and has no tokens; null and repeated ids each give their row; an empty
+    table gives no rows."""
     vocabulary = registry.default_vocabulary()
     return bpe.token_digests(bpe.decode_ids(bpe.encode_texts(docs, vocabulary), vocabulary))
 
