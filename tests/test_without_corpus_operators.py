@@ -11,7 +11,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 def test_entry_imports_without_the_optional_parts(tmp_path):
     shutil.copytree(os.path.join(ROOT, "sharecast"), tmp_path / "sharecast", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
-    code = ("import __spark_entry__ as e; q = e.queries(); assert len(q) == len(e.oracle_sql()) == 55, len(q); "
+    code = ("import __spark_entry__ as e; q = e.queries(); assert len(q) == len(e.oracle_sql()) == 64, len(q); "
             "assert not any(k.startswith('op') and k[2].isdigit() or k == 'pipeline' for k in q)")
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
