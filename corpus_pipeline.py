@@ -77,7 +77,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     counts as empty and has no tokens; null and repeated ids each give their row; an empty
     table gives no rows."""
     vocabulary = registry.default_vocabulary()
-    return bpe.token_digests(bpe.decode_ids(bpe.encode_texts(docs, vocabulary), vocabulary))
+    # the ids are written: encoding and decoding in one task would take two Python workers
+    ids = pin_table(bpe.encode_texts(docs, vocabulary), "pipeline-ids")
+    return bpe.token_digests(bpe.decode_ids(ids, vocabulary))
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_copies", near_copies),
