@@ -49,7 +49,7 @@ from ..operators.joins import lookup_join
 from ..operators.ranks import PID, POS, freeze_order, rank_and_accumulate
 from ..sources.files import drop_files, pin_table, release_shuffles
 from .common import broadcast_if_small, pick, ship_package
-from .components import connected_components
+from .components import connected_components, shorten
 from .text_hash import BLANKS, CHUNK_BYTES, C1, C2, GOLD, mix, word_hashes
 
 NGRAM = 3
@@ -276,8 +276,12 @@ def _emit_keys(n: int, num: int, den: int):
 
 
 def _scan_lists(batches):
-    """Rows in key order: links found in the tasks (their key is null) pass, and each
-    entry of a list links to the list's first id."""
+    """Rows in key order to links: those found in the tasks (their key is null), and one
+    from each entry of a list to the list's first id; a task's links are shortened."""
+    return shorten(_list_links(batches))
+
+
+def _list_links(batches):
     import pyarrow as pa
 
     key, head = None, 0
@@ -475,7 +479,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = d.mapInArrow(_emit_keys(n, num, den), "key bigint, id bigint, least bigint")
     dealt = rows.repartition(parts, F.coalesce("key", F.xxhash64("id"))).sortWithinPartitions("key", "id")
     links = dealt.mapInArrow(_scan_lists, "id bigint, least bigint")
-    clusters = pin_table(connected_components(links, "id", "least")
+    clusters = pin_table(connected_components(links, "id", "least", shortened=True)
                          .select(F.col("node").alias("mid"), F.col("component").alias("cluster")), "near-clusters")
     del rows, dealt, links
     release_shuffles(spark)

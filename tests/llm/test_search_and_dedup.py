@@ -45,6 +45,29 @@ def test_components_match_union_find(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+@pytest.mark.parametrize("chunk", [5, 1000])
+def test_shortened_edges_are_stars_of_the_same_components(monkeypatch, chunk):
+    monkeypatch.setattr(components, "CHUNK_EDGES", chunk)
+    rnd = random.Random(3)
+    edges = [(i, i + 1) for i in range(40)] + [(rnd.randrange(50, 90), rnd.randrange(50, 90)) for _ in range(30)]
+    edges += [(99, 99), (99, 99), (70, 70)] + edges[:4]
+    rnd.shuffle(edges)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*edges[i:i + 3], strict=True)], ["a", "b"])
+               for i in range(0, len(edges), 3)] + [pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])]
+    out = [tuple(r.values()) for b in components.shorten(batches) for r in b.to_pylist()]
+
+    def labels(pairs):
+        nodes, least = components.least_vertices(*np.array(pairs).T)
+        return dict(zip(nodes.tolist(), least.tolist(), strict=True))
+
+    assert labels(out) == labels(edges) and all(a >= b for a, b in out)
+    if chunk > len(edges):
+        label = labels(edges)
+        alone = {r for r in label if list(label.values()).count(r) == 1}          # loops only
+        assert 99 in alone and sorted(out) == sorted((v, r) for v, r in label.items() if v != r or v in alone)
+    assert list(components.shorten([])) == []
+
+
 def test_contraction_in_small_chunks_keeps_components(monkeypatch):
     monkeypatch.setattr(components, "CHUNK_EDGES", 7)
     rnd = random.Random(8)
