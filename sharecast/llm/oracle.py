@@ -3,7 +3,7 @@ count, join and window over plain rows where the plans work inside arrays."""
 
 from __future__ import annotations
 
-from . import license_scan, quality_rules, source_mix, url_filter
+from . import jaccard_join, license_scan, quality_rules, source_mix, url_filter
 from .common import LOWER, UPPER
 
 _LOWER = f"'{UPPER}', '{LOWER}'"
@@ -46,6 +46,30 @@ SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
 FROM k LEFT JOIN f USING (key) GROUP BY doc_id
 """
 
+_NGRAM, _NUM, _DEN = jaccard_join.NGRAM, jaccard_join.NUM, jaccard_join.DEN
+
+#: Sets of shingles as texts (a word has no space in it), a self-join on equal shingles
+#: that counts the common ones, and the reachable least id.
+NEAR = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + {_NGRAM - 1}], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - {_NGRAM - 1}, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (
+  SELECT c.a, c.b FROM common c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b
+  WHERE {_DEN} * c.shared >= {_NUM} * (x.size + y.size - c.shared)),
+reach(doc_id, seen) AS (
+  SELECT a, a FROM link UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.seen),
+least AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.size, 0) AS n_shingles, coalesce(least.component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
 URLS = f"""
 WITH rules(host, path, verdict) AS (VALUES {_values(url_filter.QUERY_RULES)}),
 p AS (SELECT page_id,
@@ -227,6 +251,7 @@ ORACLE_SQL = {
     "op1_chat_format": CHAT,
     "op2_line_dedup": LINES,
     "op3_url_filter": URLS,
+    "op9_jaccard_join": NEAR,
     "op4_source_mix": MIX,
     "op6_quality_rules": QUALITY,
     "op10_license_scan": LICENSES,
