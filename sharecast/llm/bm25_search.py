@@ -45,6 +45,7 @@ from .text_hash import NOT_ALNUM, word_hashes
 
 K = 10
 K1, B = 1.2, 0.75
+DIGITS = 9                   # decimals of the scores that the registered query returns
 SEGMENT_WORDS = 1 << 20
 SHARD_WORDS = 8 << 20
 BLOCK_TERMS = 2_000_000

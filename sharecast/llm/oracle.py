@@ -3,7 +3,7 @@ count, join and window over plain rows where the plans work inside arrays."""
 
 from __future__ import annotations
 
-from . import jaccard_join, license_scan, quality_rules, source_mix, url_filter
+from . import bm25_search, jaccard_join, license_scan, quality_rules, source_mix, url_filter
 from .common import LOWER, UPPER
 
 _LOWER = f"'{UPPER}', '{LOWER}'"
@@ -70,6 +70,26 @@ SELECT w.doc_id, coalesce(n.size, 0) AS n_shingles, coalesce(least.component_id,
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
+_BM = bm25_search
+
+#: Term counts by words, a join of the asked terms with all documents, and the best of all.
+SEARCH = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents WHERE doc_id IS NOT NULL),
+x AS (SELECT doc_id, unnest(ws) AS w FROM d),
+tf AS MATERIALIZED (SELECT doc_id, w, count(*) AS f FROM x GROUP BY ALL),
+df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+n AS (SELECT count(*)::DOUBLE AS n, sum(len(ws))::DOUBLE / count(*)::DOUBLE AS mean FROM d),
+q AS (SELECT tf.doc_id AS query_id, w, f * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS weight
+  FROM tf JOIN df USING (w), n WHERE tf.doc_id % 100 = 0),
+size AS (SELECT doc_id, len(ws)::DOUBLE AS size FROM d),
+hit AS (SELECT query_id, tf.doc_id, sum(weight * f * {_BM.K1 + 1!r}::DOUBLE
+      / (f + {_BM.K1}::DOUBLE * (1 - {_BM.B}::DOUBLE + {_BM.B}::DOUBLE * size / mean)) ORDER BY w) AS score
+  FROM q JOIN tf USING (w) JOIN size USING (doc_id), n GROUP BY query_id, tf.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hit)
+SELECT query_id, rank, doc_id, round(score, {_BM.DIGITS}) AS score FROM ranked WHERE rank <= {_BM.K}
+"""
+
 URLS = f"""
 WITH rules(host, path, verdict) AS (VALUES {_values(url_filter.QUERY_RULES)}),
 p AS (SELECT page_id,
@@ -253,6 +273,7 @@ ORACLE_SQL = {
     "op3_url_filter": URLS,
     "op9_jaccard_join": NEAR,
     "op4_source_mix": MIX,
+    "op5_bm25_search": SEARCH,
     "op6_quality_rules": QUALITY,
     "op10_license_scan": LICENSES,
     "op11_phrase_mining": PHRASES,

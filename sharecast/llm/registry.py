@@ -68,9 +68,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document whose id is divisible by 100, as a query against all documents."""
+    """Every document whose id is divisible by 100, as a query against all documents;
+    scores to ``DIGITS`` decimals, below which the order of adding would show."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    return bm25_search.search(bm25_search.build_index(docs), docs.filter(F.col("doc_id") % 100 == 0))
+    found = bm25_search.search(bm25_search.build_index(docs), docs.filter(F.col("doc_id") % 100 == 0))
+    return found.withColumn("score", F.round("score", bm25_search.DIGITS))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
