@@ -280,6 +280,14 @@ def test_search_query_matches_brute_force(spark, sf):
     check_search(got, rows, {d: t for d, t in rows if d % 100 == 0})
 
 
+def test_search_repeated_rows_and_query_ids(spark):
+    rows = [(1, "a b"), (1, "a b"), (2, "a c c"), (3, "z"), (4, "b")]
+    index = bm25_search.build_index(documents(spark, rows).repartition(3))
+    got = bm25_search.search(index, documents(spark, [(7, "a b"), (7, "a"), (8, "q")])).collect()
+    assert sorted(r.doc_id for r in got) == [1, 1, 2, 4]
+    check_search(got, rows, {7: "a b a", 8: "q"})
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_search_cases(spark, monkeypatch, small):
     if small:                                   # many segments, shards, query blocks and doc blocks
