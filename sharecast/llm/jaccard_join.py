@@ -16,8 +16,12 @@ The boundary is set by cost: the largest size up to which enumerating makes at m
 
 Keys that several documents of one task share are linked there to the least of them,
 so a key reaches the shuffle once per task however many documents hold it; the lists
-are then scanned in key order and yield one link per entry, never pairs. Linked
-documents form candidate clusters, where equal sets collapse to one representative.
+are then scanned in key order and yield one link per entry, never pairs. Near copies
+share most of their keys and would be linked once in every task that has one of these,
+so keys are scanned twice: first the ``PILOT`` least keys of every document, which link
+nearly all near copies; then all keys, with each document under the least id it is linked
+to so far, so that a list only links what is not linked yet. Linked documents form
+candidate clusters, where equal sets collapse to one representative.
 
 Texts that share a passage may chain into one large cluster without a true link. A
 cluster of more than ``BLOCK_ITEMS`` elements therefore first counts, in one shuffle of
@@ -57,6 +61,7 @@ NUM, DEN = 90, 100          # the threshold as a fraction
 SUBSET_COST = 2
 SPARE = 2                   # least groups beyond those that may differ; see spare_groups
 BLOCK_ITEMS = 1_000_000
+PILOT = 4                   # keys of a document that are scanned ahead of the others
 
 
 def ngram_sets(texts: list[bytes], n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -233,9 +238,32 @@ def _chunks(texts: list[bytes]):
         yield start, len(texts)
 
 
-def _emit_keys(n: int, num: int, den: int):
-    """Per task: (key, least id of the task, null) per key, and a link (null, id, least
-    id) for each other document that has it."""
+def _document_keys(n: int, num: int, den: int):
+    """(id, text) to (id, keys): a document's distinct keys in ascending order, as bytes."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            texts = _texts(b.column(1))
+            for lo, hi in _chunks(texts):
+                keys, of = candidate_keys(*ngram_sets(texts[lo:hi], n), num, den)
+                order = np.lexsort((keys, of))
+                keys, of = keys[order], of[order]
+                if len(keys):
+                    new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])))
+                    keys, of = keys[new], of[new]
+                at = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=hi - lo)))) * 8
+                data = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(keys)])
+                made = pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), data.cast(pa.binary())], ["id", "keys"])
+                yield made.filter(pa.array(at[1:] > at[:-1]))
+
+    return run
+
+
+def _emit_keys(first: int | None = None):
+    """(id, keys) to rows per task: (key, least id of the task, null) per key, and a link
+    (null, id, least id) for each other document that has it. With ``first`` only so many
+    keys of a document."""
     import pyarrow as pa
 
     def flush(keys, ids):
@@ -256,15 +284,9 @@ def _emit_keys(n: int, num: int, den: int):
     def run(batches):
         keys, ids, held = [], [], 0
         for b in batches:
-            ident = b.column(0)
-            texts = _texts(b.column(1))
-            known = ident.is_valid().to_numpy(zero_copy_only=False)
-            values = ident.fill_null(0).to_numpy(zero_copy_only=False)
-            for lo, hi in _chunks(texts):
-                k, d = candidate_keys(*ngram_sets(texts[lo:hi], n), num, den)
-                ok = known[lo:hi][d]
-                keys.append(k[ok])
-                ids.append(values[lo:hi][d[ok]])
+            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                keys.append(np.frombuffer(x.as_buffer(), np.uint64)[:first])
+                ids.append(np.full(len(keys[-1]), i))
                 held += len(keys[-1])
                 if held >= 4_000_000:
                     yield from flush(keys, ids)
@@ -303,6 +325,13 @@ def _list_links(batches):
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["id", "least"])
 
 
+def _key_links(keyed: DataFrame, parts: int, first: int | None = None) -> DataFrame:
+    """Links (id, least) of the documents (id, keys) that share one of their (``first``) keys."""
+    rows = keyed.mapInArrow(_emit_keys(first), "key bigint, id bigint, least bigint")
+    dealt = rows.repartition(parts, F.coalesce("key", F.xxhash64("id"))).sortWithinPartitions("key", "id")
+    return dealt.mapInArrow(_scan_lists, "id bigint, least bigint")
+
+
 def _digest(grams: np.ndarray) -> bytes:
     return b"".join(mix(grams ^ c).sum(dtype=np.uint64).tobytes() for c in (C1, C2))
 
@@ -476,12 +505,17 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spark = d.sparkSession
     ship_package(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = d.mapInArrow(_emit_keys(n, num, den), "key bigint, id bigint, least bigint")
-    dealt = rows.repartition(parts, F.coalesce("key", F.xxhash64("id"))).sortWithinPartitions("key", "id")
-    links = dealt.mapInArrow(_scan_lists, "id bigint, least bigint")
+    keyed, path = pin_table(d.filter("id is not null").mapInArrow(_document_keys(n, num, den), "id bigint, keys binary"),
+                            "near-keys", with_path=True)
+    pilot = pin_table(connected_components(_key_links(keyed, parts, PILOT), "id", "least", shortened=True)
+                      .filter("node != component").toDF("mid", "root"), "near-pilot")
+    rooted = keyed.join(broadcast_if_small(pilot), F.col("id") == F.col("mid"), "left").select(
+        F.coalesce("root", "id").alias("id"), "keys")
+    links = _key_links(rooted, parts).unionByName(pilot.toDF("id", "least"))
     clusters = pin_table(connected_components(links, "id", "least", shortened=True)
                          .select(F.col("node").alias("mid"), F.col("component").alias("cluster")), "near-clusters")
-    del rows, dealt, links
+    drop_files(spark, path)
+    del rooted, links
     release_shuffles(spark)
     measured = pin_table(
         d.join(broadcast_if_small(clusters), F.col("id") == F.col("mid"), "left").select("id", "cluster", "text")
