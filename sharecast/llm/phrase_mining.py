@@ -50,8 +50,9 @@ TOP = 2000
 #: Parts of a language's frequent words that the first batches of branches cover.
 SHARES = (0.125, 0.5, 1.0)
 CHUNK_BYTES = 1 << 20
-FLUSH = 2_000_000           # phrase occurrences aggregated at once in a task
-VOCABULARY = 400_000        # words counted at once in a task
+FLUSH = 1_000_000           # phrase occurrences aggregated at once in a task
+VOCABULARY = 150_000        # words counted at once in a task
+WORD_ROWS = 50_000          # words given to Spark at once
 FILTER_WORDS = 1 << 20      # 64-bit words of a filter at most (8 MB); a power of two
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 CLASSES = np.array([2 if b in PIECE_ENDS else 1 if b in b" \t" else 0 for b in range(256)], np.uint8)
@@ -116,15 +117,18 @@ def _encode(seed: int):
             ["codes", "ids", "lang", "word", "code", "n"])
 
     def word_rows(counted):
-        keys = list(counted)
-        code, n = np.array([counted[k] for k in keys], np.int64).reshape(-1, 2).T
-        return pa.RecordBatch.from_arrays(
-            [pa.nulls(len(keys), pa.binary()), pa.nulls(len(keys), pa.binary()),
-             pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()),
-             pa.array(code), pa.array(n)], ["codes", "ids", "lang", "word", "code", "n"])
+        for b in counted.to_batches(max_chunksize=WORD_ROWS):
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(b), pa.binary()), pa.nulls(len(b), pa.binary()),
+                 *(b.column(c) for c in ("lang", "word", "code", "n"))], ["codes", "ids", "lang", "word", "code", "n"])
+
+    def merged(held):
+        added = pa.concat_tables(held).group_by(["lang", "word", "code"], use_threads=False).aggregate([("n", "sum")])
+        return added.select(["lang", "word", "code", "n_sum"]).rename_columns(["lang", "word", "code", "n"])
 
     def run(batches):
-        counted = {}
+        # words as Arrow columns: as Python objects they would take ten times the memory
+        held, rows = [], 0
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1).cast("binary").to_pylist()
             lo, size = 0, 0
@@ -136,14 +140,20 @@ def _encode(seed: int):
                 lo, size = i + 1, 0
                 if len(ids):
                     yield chunk_row(codes, ids)
-                for (lang, word, n), code in zip(vocabulary, codes[1:].view(np.int64).tolist(), strict=True):
-                    had = counted.get((lang, word))
-                    counted[lang, word] = (code, n + (had[1] if had else 0))
-                if len(counted) >= VOCABULARY:
-                    yield word_rows(counted)
-                    counted = {}
-        if counted:
-            yield word_rows(counted)
+                if vocabulary:
+                    lang, word, n = zip(*vocabulary, strict=True)
+                    held.append(pa.table({"lang": pa.array(lang, pa.string()), "word": pa.array(word, pa.binary()).cast(pa.string()),
+                                          "code": codes[1:].view(np.int64).copy(), "n": pa.array(n, pa.int64())}))
+                    rows += len(word)
+                    del codes, ids, vocabulary, lang, word, n
+                if rows >= 2 * VOCABULARY:
+                    held = [merged(held)]
+                    rows = held[0].num_rows
+                    if rows >= VOCABULARY:
+                        yield from word_rows(held.pop())
+                        rows = 0
+        if held:
+            yield from word_rows(merged(held))
 
     return run
 
@@ -193,10 +203,15 @@ class _Counter:
     def flush(self):
         import pyarrow as pa
 
-        length, prefix, last, left, right = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        self.held, self.size = [], 0
-        order = np.argsort(extend(prefix, last))
-        length, prefix, last, left, right = (x[order] for x in (length, prefix, last, left, right))
+        columns, self.held, self.size = [list(x) for x in zip(*self.held, strict=True)], [], 0
+        for i, parts in enumerate(columns):      # a column at a time: its parts go as it is made
+            columns[i] = np.concatenate(parts)
+            parts.clear()
+        order = np.argsort(extend(columns[1], columns[2]))
+        for i, x in enumerate(columns):
+            columns[i] = x[order]
+        del order, x
+        length, prefix, last, left, right = columns
         new = np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (last[1:] != last[:-1]) | (length[1:] != length[:-1])))
         at = np.flatnonzero(new)
         both = [np.where(np.minimum.reduceat(x, at) == np.maximum.reduceat(x, at), x[at], 0) for x in (left, right)]
