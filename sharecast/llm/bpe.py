@@ -1,12 +1,12 @@
-"""Byte-pair encoding and decoding by per-prefix dynamic programming.
+"""Byte-pair encoding and decoding by longest tokens with backtracking.
 
-For every prefix of a pre-token exactly one token can be the last of its encoding.
-An Aho-Corasick automaton over the vocabulary yields, at every end position, the
-tokens that are suffixes of the prefix; a token fits if it starts the text, or if it
-is compatible with the last token of the prefix before it, that is, if merging the
-two tokens' bytes would leave exactly this pair. The token that fits is stored per
-prefix and back-pointers give the ids: the very ids that merging by rank gives, in
-time linear in the text.
+A row of tokens is the encoding of its bytes exactly if every two neighbours are
+compatible, that is, if merging the two tokens' bytes would leave exactly this pair; so
+there is one such row. It is searched from the left: the longest token that a trie of the
+vocabulary finds comes next if it is compatible with the one before it, else the next
+shorter one. Where none is, the token before is taken back and that position is marked as
+one that no encoding reaches, so every position is given up once at most: the very ids
+that merging by rank gives, in time linear in the text.
 
 Two tokens are compatible unless a merge crosses their border: a right-edge part x of
 the first and a left-edge part y of the second merge at a rank before either part is
@@ -15,7 +15,7 @@ used up inside its own token (of equal ranks the left one is merged first).
 Texts are split at added tokens, then by the byte-level pre-tokenizer's pattern.
 Encodings of pre-tokens and of space-separated chunks are kept in caches of
 ``CACHE`` entries, emptied when full. The vocabulary file is read on the driver and
-broadcast (its size is fixed); each Python worker builds the automaton once. There is
+broadcast (its size is fixed); each Python worker builds the trie once. There is
 no shuffle: a document is encoded where it is read.
 
 Defined cases: a null or empty text has no ids; repeated rows are encoded alike; texts
@@ -38,6 +38,7 @@ from .common import pick, sha256_hex, ship_package
 CACHE = 150_000
 CACHED_CHARS = 64
 ROWS_AT_ONCE = 500
+MARKS = frozenset(".,;:!?")
 
 # Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\t-\r\x85\p{Z}\p{L}\p{N}]+"
@@ -69,7 +70,7 @@ class Decoder:
 
 
 class Encoder(Decoder):
-    """One vocabulary: token tables, the automaton, and caches."""
+    """One vocabulary: token tables, the trie, and caches."""
 
     def __init__(self, content: bytes, cache: int = CACHE):
         import ahocorasick
@@ -103,18 +104,19 @@ class Encoder(Decoder):
             self.left[i] = self._edge(i, parts, 0, never)
         self.fits: dict[int, bool] = {}
         self.limit = cache
-        self.automaton = ahocorasick.Automaton()
-        self.packed: dict[str, bytes] = {}       # tokens that merging makes, with packed ids
+        self.trie = ahocorasick.Automaton()
+        self.number: dict[str, int] = {}         # tokens that merging makes
+        self.packed: dict[str, bytes] = {}       # their packed ids
         for text, i in ids.items():
             if i not in parts or not self._crossed(*parts[i][:2], before=parts[i][2]):
                 name = text.decode("latin-1")
-                self.packed[name] = pack([i])
-                self.automaton.add_word(name, (i, len(name)))
-        self.automaton.make_automaton()
+                self.number[name], self.packed[name] = i, pack([i])
+                self.trie.add_word(name, i)
+        self.longest = max(map(len, self.number), default=0)
         self.pieces_of = regex.compile(PATTERN).findall
         self.loose_space = re.compile(r" (?:\s|\Z)").search
         self.pieces = _Cache(self._piece, cache)
-        self.chunks = _Cache(lambda part: self._chunk(" " + part), cache)
+        self.chunks = _Cache(self._spaced, cache)
 
     @staticmethod
     def _edge(i: int, parts: dict, side: int, never: int) -> list[tuple[int, int]]:
@@ -146,31 +148,45 @@ class Encoder(Decoder):
         text = piece if piece.isascii() else piece.encode().decode("latin-1")
         if text in self.packed:
             return self.packed[text]
-        fits = self.fits
-        last, begin = [-1] * (len(text) + 1), [0] * (len(text) + 1)      # per prefix
-        for end, (token, size) in self.automaton.iter(text):
-            end += 1
-            if last[end] < 0:
-                start = end - size
-                if start:
-                    before = last[start]
-                    if before < 0:
-                        continue
-                    known = fits.get(before << 32 | token)
-                    if not (self._meets(before, token) if known is None else known):
-                        continue
-                last[end], begin[end] = token, start
-        out, at = [], len(text)
-        while at:
-            start = begin[at]
-            out.append(self.packed[text[start:at]])
-            at = start
-        out.reverse()
-        return b"".join(out)
+        fits, number, prefix, longest = self.fits, self.number, self.trie.longest_prefix, self.longest
+        out, starts, dead = [], [], set()        # tokens and their starts; ends that lead nowhere
+        at, size, end = 0, 0, len(text)
+        while at < end:
+            size = size or prefix(text[at:at + longest])
+            while size:
+                token = number.get(text[at:at + size])
+                if token is not None and at + size not in dead:
+                    if not out:
+                        break
+                    known = fits.get(out[-1] << 32 | token)
+                    if self._meets(out[-1], token) if known is None else known:
+                        break
+                size -= 1
+            if size:
+                out.append(token)
+                starts.append(at)
+                at, size = at + size, 0
+                continue
+            if not out:
+                raise ValueError("the vocabulary cannot spell a text")
+            dead.add(at)                         # take the last token back, go on with shorter ones
+            out.pop()
+            size, at = at - starts[-1], starts.pop()
+        return pack(out)
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join([self.pieces[p] for p in self.pieces_of(chunk)])
 
+    def _spaced(self, part: str) -> bytes:
+        """The chunk of a space and ``part``; a plain word, with a mark at its end or
+        without, needs no pattern to be split."""
+        if part.isascii():
+            if part.isalpha():
+                return self.pieces[" " + part]
+            if part[-1:] in MARKS and part[:-1].isalpha():
+                return self.pieces[" " + part[:-1]] + self.pieces[part[-1]]
+        return self._chunk(" " + part)
+
     def _plain(self, text: str) -> bytes:
         """A text without added tokens. A space before a character that is not white
         space always starts a pre-token, so texts are looked up chunk by chunk."""
