@@ -4,10 +4,12 @@ a shard, and an exact merge.
 Documents are indexed where they are read, in segments of about ``SEGMENT_WORDS``
 words (vocabulary, posting lists with term counts, document lengths); segments are a
 written table. Document counts, lengths and document frequencies come from that
-table and hold for the whole corpus, so every shard scores alike. Segments are dealt
-to shards of about ``SHARD_WORDS`` words, a task each. Queries are taken in blocks of
-about ``BLOCK_TERMS`` terms: a block, of that bounded size, is broadcast and searched in
-all shards, so neither side is ever held whole.
+table and hold for the whole corpus, so every shard scores alike. Queries are taken in
+blocks of about ``BLOCK_TERMS`` terms: a block, of that bounded size, is broadcast and
+searched in all shards, so neither side is ever held whole. A task reads its part of the
+table a segment at a time, neither shuffled nor sorted, and merges up to ``SHARD_WORDS``
+words of them to a shard; it holds one shard, and keeps the best k of each query from one
+shard to the next, which then skips whatever cannot reach the k-th best score so far.
 
 Inside a task each query keeps the score its k-th best document has so far and skips
 whatever cannot reach it, by the two WAND tests, taken for all documents of the shard
@@ -18,8 +20,8 @@ is scored in full only if what it has from those, plus the largest contributions
 the skipped terms in its block of ``BLOCK_DOCS`` documents, reaches that score.
 Documents are scored best bound first, so the score to reach rises quickly. Full
 scores add a document's terms in one fixed order, so shards, reruns and partitionings
-agree to the last bit; ties go to the smaller id. Each task returns k rows per query,
-and the best k of all are exact.
+agree to the last bit; ties go to the smaller id. Each task returns k rows per query at
+most, and the best k of all are exact.
 
 Terms are 64-bit hashes of words (runs of ASCII letters, digits and non-ASCII
 characters, A-Z lower-cased). idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a term counts
@@ -34,11 +36,12 @@ are ignored.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranks import global_rank
 from ..sources.files import pin_table
 from .common import broadcast_if_small, pick, ship_package
 from .text_hash import NOT_ALNUM, word_hashes
@@ -48,10 +51,14 @@ K1, B = 1.2, 0.75
 DIGITS = 9                   # decimals of the scores that the registered query returns
 SEGMENT_WORDS = 1 << 20
 SHARD_WORDS = 6 << 20
-BLOCK_TERMS = 2_000_000
+BLOCK_TERMS = 1_500_000
+TASK_SHARDS = 8
+TEXTS_AT_ONCE = 1000
+INDEX_FILE = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}      # a row is megabytes: few are held at once
 BLOCK_DOCS = 64
 SCORE_AT_ONCE = 16
-SKIP = 0.2                   # skipped terms add at most this share of the score to reach (at most 1)
+READ_AT_ONCE = 1 << 17       # postings
+SKIP = 0.02                  # skipped terms add at most this share of the score to reach (at most 1)
 _SLACK = 1 - 1e-9            # bounds and scores add in different orders
 
 _SEGMENT = ("segment string, n_docs bigint, n_words bigint, terms array<bigint>, dfs array<int>, ids binary, "
@@ -121,39 +128,46 @@ class Shard:
     precision, rounded up) and their maxima per term and per block of documents."""
 
     def __init__(self, segments: list[dict], mean_length: float, k1: float = K1, b: float = B):
-        parts = [(np.asarray(s["terms"], np.int64).view(np.uint64), np.asarray(s["dfs"], np.int64),
-                  np.frombuffer(s["docs"], np.int32), np.frombuffer(s["counts"], np.int32),
-                  np.frombuffer(s["lengths"], np.int64)) for s in segments]
-        self.ids, self.k1 = np.concatenate([np.frombuffer(s["ids"], np.int64) for s in segments]), k1
-        self.norm = k1 * (1 - b + b * np.concatenate([p[4] for p in parts]) / max(mean_length, 1e-9))
-        self.terms = np.unique(np.concatenate([p[0] for p in parts]))
-        at = [np.searchsorted(self.terms, p[0]) for p in parts]
+        """``segments`` is emptied: a segment's memory goes as soon as it is merged."""
+        ids, lengths = ([np.frombuffer(s[c], np.int64) for s in segments] for c in ("ids", "lengths"))
+        n, self.k1 = sum(map(len, ids)), k1
+        self.ids, length = np.concatenate(ids), np.concatenate(lengths)
+        self.norm = k1 * (1 - b + b * length / max(mean_length, 1e-9))
+        terms = np.sort(np.concatenate([np.asarray(s["terms"], np.int64).view(np.uint64) for s in segments]), kind="stable")
+        self.terms = terms[np.concatenate(([True], terms[1:] != terms[:-1]))] if len(terms) else terms
+        del terms, ids
+        at = [np.searchsorted(self.terms, np.asarray(s["terms"], np.int64).view(np.uint64)).astype(np.int32) for s in segments]
         df = np.zeros(len(self.terms), np.int64)
-        for t, p in zip(at, parts, strict=True):
-            df[t] += p[1]
+        most = 0
+        for t, s in zip(at, segments, strict=True):
+            df[t] += np.asarray(s["dfs"], np.int64)
+            most = max(most, int(np.frombuffer(s["counts"], np.int32).max(initial=0)))
         self.start = np.concatenate(([0], np.cumsum(df)))
-        n, size = len(self.ids), int(self.start[-1])
+        size = int(self.start[-1])
         # postings by term and by document, a segment at a time (its documents follow
         # those of the segments before), so that nothing but the index is large
-        self.docs, self.part = np.empty(size, np.int32), np.empty(size, np.float32)
-        self.fterm, self.fcount = np.empty(size, np.int32), np.empty(size, np.int32)
+        self.docs, self.part = np.empty(size, np.min_scalar_type(n)), np.empty(size, np.float32)
+        self.fterm, self.fcount = np.empty(size, np.int32), np.empty(size, np.min_scalar_type(most))
         self.fstart = np.zeros(n + 1, np.int64)
         free, doc0, row0 = self.start[:-1].copy(), 0, 0
-        for t, (_, dfs, docs, counts, lengths) in zip(at, parts, strict=True):
+        segments.reverse()
+        for t, length in zip(at, lengths, strict=True):
+            s = segments.pop()
+            dfs, docs, counts = np.asarray(s["dfs"], np.int64), np.frombuffer(s["docs"], np.int32), np.frombuffer(s["counts"], np.int32)
             to = np.arange(len(docs)) + np.repeat(free[t] - np.concatenate(([0], np.cumsum(dfs)[:-1])), dfs)
             free[t] += dfs
             self.docs[to] = docs + np.int32(doc0)
             exact = counts * (k1 + 1) / (counts + self.norm[docs + doc0])
             self.part[to] = exact * (1 + 2e-7)
-            by_doc = np.argsort(docs, kind="stable")                # terms ascending inside a document
-            self.fterm[row0:row0 + len(docs)] = np.repeat(t.astype(np.int32), dfs)[by_doc]
+            by_doc = np.argsort(docs.astype(np.min_scalar_type(len(length))), kind="stable")      # terms ascending inside a document
+            self.fterm[row0:row0 + len(docs)] = np.repeat(t, dfs)[by_doc]
             self.fcount[row0:row0 + len(docs)] = counts[by_doc]
-            self.fstart[doc0 + 1:doc0 + 1 + len(lengths)] = row0 + np.cumsum(np.bincount(docs, minlength=len(lengths)))
-            doc0, row0 = doc0 + len(lengths), row0 + len(docs)
+            self.fstart[doc0 + 1:doc0 + 1 + len(length)] = row0 + np.cumsum(np.bincount(docs, minlength=len(length)))
+            doc0, row0 = doc0 + len(length), row0 + len(docs)
         self.blocks = -(-n // BLOCK_DOCS)
         if size:
-            self.top = np.maximum.reduceat(self.part, self.start[:-1]).astype(np.float64)
-            block = self.docs // np.int32(BLOCK_DOCS)
+            self.top = np.maximum.reduceat(self.part, self.start[:-1])
+            block = self.docs // self.docs.dtype.type(BLOCK_DOCS) if n >= BLOCK_DOCS else np.zeros_like(self.docs)
             new = np.ones(size, bool)
             new[1:] = block[1:] != block[:-1]
             new[self.start[:-1]] = True
@@ -174,30 +188,50 @@ class Shard:
         value = weights[place[at] - 1] * (count * (self.k1 + 1) / (count + self.norm[docs[owner]]))
         return np.bincount(owner, value, minlength=len(docs))
 
+    def _added(self, owners: np.ndarray, tops: np.ndarray, start: np.ndarray, end: np.ndarray, weights: np.ndarray,
+               n: int) -> np.ndarray:
+        """The terms' ranges of ``tops``, weighted and added by owner; about ``READ_AT_ONCE``
+        postings at a time, as a long query's may be as many as the shard has."""
+        size, out = end - start, np.zeros(n)
+        read = np.cumsum(size)
+        i = 0
+        while i < len(size):
+            j = max(i + 1, int(np.searchsorted(read, (read[i - 1] if i else 0) + READ_AT_ONCE, "right")))
+            out += np.bincount(_slices(owners, start[i:j], end[i:j]),
+                               _slices(tops, start[i:j], end[i:j]) * np.repeat(weights[i:j], size[i:j]), minlength=n)
+            i = j
+        return out
+
     def partial(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What the terms add to every document at most."""
-        start, end = self.start[terms], self.start[terms + 1]
-        return np.bincount(_slices(self.docs, start, end),
-                           _slices(self.part, start, end) * np.repeat(weights, end - start), minlength=len(self.ids))
+        return self._added(self.docs, self.part, self.start[terms], self.start[terms + 1], weights, len(self.ids))
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """The best k documents (ids, scores, best first) and how many were scored."""
-        none = np.empty(0, np.int64), np.empty(0), 0
+    def find(self, terms: np.ndarray) -> np.ndarray:
+        """Numbers of the terms in this shard, -1 for others."""
         if not len(self.terms):
-            return none
+            return np.full(len(terms), -1)
         t = np.searchsorted(self.terms, terms)
         t[t == len(self.terms)] = 0
-        here = self.terms[t] == terms
-        t, w = t[here], weights[here]
+        return np.where(self.terms[t] == terms, t, -1)
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The best k documents (ids, scores, best first) and how many were scored."""
+        return self.best(self.find(terms), weights, k)
+
+    def best(self, t: np.ndarray, w: np.ndarray, k: int, reach: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
+        """As ``search``, for numbers of terms. Documents that score less than ``reach``, the
+        k-th best score known from other shards, may be left out."""
+        here = t >= 0
+        t, w = t[here], w[here]
         if not len(t):
-            return none
+            return np.empty(0, np.int64), np.empty(0), 0
         bound = w * self.top[t]
         order = np.argsort(-bound, kind="stable")
         t, w, bound = t[order], w[order], bound[order]
         self.place[t] = np.arange(1, len(t) + 1)
         left = np.concatenate((np.cumsum(bound[::-1])[::-1], [0.0]))       # bounds of term i and after
         best, score = np.empty(0, np.int64), np.empty(0)
-        goal, scored = -1.0, 0
+        goal, scored = reach * _SLACK if reach > 0 else -1.0, 0
 
         def take(docs):
             nonlocal best, score, goal, scored
@@ -206,15 +240,17 @@ class Shard:
             top = np.lexsort((self.ids[best], -score))[:k]
             best, score = best[top], score[top]
             if len(best) == k:
-                goal = score[-1] * _SLACK
-
-        # documents that the strongest terms rank first give a score to reach
-        read = np.cumsum(self.start[t + 1] - self.start[t])
-        few = min(len(t), max(1, int(np.searchsorted(read, 2 * k * BLOCK_DOCS))))
-        part = self.partial(t[:few], w[:few])
-        found = np.flatnonzero(part)
-        take(found[np.argpartition(-part[found], k)[:k]] if len(found) > k else found)
-        done = best.copy()
+                goal = max(goal, score[-1] * _SLACK)
+
+        few, part, done = 0, np.zeros(len(self.ids)), best
+        if goal < 0:
+            # documents that the strongest terms rank first give a score to reach
+            read = np.cumsum(self.start[t + 1] - self.start[t])
+            few = min(len(t), max(1, int(np.searchsorted(read, 2 * k * BLOCK_DOCS))))
+            part = self.partial(t[:few], w[:few])
+            found = np.flatnonzero(part)
+            take(found[np.argpartition(-part[found], k)[:k]] if len(found) > k else found)
+            done = best.copy()
         # terms from here on cannot reach the goal among themselves, by far: the less they
         # can add, the tighter the bounds below and the fewer documents are scored
         needed = min(len(t), max(few, int(np.searchsorted(-left, -goal * SKIP, "right")))) if goal > 0 else len(t)
@@ -227,9 +263,7 @@ class Shard:
             near = high + left[needed] >= goal
             docs, high = docs[near], high[near]
             start, end = self.block_start[t[needed:]], self.block_start[t[needed:] + 1]
-            rest = np.bincount(_slices(self.block, start, end),
-                               _slices(self.block_top, start, end) * np.repeat(w[needed:], end - start),
-                               minlength=self.blocks)
+            rest = self._added(self.block, self.block_top, start, end, w[needed:], self.blocks)
             high = high + rest[docs // BLOCK_DOCS]
         while len(docs):
             ok = high >= goal
@@ -247,33 +281,67 @@ class Shard:
         return self.ids[best[hit]], score[hit], scored
 
 
-def _search(k: int, mean_length: float, block):
-    """Segments of one shard to the best k documents of every query of the block."""
+def _search(k: int, mean_length: float, shard_words: int, block):
+    """Segments, a row each, to the best k documents of every query of the block."""
     import pyarrow as pa
 
-    def run(table):
-        segments = [{"terms": table["terms"][i].values.to_numpy(), "dfs": table["dfs"][i].values.to_numpy()}
-                    | {c: table[c][i].as_buffer() for c in ("ids", "lengths", "docs", "counts")}
-                    for i in range(table.num_rows)]
-        shard = Shard(segments, mean_length)
-        query, start, terms, weights = block.value
-        found, ids, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-        for i, q in enumerate(query.tolist()):
-            a, z = start[i], start[i + 1]
-            d, s, _ = shard.search(terms[a:z], weights[a:z], k)
-            found.append(np.full(len(d), q, np.int64))
-            ids.append(d)
-            scores.append(s)
-        return pa.table({"query_id": np.concatenate(found), "doc_id": np.concatenate(ids), "score": np.concatenate(scores)})
+    def run(batches):
+        query, start, distinct, places, weights = block.value
+        ids, scores, hits = np.zeros((len(query), k), np.int64), np.zeros((len(query), k)), np.zeros(len(query), np.int64)
+
+        def look(segments):
+            shard = Shard(segments, mean_length)
+            at = shard.find(distinct)
+            for i in range(len(query)):
+                a, z, n = start[i], start[i + 1], hits[i]
+                d, s, _ = shard.best(at[places[a:z]], weights[a:z], k, scores[i, k - 1] if n == k else 0.0)
+                if n and len(d):
+                    d, s = np.concatenate((ids[i, :n], d)), np.concatenate((scores[i, :n], s))
+                    top = np.lexsort((d, -s))[:k]
+                    d, s = d[top], s[top]
+                if len(d):
+                    hits[i] = len(d)
+                    ids[i, :len(d)], scores[i, :len(d)] = d, s
+
+        held, words = [], 0
+        for b in batches:
+            for i in range(b.num_rows):
+                n = b.column("n_words")[i].as_py()
+                if held and words + n > shard_words:
+                    look(held)
+                    words = 0
+                held.append({"terms": b.column("terms")[i].values.to_numpy(), "dfs": b.column("dfs")[i].values.to_numpy()}
+                            | {c: b.column(c)[i].as_buffer() for c in ("ids", "lengths", "docs", "counts")})
+                words += n
+            del b
+        if held:
+            look(held)
+        has = np.arange(k) < hits[:, None]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query, hits)), pa.array(ids[has]), pa.array(scores[has])],
+                                         ["query_id", "doc_id", "score"])
 
     return run
 
 
+@contextmanager
+def _rows_at_once(spark, n: int):
+    """Python is sent at most so many rows at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The segments of the inverted index, as a written table."""
     ship_package(docs.sparkSession)
     d = pick(docs, [id_col, text_col]).toDF("id", "text").filter("id is not null")
-    return pin_table(d.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(_index, _SEGMENT), "bm25-index")
+    with _rows_at_once(docs.sparkSession, TEXTS_AT_ONCE):
+        return pin_table(d.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(_index, _SEGMENT), "bm25-index",
+                         options=INDEX_FILE)
 
 
 def search(index: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -298,21 +366,23 @@ def search(index: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text
     per = pin_table(per.select("query", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")), "bm25-queries")
     n_terms = per.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks, shards = -(-n_terms // BLOCK_TERMS) or 1, -(-n_words // SHARD_WORDS) or 1
-    # segments go round the shards by size, so shards are even
-    dealt = global_rank(index.select("segment", "n_words"), [F.col("n_words").desc(), F.col("segment").asc()], start=0)
-    dealt = dealt.select(F.col("segment").alias("sid"), (F.col("rn") % shards).alias("shard"))
-    parts = (index.join(broadcast_if_small(dealt), F.col("segment") == F.col("sid"))
-             .select("shard", "terms", "dfs", "ids", "lengths", "docs", "counts"))
+    parts = index.select("n_words", "terms", "dfs", "ids", "lengths", "docs", "counts")
+    # many small files would make many small shards: tasks read several, still in place
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-shards // TASK_SHARDS))
+    if parts.rdd.getNumPartitions() > 2 * tasks:
+        parts = parts.coalesce(tasks)
     found = None
     for i in range(blocks):
         got = per.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i).toArrow()
         terms, weights = got.column("terms").combine_chunks(), got.column("weights").combine_chunks()
         sizes = np.diff(terms.offsets.to_numpy())
+        distinct, places = np.unique(terms.flatten().to_numpy().view(np.uint64), return_inverse=True)
         shared = spark.sparkContext.broadcast((
-            got.column("query").to_numpy(), np.concatenate(([0], np.cumsum(sizes))),
-            terms.flatten().to_numpy().view(np.uint64), weights.flatten().to_numpy()))
-        one = pin_table(parts.groupBy("shard").applyInArrow(
-            _search(k, n_words / max(n_docs, 1), shared), "query_id bigint, doc_id bigint, score double"), "bm25-found")
+            got.column("query").to_numpy(), np.concatenate(([0], np.cumsum(sizes))), distinct, places.astype(np.int32),
+            weights.flatten().to_numpy()))
+        with _rows_at_once(spark, 1):
+            one = pin_table(parts.mapInArrow(_search(k, n_words / max(n_docs, 1), SHARD_WORDS, shared),
+                                             "query_id bigint, doc_id bigint, score double"), "bm25-found")
         shared.destroy()
         found = one if found is None else found.unionByName(one)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
